@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, personal, secrets
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op7_secrets": secrets.op7_secrets,
+    "op10_personal": personal.op10_personal,
+}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
