@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, personal, secrets
+from . import decontaminate, packing, personal, secrets, tokenfiles
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_tokenfiles": tokenfiles.op2_tokenfiles,
+    "op6_packing": packing.op6_packing,
     "op7_secrets": secrets.op7_secrets,
     "op10_personal": personal.op10_personal,
 }
