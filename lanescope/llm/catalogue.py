@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, personal, secrets, tokenfiles
+from . import decontaminate, language, packing, personal, secrets, tokenfiles, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_tokenfiles": tokenfiles.op2_tokenfiles,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
     "op7_secrets": secrets.op7_secrets,
+    "op8_language": language.op8_language,
     "op10_personal": personal.op10_personal,
 }
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
