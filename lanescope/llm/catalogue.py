@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, packing, personal, secrets, tokenfiles, toxicity
+from . import decontaminate, language, neighbours, packing, personal, secrets, tokenfiles, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_secrets": secrets.op7_secrets,
     "op8_language": language.op8_language,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_personal": personal.op10_personal,
 }
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
