@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, neighbours, packing, personal, secrets, tokenfiles, toxicity
+from . import decontaminate, jaccard, language, neighbours, packing, personal, secrets, suffixes, tokenfiles, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_tokenfiles": tokenfiles.op2_tokenfiles,
+    "op3_suffixes": suffixes.op3_suffixes,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
