@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import tracks
+
+QUERIES: dict = dict(tracks.QUERIES)
+ORACLES: dict = dict(tracks.ORACLES)
