@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut
 
-LEAST, BLOCKS, TILE, SLACK = 0.95, 4, 8192, 1e-5
+LEAST, BLOCKS, TILE, SLACK = 0.95, 4, 16384, 1e-5
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -56,20 +56,26 @@ def linked_within(q: np.ndarray, s: np.ndarray, same: bool, turn: np.ndarray, bl
     """Indices of the linked pairs of rows of q and s (unit vectors) that this block answers for."""
     edges = np.linspace(0, q.shape[1], blocks + 1).astype(int)
     own = turn[:, edges[block] : edges[block + 1]]
-    qb, sb = (q @ own).astype(np.float32), (s @ own).astype(np.float32)
-    q2, s2 = (qb * qb).sum(1), (sb * sb).sum(1)
+    q_order, s_order = np.argsort(q @ own[:, 0]), np.argsort(s @ own[:, 0])
+    q, s = q[q_order], s[s_order]
+    qb, sb = q @ own, s @ own
+    qx, sx = qb[:, 0], sb[:, 0]
+    one = lambda x: np.ones((len(x), 1))
+    sq = lambda x: (x * x).sum(1, keepdims=True)
+    # the product of these is the squared distance
+    ql = np.hstack([-2 * qb, sq(qb), one(qb)]).astype(np.float32)
+    sl = np.hstack([sb, one(sb), sq(sb)]).astype(np.float32)
+    reach = np.sqrt(budget) + 1e-3
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    step = max(1, (1 << 22) // max(1, len(s)))
-    for lo in range(0, len(q), step):
-        d = qb[lo : lo + step] @ sb.T
-        d *= -2
-        d += s2
-        near = d <= (budget + SLACK - q2[lo : lo + step])[:, None]
-        i, j = np.nonzero(near)
-        i += lo
+    for lo in range(0, len(q), 256):
+        hi = min(lo + 256, len(q))
+        left, right = lo if same else 0, int(np.searchsorted(sx, qx[hi - 1] + reach, "right"))
+        if right <= left:
+            continue
+        near = np.flatnonzero(ql[lo:hi] @ sl[left:right].T <= budget + SLACK)
+        i, j = lo + near // (right - left), left + near % (right - left)
         if same:
-            up = i < j
-            i, j = i[up], j[up]
+            i, j = i[i < j], j[i < j]
         for at in range(0, len(i), 1 << 17):
             a, b = i[at : at + (1 << 17)], j[at : at + (1 << 17)]
             ok = (q[a] * s[b]).sum(1) >= least
@@ -81,7 +87,7 @@ def linked_within(q: np.ndarray, s: np.ndarray, same: bool, turn: np.ndarray, bl
                 found.append((a[mine], b[mine]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    return q_order[np.concatenate([f[0] for f in found])], s_order[np.concatenate([f[1] for f in found])]
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST, blocks: int = BLOCKS, tile: int = TILE, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
