@@ -8,18 +8,23 @@ Where that doesn't hold for a byte-level vocabulary (runs of spaces, a space at
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 
 
+MARK = "<|endoftext|>"  # a token of its own in both vocabularies
+
+
 class PieceEncoder:
     """encode(texts) -> (ids, counts). keep: pieces remembered at most; beyond that the memory starts anew."""
 
-    def __init__(self, path: str, spaces_matter: bool, keep: int = 400_000):
+    def __init__(self, path: str, spaces_matter: bool, keep: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.spaces_matter, self.keep = Tokenizer.from_file(path), spaces_matter, keep
+        self.mark = self.tokenizer.token_to_id(MARK)
         self.forget()
 
     def forget(self) -> None:
@@ -27,37 +32,55 @@ class PieceEncoder:
         self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _encoded(self, said: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, counts) of pieces. Many are encoded in one call, with the end-of-text token between them as a
+        mark: the tokenizer takes what stands between such tokens by itself. Pieces that spell one go alone."""
+        odd = [k for k, p in enumerate(said) if "<|" in p]
+        plain = said if not odd else ["" if "<|" in p else p for p in said]
+        joined = [MARK.join(plain[k : k + 500]) for k in range(0, len(plain), 500)]
+        ids = np.concatenate([np.array([*e.ids, self.mark], np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        mark = ids == self.mark
+        sizes = np.diff(np.flatnonzero(mark), prepend=-1) - 1
+        ids = ids[~mark]
+        if odd:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for k in odd:
+                parts[k] = np.array(self.tokenizer.encode(said[k], add_special_tokens=False).ids, np.uint32)
+            ids, sizes = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, sizes
+
     def _learn(self, keys: list[str]) -> None:
         # a key's first space says that the piece opens its text; other pieces follow a space
         said = [k[1:] if k[:1] == " " else (" " + k if self.spaces_matter else k) for k in keys]
         n = len(self.at)
         for lo in range(0, len(keys), 20_000):
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(said[lo : lo + 20_000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
+            flat, sizes = self._encoded(said[lo : lo + 20_000])
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while n + len(got) > len(self.start):
+            while n + len(sizes) > len(self.start):
                 self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
             self.pool[self.used : self.used + len(flat)] = flat
-            self.start[n : n + len(got)] = self.used + np.cumsum(sizes) - sizes
-            self.size[n : n + len(got)] = sizes
-            self.at.update(zip(keys[lo : lo + 20_000], range(n, n + len(got)), strict=True))
-            self.used, n = self.used + len(flat), n + len(got)
+            self.start[n : n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+            self.size[n : n + len(sizes)] = sizes
+            self.at.update(zip(keys[lo : lo + 20_000], range(n, n + len(sizes)), strict=True))
+            self.used, n = self.used + len(flat), n + len(sizes)
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         keys: list[str] = []
         counts = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
+            if not self.spaces_matter:  # such a vocabulary lowers case and takes any white space for one space
+                t = (t.lower() if t.isascii() else t).replace("\n", " ")
             p = t.split(" ")
             p[0] = " " + p[0]
             counts[k] = len(p)
             keys += p
         if len(self.at) > self.keep:
             self.forget()
-        if new := list(set(keys).difference(self.at)):
-            self._learn(new)
-        code = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        code = np.fromiter(map(self.at.get, keys, repeat(-1)), np.int64, len(keys))
+        if len(missing := np.flatnonzero(code < 0)):
+            self._learn(list(dict.fromkeys([keys[i] for i in missing])))
+            code[missing] = [self.at[keys[i]] for i in missing]
         size = self.size[code]
         to = np.cumsum(size)
         ids = self.pool[np.repeat(self.start[code] - (to - size), size) + np.arange(int(size.sum()))]
