@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tracks
+from . import rules, tracks
 
-QUERIES: dict = dict(tracks.QUERIES)
-ORACLES: dict = dict(tracks.ORACLES)
+QUERIES: dict = tracks.QUERIES | rules.QUERIES
+ORACLES: dict = tracks.ORACLES | rules.ORACLES

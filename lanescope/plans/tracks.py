@@ -233,7 +233,7 @@ def main_axis(spark, d):
     return S.main_axis(flow(spark, d)).select("video_id", *rounded("ax", "ay"))
 
 
-@query(f"with {ROAD} select video_id, cy, cx from road")
+@query(f"with {ROAD} select video_id, cy::int as cy, cx::int as cx from road")
 def road_close(spark, d):
     return S.road_cells(flow(spark, d), 5, NY, NX)
 
