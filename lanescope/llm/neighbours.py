@@ -103,23 +103,25 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, blocks: int = BLOCKS,
     rows = rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.col("v")))
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     dims = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
-    budget = (2 - 2 * least) / blocks
-    width = float(np.sqrt(budget)) + 1e-3
+    parts_of = lambda d: min(blocks, d)
+    budget = {d: (2 - 2 * least) / parts_of(d) for d in dims}
+    width = {d: float(np.sqrt(b)) + 1e-3 for d, b in budget.items()}
     turns = {d: rotation(d) for d in dims}
     shared = spark.sparkContext.broadcast(turns)
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = np.diff(batch.column(0).offsets.to_numpy())
-            cells = np.zeros((batch.num_rows, blocks), np.int64)
+            cells: list = [None] * batch.num_rows
             flat = batch.column(0).flatten().to_numpy()
             at = np.concatenate([[0], np.cumsum(sizes)])
             for d in np.unique(sizes):
                 who = np.flatnonzero(sizes == d)
                 x = unit(flat[at[who][:, None] + np.arange(d)])
-                first = shared.value[int(d)][:, np.minimum(np.linspace(0, d, blocks + 1).astype(int)[:-1], d - 1)]
-                cells[who] = np.floor(x @ first / width)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(cells), pa.list_(pa.int64()))], names=["v", "rep", "n", "cells"])
+                first = shared.value[int(d)][:, np.linspace(0, d, parts_of(int(d)) + 1).astype(int)[:-1]]
+                for i, c in zip(who.tolist(), np.floor(x @ first / width[int(d)]).astype(np.int64).tolist(), strict=True):
+                    cells[i] = c
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=["v", "rep", "n", "cells"])
 
     at = cut(classes.mapInArrow(celled, "v array<float>, rep long, n long, cells array<long>"), "cells")
     each = at.select("v", "rep", "n", F.size("v").alias("d"), F.posexplode("cells").alias("block", "cell"))
@@ -147,7 +149,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, blocks: int = BLOCKS,
         same = kind == 0 and s == q
         qi = np.flatnonzero(query) if not same else np.arange(len(rep))
         si = np.flatnonzero(~query) if not same else qi
-        a, b = linked_within(v[qi], v[si], same, shared.value[d], block, blocks, budget, least)
+        a, b = linked_within(v[qi], v[si], same, shared.value[d], block, parts_of(d), budget[d], least)
         a, b = qi[a], si[b]
         gain = np.bincount(a, n[b], len(rep)) + np.bincount(b, n[a], len(rep))
         root = least_labels(len(rep), a, b)
