@@ -28,7 +28,7 @@ from .common import cut, scratch, small_enough
 from .textbytes import Rolling, mixed, slices, text_bytes
 
 SIZE, K = 100, 40
-BATCHES, SLICE = 2, 16_000_000
+BATCHES, SLICE = 2, 4_000_000
 BROADCAST = 500_000
 ROW = "key long, kind byte, g long, c long, doc long, pos int"
 SINGLE, MARK, MULTI, COPY = 0, 1, 2, 3  # an entry; g has several contexts; an entry of such a g; a copy of an entry before it
@@ -88,6 +88,23 @@ def sliced(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.mapInArrow(entries, ROW)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows, sorted by key, in tables that hold every key's rows together. What is held over is one key's rows so far,
+    of which there is one for each slice at most."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        k = t.column(key).to_numpy()
+        at = int(np.flatnonzero(k == k[-1])[0])
+        held = t.slice(at)
+        if at:
+            yield t.slice(0, at)
+    if held is not None:
+        yield held
+
+
 def scanned(rows: DataFrame, by_context: bool) -> DataFrame:
     """LEVEL rows from rows sorted by key within partitions, in one pass that holds a row: entries, and copies of them.
 
@@ -96,16 +113,8 @@ def scanned(rows: DataFrame, by_context: bool) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the rows of the last g or context so far: a few, one for each slice at most
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            key = t.column("key").to_numpy()
-            cut_at = int(np.searchsorted(np.arange(len(key)), np.flatnonzero(key == key[-1])[0])) if len(key) else 0
-            held = t.slice(cut_at)
-            if cut_at:
-                yield from judged(t.slice(0, cut_at))
-        if held is not None and held.num_rows:
-            yield from judged(held)
+        for t in whole_groups(batches, "key"):
+            yield from judged(t)
 
     def judged(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, kind, g, c, doc, pos, old = (t.column(n).to_numpy() for n in ("key", "kind", "g", "c", "doc", "pos", "old"))
@@ -147,7 +156,8 @@ class SuffixLevels:
             both = a.union(b).groupBy("g", "c").agg(F.max("kind").alias("kind"), F.min(F.struct("doc", "pos")).alias("at"))
             self.levels.append((n + m, cut(both.select("kind", "g", "c", "at.doc", "at.pos"), "level")))
 
-    def add(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def add(self, docs: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
+        """last: no batch will follow, so entries that only later batches could meet aren't written."""
         self._merge()
         new = sliced(docs, self.size, self.k).withColumn("old", F.lit(False))
         for _, level in self.levels:
@@ -157,7 +167,8 @@ class SuffixLevels:
             new = new.union(several.select(F.col("g").alias("key"), F.lit(MARK).cast("byte").alias("kind"), "g", "c", "doc", "pos", F.lit(True).alias("old")))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         path = scratch(self.spark, "scan")
-        scanned(new.repartition(n, "key").sortWithinPartitions("key"), False).write.partitionBy("kind").parquet(path)
+        found = scanned(new.repartition(n, "key").sortWithinPartitions("key"), False)
+        (found.where(F.col("kind") != SINGLE) if last else found).write.partitionBy("kind").parquet(path)
         seen = self.spark.read.schema("g long, c long, doc long, pos int, old boolean, kind byte").parquet(path)
         wide = seen.where(F.col("kind") == MULTI).select(F.xxhash64("g", "c").alias("key"), F.col("kind").cast("byte").alias("kind"), "g", "c", "doc", "pos", "old")
         exact = cut(scanned(wide.repartition(n, "key").sortWithinPartitions("key"), True), "several")
@@ -173,13 +184,35 @@ def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(lists) if small_enough(lists, BROADCAST) else lists, "doc_id", how)
 
 
-def crossing_strings(docs: DataFrame, crossed: DataFrame, size: int, k: int) -> DataFrame:
-    """(h, h2, doc, start) of the strings that the anchors in crossed(doc, pos) stand for."""
+def as_runs(doc: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of what strings of `size` bytes at these places cover, touching ones joined."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.flatnonzero((np.diff(doc, prepend=doc[:1] - 1) != 0) | (np.diff(start, prepend=0) > size))
+    last = np.append(new[1:], len(doc)) - 1
+    return doc[new], start[new], start[last] + size
+
+
+def crossing_repeats(docs: DataFrame, crossed: DataFrame, size: int, k: int) -> DataFrame:
+    """(doc, start, end): what is repeated of the strings that the anchors in crossed(doc, pos) stand for, but for the first place of each."""
     lists = cut(crossed.distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("pos").alias("at")), "crossed")
+    names = ["h", "h2", "doc", "start", "end"]
+
+    def batch_of(h, h2, doc, start, again) -> pa.RecordBatch:
+        """Places of strings that may have others before them, and runs of those that do, under any key."""
+        d, a, b = as_runs(doc[again], start[again], size) if again.any() else (doc[:0], start[:0], start[:0])
+        keep = ~again
+        cols = [np.append(h[keep], mixed(d.astype(np.uint64)).view(np.int64)), np.append(h2[keep], np.zeros(len(d), np.int32)), np.append(doc[keep], d), np.append(start[keep], a), np.append(np.full(int(keep.sum()), -1), b)]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int64, np.int32, np.int32), strict=True)], names=names)
+
+    def later(h, h2, doc, start) -> tuple:
+        order = np.lexsort((start, doc, h2, h))
+        h, h2, doc, start = h[order], h2[order], doc[order], start[order]
+        return h, h2, doc, start, (np.diff(h, prepend=~h[:1]) == 0) & (np.diff(h2, prepend=h2[:1]) == 0)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 4_000_000):
+            for batch in slices(whole, 1, SLICE):
                 data, offsets = text_bytes(batch.column(1))
                 roll = Rolling(data)
                 p, text, first, last = anchors(roll, offsets, size, k)
@@ -188,13 +221,27 @@ def crossing_strings(docs: DataFrame, crossed: DataFrame, size: int, k: int) ->
                 want = np.concatenate([np.asarray(batch.column(2)[i].as_py(), np.int64) + offsets[i] for i in range(batch.num_rows)])
                 mine = np.isin(p, want)
                 first, n, text = first[mine], (last - first + 1)[mine], text[mine]
+                if not len(n):
+                    continue
                 start = np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                half = size // 2
-                h, h2 = roll.hash(start, start + size), roll.hash(start, start + half)
+                h, h2 = roll.hash(start, start + size), roll.hash(start, start + size // 2)
                 doc = np.repeat(text, n)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(33)).astype(np.int32)), pa.array(batch.column(0).to_numpy()[doc]), pa.array((start - offsets[doc]).astype(np.int32))], names=["h", "h2", "doc", "start"])
+                yield batch_of(*later(h.view(np.int64), (h2 >> np.uint64(33)).astype(np.int32), batch.column(0).to_numpy()[doc], (start - offsets[doc]).astype(np.int32)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, "h"):
+            h, h2, doc, start, end = (t.column(c).to_numpy() for c in names)
+            place = end < 0
+            again = np.zeros(0, bool)
+            if place.any():
+                h, h2, d, s, again = later(h[place], h2[place], doc[place], start[place])
+            runs = as_runs(d[again], s[again], size) if again.any() else (doc[:0], start[:0], start[:0])
+            cols = [np.append(doc[~place], runs[0]), np.append(start[~place], runs[1]), np.append(end[~place], runs[2])]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(x)) for c, x in zip(cols, (np.int64, np.int32, np.int32), strict=True)], names=["doc", "start", "end"])
 
-    return with_lists(docs, lists, "inner").select("doc_id", "text", "at").mapInArrow(strings, "h long, h2 int, doc long, start int")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = with_lists(docs, lists, "inner").select("doc_id", "text", "at").mapInArrow(strings, "h long, h2 int, doc long, start int, end int")
+    return found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(meet, "doc long, start int, end int")
 
 
 def repeats(docs: DataFrame, size: int = SIZE, k: int = K, batches: int = BATCHES) -> DataFrame:
@@ -203,16 +250,13 @@ def repeats(docs: DataFrame, size: int = SIZE, k: int = K, batches: int = BATCHE
     bounds = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     family = SuffixLevels(spark, size, k)
     copies = crossed = None
-    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+    for i, (lo, hi) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
         part = docs if lo is None else docs.where(F.col("doc_id") > lo)
         part = part if hi is None else part.where(F.col("doc_id") <= hi)
-        a, b = family.add(part)
+        a, b = family.add(part, last=i == len(bounds))
         copies, crossed = (a, b) if copies is None else (copies.union(a), crossed.union(b))
     around = copies.select(F.col("doc").alias("doc_id"), F.greatest(F.col("pos") + (k - size), F.lit(0)).alias("start"), (F.col("pos") + size).alias("end"))
-    strings = cut(crossing_strings(docs, crossed, size, k), "strings")
-    first = strings.groupBy("h", "h2").agg(F.min(F.struct("doc", "start")).alias("at"), F.count("*").alias("n")).where("n > 1")
-    again = strings.join(first, ["h", "h2"]).where(~((F.col("doc") == F.col("at.doc")) & (F.col("start") == F.col("at.start"))))
-    found = around.union(again.select(F.col("doc").alias("doc_id"), "start", (F.col("start") + size).alias("end")))
+    found = around.union(crossing_repeats(docs, crossed, size, k).select(F.col("doc").alias("doc_id"), "start", "end"))
     runs = F.aggregate(
         F.array_sort("all"),
         F.array().cast("array<struct<start:int,end:int>>"),
