@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, small_enough
 from .textbytes import SPACE, mixed, slices, text_bytes, words
 
-NGRAM, GROUPS, RANKED, OFTEN = 5, 64, 500_000, 8
+NGRAM, GROUPS, RANKED, OFTEN = 5, 256, 500_000, 4
 FEW, TILE, LEAF = 8, 1024, 32
 BROADCAST = 2_000_000
 SIGNATURE = "doc_id long, n long, s1 long, s2 long, prefix array<long>, point binary"
@@ -60,7 +60,7 @@ def ranks(docs: DataFrame, ngram: int) -> tuple[np.ndarray, np.ndarray]:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 16_000_000):
+            for batch in slices(whole, 1, 4_000_000):
                 both, n = np.unique(shingles(batch.column(1), ngram)[0], return_counts=True)
                 often = n >= OFTEN
                 yield pa.RecordBatch.from_arrays([pa.array(both[often].view(np.int64)), pa.array(n[often])], names=["h", "n"])
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, ngram: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, rank = shared.value
         for whole in batches:
-            for batch in slices(whole, 1, 8_000_000):
+            for batch in slices(whole, 1, 4_000_000):
                 h, at = shingles(batch.column(1), ngram)
                 often = np.zeros(len(h), np.int64)
                 if len(ranked):
@@ -91,26 +91,30 @@ def signatures(docs: DataFrame, ngram: int) -> DataFrame:
                     p = n - -(-3 * n // 4) + 1 if n else 0
                     f = often[a:b][i]
                     head = u[:p] if not f.any() else u[np.argsort(f, kind="stable")[:p]]
-                    rows.append((n, u.sum(dtype=np.uint64), mixed(u ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64), head.view(np.int64), np.bincount(u >> np.uint64(58), minlength=GROUPS).astype("<u4").tobytes()))
+                    rows.append((n, u.sum(dtype=np.uint64), mixed(u ^ np.uint64(0xA5A5A5A5)).sum(dtype=np.uint64), head.view(np.int64), np.bincount(u >> np.uint64(56), minlength=GROUPS).astype("<u2").tobytes()))
                 n, s1, s2, head, point = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)), pa.array(head, pa.list_(pa.int64())), pa.array(point, pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix", "point"])
 
     return docs.mapInArrow(signed, SIGNATURE)
 
 
+def only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids; ids are broadcast if they are few, which saves shuffling rows."""
+    ids = cut(ids.select("doc_id").distinct(), "ids")
+    return rows.join(F.broadcast(ids) if small_enough(ids, BROADCAST) else ids, "doc_id", "left_semi")
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
     """(doc_id, set) of the documents in ids: the sorted hashes of their n-grams."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 8_000_000):
+            for batch in slices(whole, 1, 4_000_000):
                 h, at = shingles(batch.column(1), ngram)
                 sets = [np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
-    ids = cut(ids.select("doc_id").distinct(), "ids")
-    own = docs.join(F.broadcast(ids) if small_enough(ids, BROADCAST) else ids, "doc_id", "left_semi")
-    return cut(own.mapInArrow(made, "doc_id long, set binary"), "sets")
+    return cut(only(docs, ids).mapInArrow(made, "doc_id long, set binary"), "sets")
 
 
 def overlap(a: bytes, b: bytes) -> int:
@@ -128,17 +132,21 @@ def linked_pairs(pairs: DataFrame, info: DataFrame, docs: DataFrame, ngram: int)
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
-            p = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("p_a", "p_b")]
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(*p).sum(1) >= needed(*n)))
+            p = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, GROUPS) for c in ("p_a", "p_b")]
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(*p).sum(1, dtype=np.int64) >= needed(*n)))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = [overlap(x, y) >= needed(len(x) // 8, len(y) // 8) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(info.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a")), "a")
-    both = both.join(info.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b")), "b")
-    left = cut(both.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").mapInArrow(bounded, "a long, b long"), "bounded")
+    for c in "ab":
+        pairs = pairs.join(info.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}")), c)
+    both = cut(pairs.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"), "sized")
+    points = only(info.select("doc_id", "point"), both.select(F.col("a").alias("doc_id")).union(both.select("b")))
+    for c in "ab":
+        both = both.join(points.select(F.col("doc_id").alias(c), F.col("point").alias(f"p_{c}")), c)
+    left = cut(both.mapInArrow(bounded, "a long, b long"), "bounded")
     sets = sets_of(docs, left.select(F.col("a").alias("doc_id")).union(left.select("b")), ngram)
     held = left.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
     return held.mapInArrow(verified, "a long, b long")
@@ -194,12 +202,7 @@ def tile_links(doc: list[int], comp: list[int], query: np.ndarray, points: np.nd
             root[c] = c = root[root[c]]
         return c
 
-    stored = np.arange(len(doc)) if among else np.flatnonzero(~query)
-    if not len(stored):
-        return
-    tree = CountTree(points[stored], sizes[stored])
-    for q in range(len(doc)) if among else np.flatnonzero(query).tolist():
-        near = stored[tree.search(points[q], int(sizes[q]))]
+    for q, near in candidates(query, points, sizes, among):
         order = np.argsort(-np.minimum(points[near], points[q]).sum(1), kind="stable")
         for k in near[order].tolist():
             a, b = find(comp[q]), find(comp[k])
@@ -208,10 +211,20 @@ def tile_links(doc: list[int], comp: list[int], query: np.ndarray, points: np.nd
                 yield doc[q], doc[k]
 
 
+def candidates(query: np.ndarray, points: np.ndarray, sizes: np.ndarray, among: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query (or each row, among) the rows that the tree over the others can't rule out."""
+    every = np.arange(len(points))
+    stored = every if among else np.flatnonzero(~query)
+    if len(stored):
+        tree = CountTree(points[stored], sizes[stored])
+        for q in (every if among else np.flatnonzero(query)).tolist():
+            near = stored[tree.search(points[q], int(sizes[q]))]
+            yield q, near[near > q] if among else near
+
+
 def tiled(groups: DataFrame, info: DataFrame, docs: DataFrame, ngram: int) -> DataFrame:
     """Links within groups(key, doc_id, comp, query) of any size: queries against the rest, or all against all where query is null."""
     groups = cut(groups, "groups")
-    sets = sets_of(docs, groups, ngram)
     per = groups.groupBy("key").agg(F.count(F.when(F.coalesce("query", F.lit(True)), 1)).alias("nq"), F.count(F.when(~F.coalesce("query", F.lit(False)), 1)).alias("ns"))
     slot = lambda n: F.pmod(F.xxhash64("doc_id"), F.greatest(F.ceil(n / TILE), F.lit(1))).cast("int")
     upto = lambda n: F.sequence(F.lit(0), (F.greatest(F.ceil(n / TILE), F.lit(1)) - 1).cast("int"))
@@ -222,16 +235,32 @@ def tiled(groups: DataFrame, info: DataFrame, docs: DataFrame, ngram: int) -> Da
         .otherwise(F.transform(upto(F.col("nq")), lambda k: F.struct(k.alias("q"), F.col("i").alias("s"))))
     )
     rows = g.select("key", "doc_id", "comp", "query", F.explode(own).alias("t")).select("key", "t.q", "t.s", "doc_id", "comp", "query")
-    rows = rows.join(info.select("doc_id", "point"), "doc_id").join(sets, "doc_id")
+    rows = cut(rows.join(only(info, groups), "doc_id"), "tiles")
+
+    def read(table: pa.Table):
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
+        query = table.column("query").to_pylist()
+        return table.column("doc_id").to_numpy(), table.column("comp").to_numpy(), np.array([bool(x) for x in query]), points, query[0] is None
+
+    def alive(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        doc, comp, query, points, among = read(table)
+        met = np.zeros(len(doc), bool)
+        for q, near in candidates(query, points, table.column("n").to_numpy(), among):
+            near = near[comp[near] != comp[q]]
+            met[near] = True
+            met[q] |= len(near) > 0
+        n = int(met.sum())
+        return pa.table({"key": pa.array([key[0].as_py()] * n, pa.string()), "q": pa.array([key[1].as_py()] * n, pa.int32()), "s": pa.array([key[2].as_py()] * n, pa.int32()), "doc_id": doc[met]})
 
     def linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        among = table.column("query")[0].as_py() is None
-        query = np.array([bool(x) for x in table.column("query").to_pylist()])
-        got = list(tile_links(table.column("doc_id").to_pylist(), table.column("comp").to_pylist(), query, points, table.column("set").to_pylist(), among))
+        doc, comp, query, points, among = read(table)
+        got = list(tile_links(doc.tolist(), comp.tolist(), query, points, table.column("set").to_pylist(), among))
         return pa.table({"a": pa.array([x for x, _ in got], pa.int64()), "b": pa.array([y for _, y in got], pa.int64())})
 
-    return rows.groupBy("key", "q", "s").applyInArrow(linked, "a long, b long")
+    # sets are fetched only for documents whose bound reaches another one's in some tile
+    met = cut(rows.groupBy("key", "q", "s").applyInArrow(alive, "key string, q int, s int, doc_id long"), "met")
+    left = rows.join(met, ["key", "q", "s", "doc_id"]).join(sets_of(docs, met, ngram), "doc_id")
+    return left.groupBy("key", "q", "s").applyInArrow(linked, "a long, b long")
 
 
 def near_texts(docs: DataFrame, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,12 +278,16 @@ def near_texts(docs: DataFrame, ngram: int = NGRAM, doc_id: str = "doc_id", text
     sig = cut(signatures(rows, ngram), "signatures")
     real = sig.where("n > 0 and doc_id is not null")
     classes = cut(real.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id")), "classes")
-    reps = real.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
+    leaders = classes.select(F.col("class_id").alias("doc_id"))
+    reps = real.join(F.broadcast(leaders) if small_enough(leaders, BROADCAST) else leaders, "doc_id", "left_semi")
     info = reps.select("doc_id", "n", "point")
-    exploded = reps.select("doc_id", F.explode("prefix").alias("h"))
-    shared = cut(exploded.groupBy("h").agg(F.count("*").alias("size"), F.min("doc_id").alias("first")).where("size > 1"), "shared")
-    buckets = cut(exploded.join(F.broadcast(shared) if small_enough(shared, BROADCAST) else shared, "h"), "buckets")
-    star = buckets.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+    exploded = reps.select("doc_id", "n", F.explode("prefix").alias("h"))
+    shared = cut(exploded.groupBy("h").count().where("count > 1").select("h"), "shared")
+    met = cut(exploded.join(F.broadcast(shared) if small_enough(shared, BROADCAST) else shared, "h", "left_semi"), "met")
+    first = met.groupBy("h").agg(F.min(F.struct("doc_id", "n")).alias("first"))
+    buckets = cut(met.join(first, "h").select("h", "doc_id", "n", F.col("first.doc_id").alias("first"), F.col("first.n").alias("first_n")), "buckets")
+    alike = buckets.where("doc_id <> first and 4 * least(n, first_n) >= 3 * greatest(n, first_n)")
+    star = alike.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = cut(linked_pairs(star, info, rows, ngram), "links")
     parts = components(links, "near")
 
