@@ -22,9 +22,9 @@ import numpy as np
 
 MAGIC = b"LCM1"
 HEAD = struct.Struct("<4sIIII")  # magic, ids, size of the vocabulary, lanes, CRC-32
-LANES, MIN_STEPS = 1024, 64
+LANES, MIN_STEPS = 4096, 64
 TOTAL, SLOTS, HASH = 24, 20, 18  # bits of the coder's scale, of the order-0 scale, of the order-2 table
-EVERY = 8  # steps between updates of the estimates and weights
+EVERY = 4  # steps between updates of the estimates and weights
 STRETCH = np.array([round(256 * math.log((p + 0.5) / (4095.5 - p))) for p in range(4096)], np.int64)
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
 
