@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, ngram: int) -> DataFrame:
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, rank = shared.value
         for whole in batches:
-            for batch in slices(whole, 1, 4_000_000):
+            for batch in slices(whole, 1, 2_000_000):
                 h, at = shingles(batch.column(1), ngram)
                 often = np.zeros(len(h), np.int64)
                 if len(ranked):
@@ -109,7 +109,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, ngram: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1, 4_000_000):
+            for batch in slices(whole, 1, 2_000_000):
                 h, at = shingles(batch.column(1), ngram)
                 sets = [np.unique(h[a:b]).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "set"])

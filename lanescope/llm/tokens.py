@@ -19,7 +19,7 @@ MARK = "<|endoftext|>"  # a token of its own in both vocabularies
 class PieceEncoder:
     """encode(texts) -> (ids, counts). keep: pieces remembered at most; beyond that the memory starts anew."""
 
-    def __init__(self, path: str, spaces_matter: bool, keep: int = 1_200_000):
+    def __init__(self, path: str, spaces_matter: bool, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
