@@ -45,8 +45,7 @@ def bigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(pair, t, o, ut, uo) of each bigram in labelled(text, toxic): how often it occurs in toxic and in ordinary texts, and
-    31-bit sketches of the words before it there. Copies of one text repeat a bigram, but after the same word."""
+    """(pair, t, o) of each bigram in labelled(text, toxic): how often it occurs in toxic and in ordinary texts."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -55,18 +54,12 @@ def counts(labelled: DataFrame) -> DataFrame:
                 if not len(pair):
                     continue
                 toxic = batch.column(1).to_numpy(zero_copy_only=False)[doc] == 1
-                earlier = np.concatenate([[0], pair[:-1] >> 31]) * 2654435761 % 1_000_003 % 31
                 order = np.argsort(pair, kind="stable")
                 first = np.flatnonzero(np.diff(pair[order], prepend=-1))
-                toxic, bit = toxic[order], np.int64(1) << earlier[order]
-                many, n = np.add.reduceat(toxic, first, dtype=np.int64), np.diff(np.append(first, len(order)))
-                t, o = (np.bitwise_or.reduceat(np.where(x, bit, 0), first) for x in (toxic, ~toxic))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[order][first]), pa.array((many << 32) | (n - many)), pa.array((t << 31) | o)], names=["pair", "n", "u"])
+                many, n = np.add.reduceat(toxic[order], first, dtype=np.int64), np.diff(np.append(first, len(order)))
+                yield pa.RecordBatch.from_arrays([pa.array(pair[order][first]), pa.array(many), pa.array(n - many)], names=["pair", "t", "o"])
 
-    # both counts in one number and both sketches in another: this shuffle is the job's largest
-    sums = labelled.mapInArrow(counted, "pair long, n long, u long").groupBy("pair").agg(F.sum("n").alias("n"), F.bit_or("u").alias("u"))
-    low = lambda c, bits: F.col(c).bitwiseAND(2**bits - 1)
-    return sums.select("pair", F.shiftright("n", 32).cast("int").alias("t"), low("n", 32).cast("int").alias("o"), F.bit_count(F.shiftright("u", 31)).alias("ut"), F.bit_count(low("u", 31)).alias("uo"))
+    return labelled.mapInArrow(counted, "pair long, t long, o long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
 def sure(r, t, o, log_odds, least: float = 4.5):
@@ -81,7 +74,7 @@ def sure(r, t, o, log_odds, least: float = 4.5):
 def train(labelled: DataFrame, keep: int = KEEP, discount: float = DISCOUNT) -> dict[str, np.ndarray]:
     """Sorted keys and log-ratios of words, of bigrams, and of the backoff after a word."""
     d = discount
-    n = cut(counts(labelled).withColumn("w", F.col("pair").bitwiseAND(2**31 - 1)).withColumn("v", F.shiftright("pair", 31)), "bigrams").select("pair", "w", "v", F.col("t").cast("double").alias("t"), F.col("o").cast("double").alias("o"), "ut", "uo")
+    n = cut(counts(labelled).withColumn("w", F.col("pair").bitwiseAND(2**31 - 1)).withColumn("v", F.shiftright("pair", 31)), "bigrams").select("pair", "w", "v", F.col("t").cast("double").alias("t"), F.col("o").cast("double").alias("o"))
     own = {c: F.sum(F.when(F.col(c) > 0, 1.0).otherwise(0.0)) for c in "to"}
     by_word = n.groupBy("w").agg(own["t"].alias("ct"), own["o"].alias("co"), F.sum(F.lit(1.0)).alias("cs"))
     by_word = cut(by_word, "words")
@@ -103,7 +96,6 @@ def train(labelled: DataFrame, keep: int = KEEP, discount: float = DISCOUNT) ->
     usual = F.create_map(*[F.lit(x) for k, m in middle.items() for x in (k, float(m))])[F.col("klass")]
     ranked = ranked.withColumn("r", sure(F.col("raw") - usual, F.col("ct"), F.col("co"), usual + odds)).withColumn("n", F.col("ct") + F.col("co"))
     word = ranked.select(F.col("w").alias("key"), F.col("r").cast("float").alias("r"), (F.abs("r") * F.col("n")).alias("weight")).where("r <> 0")
-    n = n.select("pair", "w", "v", F.col("ut").cast("double").alias("t"), F.col("uo").cast("double").alias("o"))
     ctx = n.groupBy("v").agg(F.sum("t").alias("vt"), F.sum("o").alias("vo"), own["t"].alias("kt"), own["o"].alias("ko")).where("vt > 1 and vo > 1")
     mass = {c: d * F.col("k" + c) / F.col("v" + c) for c in "to"}
     seen = n.where("t + o >= 3 and t > 0").join(ctx, "v").join(ranked.select("w", "pt", "po", "raw", "r"), "w")

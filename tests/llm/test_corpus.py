@@ -7,6 +7,7 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,6 +269,19 @@ def test_toxicity_on_held_out_documents(spark, docs):
     assert len(odd) == docs.count() and all(0 <= x["score"] <= 1 for x in odd)
 
 
+def test_toxicity_counts_frequent_bigrams_whole(spark):
+    # "alpha beta" after 600 words in toxic texts and after 60 in ordinary ones; both words are as frequent in either class
+    toxic = [f"w{i} alpha beta x{i} gamma delta" for i in range(600)]
+    plain = [f"w{i} alpha beta x{i} gamma delta" if i < 60 else f"w{i} alpha delta x{i} gamma beta" for i in range(600)]
+    rows = [(i, t, int(i < 600)) for i, t in enumerate(toxic + plain)] + [(5000, "alpha beta", None), (5001, "alpha delta", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    n = {r["pair"]: (r["t"], r["o"]) for r in toxicity.counts(df.where("toxic is not null").select("text", "toxic")).collect()}
+    pair = {t: int(toxicity.bigrams(pa.array([t]))[0][1]) for t in ("alpha beta", "alpha delta")}
+    assert n[pair["alpha beta"]] == (600, 60) and n[pair["alpha delta"]] == (0, 540)
+    out = {r["doc_id"]: r["ratio"] for r in toxicity.toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True)).where("doc_id >= 5000").collect()}
+    assert out[5000] > 0.5, out
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     names = docs.columns
