@@ -1,10 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
 Two bigram models, of toxic and of ordinary text, share their lowest level: the continuation counts of both classes
-together. Spark sums hashed bigrams over all labelled training texts and derives continuation counts, backoff masses
-and, for each word and bigram, the log-ratio of the two models; words that no training text has say nothing. Kept for
-scoring, and broadcast, are the entries that move scores most: log-ratios shrunk by their uncertainty, at most
-`keep` of each kind by that ratio times count.
+together. Spark sums hashed bigrams over the labelled training texts and derives continuation counts, backoff masses
+and the log-ratio of the two models; words that no training text has say nothing. The model is a table of what each
+word, each context's backoff mass and each bigram adds to the log-ratio: shrunk by its uncertainty, and without rows
+that add 0. It grows with the corpus. Scoring broadcasts its `keep` most frequent rows and joins the others.
 A text's score is a logistic function of its mean log-ratio per word, fitted to training texts that were set aside
 from the counts (a bounded sample of `max_fit`).
 """
@@ -27,6 +27,7 @@ DISCOUNT, KEEP, MAX_FIT, ASIDE = 0.75, 300_000, 20_000, 8
 #: Mean ratios well over this are all the same to the logistic curve.
 SPAN = 0.25
 BROADCAST = 2_000_000  # labelled ids at most to send to every task
+BITS = 134_217_689  # a prime: bits of the set of joined keys that spares texts' other keys the shuffle
 OPENING = np.int64(1)  # stands before a text's first word
 
 
@@ -71,8 +72,16 @@ def sure(r, t, o, log_odds, least: float = 4.5):
     return F.when(z > least, r * (1 - least * least / (z * z))).otherwise(0.0)
 
 
-def train(labelled: DataFrame, keep: int = KEEP, discount: float = DISCOUNT) -> dict[str, np.ndarray]:
-    """Sorted keys and log-ratios of words, of bigrams, and of the backoff after a word."""
+def middles(df: DataFrame, value: str, count) -> tuple:
+    """(class of a count, the median of `value` in that class) as columns; two classes a doubling."""
+    klass = F.floor(2 * F.log2(count)).cast("int")
+    got = df.groupBy(klass.alias("klass")).agg(F.percentile_approx(value, 0.5, 1000).alias("m")).where("klass is not null and m is not null").collect()
+    return F.create_map(*[F.lit(x) for r in got for x in (r["klass"], float(r["m"]))])[klass]
+
+
+def train(labelled: DataFrame, discount: float = DISCOUNT, least: float = 4.5) -> DataFrame:
+    """(key, r, weight): what a word (its id), the backoff after a word (its id negated) and a bigram add to a word's
+    log-ratio, and how frequent each is. Rows that add 0 are left out."""
     d = discount
     n = cut(counts(labelled).withColumn("w", F.col("pair").bitwiseAND(2**31 - 1)).withColumn("v", F.shiftright("pair", 31)), "bigrams").select("pair", "w", "v", F.col("t").cast("double").alias("t"), F.col("o").cast("double").alias("o"))
     own = {c: F.sum(F.when(F.col(c) > 0, 1.0).otherwise(0.0)) for c in "to"}
@@ -80,7 +89,7 @@ def train(labelled: DataFrame, keep: int = KEEP, discount: float = DISCOUNT) ->
     by_word = cut(by_word, "words")
     z = by_word.agg(*[F.sum(c).alias(c) for c in ("ct", "co", "cs")], *[F.sum(F.when(F.col(c) > 0, 1.0).otherwise(0.0)).alias("v" + c) for c in ("ct", "co", "cs")]).first()
     if not z["ct"] or not z["co"]:
-        return {k: np.zeros(0, t) for k in ("words", "pairs", "after") for k, t in ((k, np.int64), (k + "_ratio", np.float32))}
+        return labelled.sparkSession.createDataFrame([], "key long, r float, weight double")
     shared = F.col("cs") / z["cs"]
 
     def level(c: str):
@@ -89,49 +98,90 @@ def train(labelled: DataFrame, keep: int = KEEP, discount: float = DISCOUNT) ->
     pt, po = level("ct"), level("co")
     # a small corpus gives frequent words a larger share of its distinct bigrams than a large one does: each word is
     # held against the middle of the words that are as frequent
-    klass = F.floor(2 * F.log2(F.col("ct") + F.col("co"))).cast("int")
-    ranked = by_word.select("w", pt.alias("pt"), po.alias("po"), F.log(pt / po).alias("raw"), klass.alias("klass"), "ct", "co")
-    middle = {r["klass"]: r["m"] for r in ranked.groupBy("klass").agg(F.percentile_approx("raw", 0.5, 1000).alias("m")).collect()}  # two per doubling
-    odds = F.lit(math.log(z["ct"] / z["co"]))
-    usual = F.create_map(*[F.lit(x) for k, m in middle.items() for x in (k, float(m))])[F.col("klass")]
-    ranked = ranked.withColumn("r", sure(F.col("raw") - usual, F.col("ct"), F.col("co"), usual + odds)).withColumn("n", F.col("ct") + F.col("co"))
-    word = ranked.select(F.col("w").alias("key"), F.col("r").cast("float").alias("r"), (F.abs("r") * F.col("n")).alias("weight")).where("r <> 0")
-    ctx = n.groupBy("v").agg(F.sum("t").alias("vt"), F.sum("o").alias("vo"), own["t"].alias("kt"), own["o"].alias("ko")).where("vt > 1 and vo > 1")
-    mass = {c: d * F.col("k" + c) / F.col("v" + c) for c in "to"}
-    seen = n.where("t + o >= 3 and t > 0").join(ctx, "v").join(ranked.select("w", "pt", "po", "raw", "r"), "w")
-    full = {c: F.greatest(F.col(c) - d, F.lit(0.0)) / F.col("v" + c) + mass[c] * F.col("p" + c) for c in "to"}
-    more = sure(F.log(full["t"] / full["o"]) - F.col("raw"), F.col("t"), F.col("o"), F.col("raw") + odds)
-    pair = seen.select(F.col("pair").alias("key"), (F.col("r") + more).cast("float").alias("r"), (F.abs(more) * (F.col("t") + F.col("o"))).alias("weight"))
-    model = {}
-    for name, df in (("words", word), ("pairs", pair)):
-        got = df.where("weight > 0").orderBy(F.desc("weight"), "key").limit(keep).select("key", "r").toPandas().sort_values("key")
-        model[name], model[name + "_ratio"] = got["key"].to_numpy(np.int64), got["r"].to_numpy(np.float32)
-    return model
-
-
-def mean_ratios(column: pa.Array, model: dict[str, np.ndarray]) -> np.ndarray:
-    """The mean log-ratio per word of each text, 0 for a text without words."""
+    ranked = by_word.select("w", pt.alias("pt"), po.alias("po"), F.log(pt / po).alias("raw"), "ct", "co").withColumn("n", F.col("ct") + F.col("co"))
+    odds = math.log(z["ct"] / z["co"])
+    usual = middles(ranked, "raw", F.col("n"))
+    word = ranked.select(F.col("w").alias("key"), sure(F.col("raw") - usual, F.col("ct"), F.col("co"), usual + odds, least).alias("r"), F.col("n").alias("weight"))
+    # a class that never has the context backs off wholly
+    ctx = n.groupBy("v").agg(F.sum("t").alias("vt"), F.sum("o").alias("vo"), own["t"].alias("kt"), own["o"].alias("ko"))
+    for c in "to":
+        ctx = ctx.withColumn("m" + c, F.when(F.col("v" + c) > 0, d * F.col("k" + c) / F.col("v" + c)).otherwise(1.0))
+    ctx = cut(ctx.withColumn("b", F.log(F.col("mt") / F.col("mo"))), "contexts")
+    usual = middles(ctx, "b", F.col("kt") + F.col("ko"))
+    seen_odds = F.log(F.greatest("vt", F.lit(0.5)) / F.greatest("vo", F.lit(0.5)))
+    ctx = ctx.withColumn("back", sure(F.col("b") - usual, F.col("kt"), F.col("ko"), usual + seen_odds, least))
+    after = ctx.select((-F.col("v")).alias("key"), F.col("back").alias("r"), (F.col("kt") + F.col("ko")).alias("weight"))
+    # whatever its word, a bigram whose counts are within chance at both ends of the words' odds is so between them
+    ends = ranked.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
+    may = [sure(F.lit(1.0), F.col("t"), F.col("o"), F.lit(ends[e] + odds), least * (1 - 1e-9)) > 0 for e in ("lo", "hi")]
+    seen = n.where(may[0] | may[1]).join(ctx.select("v", "vt", "vo", "mt", "mo", "back"), "v").join(ranked.select("w", "pt", "po", "raw"), "w")
+    full = {c: F.when(F.col("v" + c) > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col("v" + c)).otherwise(0.0) + F.col("m" + c) * F.col("p" + c) for c in "to"}
+    more = sure(F.log(full["t"] / full["o"]) - F.col("raw") - F.col("back"), F.col("t"), F.col("o"), F.col("raw") + odds, least)
+    pair = seen.select(F.col("pair").alias("key"), more.alias("r"), (F.col("t") + F.col("o")).alias("weight"))
+    return word.union(after).union(pair).select("key", F.col("r").cast("float").alias("r"), "weight").where("r <> 0")
+
+
+def prepared(entries: DataFrame, keep: int) -> tuple[dict[str, np.ndarray], DataFrame | None]:
+    """The `keep` most frequent rows of the model as sorted arrays, with a set of the other keys' hashes (at most BITS
+    bits), and those other rows, or None if there are none."""
+    entries = cut(entries, "model")
+    top = entries.orderBy(F.desc("weight"), "key").limit(keep).toPandas()
+    got = top.sort_values("key")
+    model = {"keys": got["key"].to_numpy(np.int64), "r": got["r"].to_numpy(np.float32)}
+    if len(top) < keep or entries.count() == keep:
+        return model, None
+    last = top.iloc[-1] if keep else {"weight": float("inf"), "key": 0}
+    cold = entries.where((F.col("weight") < float(last["weight"])) | ((F.col("weight") == float(last["weight"])) & (F.col("key") > int(last["key"])))).select("key", "r")
+    marks = cold.select(F.pmod("key", F.lit(BITS)).alias("p")).groupBy(F.shiftright("p", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("bits")).toPandas()
+    model["rest"] = np.zeros(BITS // 64 + 1, np.int64)
+    model["rest"][marks["at"].to_numpy(np.int64)] = marks["bits"].to_numpy(np.int64)
+    return model, cold
+
+
+def known_ratios(column: pa.Array, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text what the broadcast rows add to its log-ratio and its number of words; (text, key, times) of keys
+    that the other rows may have."""
     pair, w, doc = bigrams(column)
-    r = np.zeros(len(w), np.float32)
-    for name, key in (("words", w), ("pairs", pair)):
-        if len(model[name]) and len(w):
-            at = np.minimum(np.searchsorted(model[name], key), len(model[name]) - 1)
-            r = np.where(model[name][at] == key, model[name + "_ratio"][at], r)
-    n = np.bincount(doc, minlength=len(column))
-    return np.bincount(doc, weights=r, minlength=len(column)) / np.maximum(n, 1)
-
-
-def ratios(docs: DataFrame, model: dict, extra: list[str], text: str = "text") -> DataFrame:
+    r = np.zeros(len(w))
+    left = []
+    for key in (w, -(pair >> 31), pair):
+        at = np.minimum(np.searchsorted(model["keys"], key), max(0, len(model["keys"]) - 1))
+        hit = model["keys"][at] == key if len(model["keys"]) else np.zeros(len(key), bool)
+        r[hit] += model["r"][at[hit]]
+        if "rest" in model:
+            p = key % BITS
+            may = ~hit & ((model["rest"][p >> 6] >> (p & 63)) & 1 == 1)
+            left.append((doc[may], key[may]))
+    d, k = (np.concatenate(x) for x in zip(*left, strict=True)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.lexsort((k, d))
+    d, k = d[order], k[order]
+    first = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(k, prepend=0) != 0))
+    times = np.diff(np.append(first, len(d)))
+    return np.bincount(doc, weights=r, minlength=len(column)).astype(np.float64), np.bincount(doc, minlength=len(column)), (d[first], k[first], times)
+
+
+def ratios(docs: DataFrame, model: dict, cold: DataFrame | None, extra: list[str], text: str = "text") -> DataFrame:
     """The columns `extra` of docs and ratio, the mean log-ratio per word."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    added = ["_sum", "_n", "_keys", "_times"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0):
-                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(mean_ratios(batch.column(0), shared.value))], names=[*extra, "ratio"])
-
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), *extra)
-    return rows.mapInArrow(scored, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:]) + ", ratio double")
+                total, n, (doc, key, times) = known_ratios(batch.column(0), shared.value)
+                at = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int64))) for x in (key, times)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(total), pa.array(n.astype(np.int64)), *lists], names=[*extra, "_row", *added])
+
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), *extra, F.monotonically_increasing_id().alias("_row"))
+    out = rows.mapInArrow(scored, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[1:]) + ", _sum double, _n long, _keys array<long>, _times array<long>")
+    if cold is not None:
+        # a text without such keys gets one that no row has and that differs from other texts'
+        asked = out.select(*extra, "_row", "_sum", "_n", F.explode_outer(F.arrays_zip("_keys", "_times")).alias("_x"))
+        asked = asked.select(*extra, "_row", "_sum", "_n", F.coalesce("_x._keys", -F.lit(2**32) - F.col("_row")).alias("key"), F.col("_x._times").alias("_times"))
+        more = F.coalesce(F.sum(F.col("r").cast("double") * F.col("_times")), F.lit(0.0))
+        out = asked.join(cold, "key", "left").groupBy("_row").agg(*[F.first(c).alias(c) for c in (*extra, "_n")], (F.first("_sum") + more).alias("_sum"))
+    return out.select(*extra, (F.col("_sum") / F.greatest(F.col("_n"), F.lit(1))).alias("ratio"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -158,14 +208,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable, keep: int = KEEP, max_f
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").select("doc_id", "toxic")
     side = F.broadcast(one) if small_enough(one, BROADCAST) else one
     texts = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull()).join(side, "doc_id")
-    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(ASIDE)) == 0
-    model = train(texts.where(~aside).select("text", "toxic"), keep)
-    fit = texts.where(aside).withColumn("_u", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)))
-    n = one.count() // ASIDE
-    fit = fit.where(F.col("_u") < int(1e6 * min(1.0, max_fit / max(n, 1))))
-    got = ratios(fit, model, ["toxic"]).toPandas()
+    share = min(1 / ASIDE, max_fit / max(one.count(), 1))  # set aside no more than is fitted to
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(2**30)) < int(share * 2**30)
+    model, cold = prepared(train(texts.where(~aside).select("text", "toxic")), keep)
+    got = ratios(texts.where(aside), model, cold, ["toxic"]).toPandas()
     slope, offset = logistic(np.tanh(got["ratio"].to_numpy() / SPAN), got["toxic"].to_numpy())
-    out = ratios(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"])
+    out = ratios(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, cold, ["doc_id"])
     score = 1 / (1 + F.exp(-(F.tanh(F.col("ratio") / SPAN) * slope + offset)))
     return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

@@ -282,6 +282,15 @@ def test_toxicity_counts_frequent_bigrams_whole(spark):
     assert out[5000] > 0.5, out
 
 
+def test_toxicity_scores_with_the_whole_model(spark):
+    # however few rows of the model are broadcast, the others are joined
+    docs, labels = (spark.read.parquet(f"{MIDDLE}/{n}.parquet") for n in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(None, "no id"), (-1, None), (-1, "")], "doc_id long, text string"))
+    whole, joined = ({(r["doc_id"], i) if r["doc_id"] in (None, -1) else r["doc_id"]: r["ratio"] for i, r in enumerate(toxicity.toxicity(docs, labels, F.lit(True), keep=k).orderBy("doc_id", "ratio").collect())} for k in (300_000, 5))
+    assert whole.keys() == joined.keys() and len(whole) == docs.count() and any(whole.values())
+    assert max(abs(whole[k] - joined[k]) for k in whole) < 1e-6
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     names = docs.columns
