@@ -176,13 +176,19 @@ def near_miss(spark, d):
 # evaluation on segments: truth against the same intervals moved by value / 100
 
 
-def truth_and_predictions(spark, d):
+def truth_and_shifted(spark, d):
     t = tracks(spark, d).select("event_id", "video_id", F.col("event_type").alias("label"), F.col("t").alias("start"), (F.col("t") + 1 + F.col("y1") / 50).alias("end"), "x1")
-    truth = t.select(F.col("event_id").alias("id"), "video_id", "label", "start", "end").where("id % 3 = 0")
-    pred = t.select(F.col("event_id").alias("id"), "video_id", "label", (F.col("start") + F.col("x1") / 100).alias("start"), (F.col("end") + F.col("x1") / 100).alias("end")).where("id % 2 = 0")
+    truth = t.select(F.col("event_id").alias("id"), "video_id", "label", "start", "end")
+    pred = t.select(F.col("event_id").alias("id"), "video_id", "label", (F.col("start") + F.col("x1") / 100).alias("start"), (F.col("end") + F.col("x1") / 100).alias("end"))
     return truth, pred
 
 
+def truth_and_predictions(spark, d):
+    """The third and the half of them that the SQL compares."""
+    truth, pred = truth_and_shifted(spark, d)
+    return truth.where("id % 3 = 0"), pred.where("id % 2 = 0")
+
+
 CAND = f"""{SEG}, tp as (select tr.event_id as id, tr.video_id, event_type as label, t as s, t + 1 + y1 / 50 as e, x1 / 100 as sh from tr),
 cand as (select a.video_id, a.label, a.id as truth_id, b.id as pred_id, (least(a.e, b.e + b.sh) - greatest(a.s, b.s + b.sh)) / ((a.e - a.s) + (b.e - b.s) - (least(a.e, b.e + b.sh) - greatest(a.s, b.s + b.sh))) as iou
   from tp a join tp b on a.video_id = b.video_id and a.label = b.label and a.id % 3 = 0 and b.id % 2 = 0 and a.s < b.e + b.sh and b.s + b.sh < a.e)"""
@@ -205,7 +211,7 @@ def prf_counts(spark, d):
 
 @keep("greedy_match")
 def greedy_match(spark, d):
-    return V.greedy_match(V.candidates(*truth_and_predictions(spark, d), 0.3)).select("video_id", "label", "truth_id", "pred_id", *rounded("iou"))
+    return V.greedy_match(V.candidates(*truth_and_shifted(spark, d), 0.3)).select("video_id", "label", "truth_id", "pred_id", *rounded("iou"))
 
 
 @query("""with s as (select round_even(embedding[1]::double, 2) as score, (label = 3)::int as pos from embeddings), g as (select score, sum(pos) as p, count(*) as n from s group by score),
@@ -221,6 +227,11 @@ def curve(spark, d):
 
 
 def spans_of(spark, d, label):
+    return segments(spark, d).where(F.col("label") == label).select("video_id", "start", "end")
+
+
+def tenth_of(spark, d, label):
+    """The spans that frame_label's SQL has."""
     return segments(spark, d).where((F.col("label") == label) & (F.col("event_id") % 10 == 0)).select("video_id", "start", "end")
 
 
@@ -228,7 +239,7 @@ def spans_of(spark, d, label):
   select tr.event_id, case when exists (select 1 from ac where ac.video_id = tr.video_id and tr.t between ac.s and ac.e) then -1 when exists (select 1 from ac where ac.video_id = tr.video_id and tr.t >= ac.s - 5 and tr.t < ac.s) then 1
     when exists (select 1 from nm where nm.video_id = tr.video_id and tr.t between nm.s - 5 and nm.e) then -1 else 0 end as label from tr where t < 100""")
 def frame_label(spark, d):
-    return V.frame_labels(curve(spark, d).where("t < 100"), spans_of(spark, d, "error"), spans_of(spark, d, "signup")).select("event_id", F.coalesce("label", F.lit(-1)).alias("label"))
+    return V.frame_labels(curve(spark, d).where("t < 100"), tenth_of(spark, d, "error"), tenth_of(spark, d, "signup")).select("event_id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 @query(f"""with {TR}, m as (select *, x1 / 500 >= 0.5 as ok from tr), i as (select *, sum(case when ok then 0 else 1 end) over (partition by video_id order by t, event_id rows unbounded preceding) as run from m),
