@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textbytes import slices
 from .tokens import encoder, vocabulary
 
 WINDOW, END, MAX_OPEN = 2048, 1, 4096
@@ -109,12 +110,11 @@ def packed(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = EN
             return pa.RecordBatch.from_arrays(out, names=names)
 
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            for lo in range(0, batch.num_rows, 512):
-                texts = [t or "" for t in batch.column(1).slice(lo, 512).to_pylist()]
+            for part in slices(batch, 1, 400_000):
                 found: list[tuple] = []
-                for name, ids in zip(own[lo : lo + 512], enc.encode(texts), strict=True):
-                    found += packer.add(name, np.append(ids, np.uint32(end_id)))
+                ids, n = enc.encode(part.column(1))
+                for name, own in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                    found += packer.add(name, np.append(own, np.uint32(end_id)))
                 if found:
                     yield rows(found)
         if found := list(packer.finish()):
@@ -122,7 +122,7 @@ def packed(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = EN
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(pack, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(pack, schema)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-_RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_RANDOM = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.uint64) | np.uint64(1)
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
@@ -51,12 +51,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretches of one byte array, each at the cost of two look-ups."""
+    """Hashes of any stretches of one byte array, each at the cost of two look-ups. There are two families of them."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, family: int = 0):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_RANDOM[data] * powers(INVERSE, n), out=self.sums[1:])
+        np.cumsum(_RANDOM[family][data] * powers(INVERSE, n), out=self.sums[1:])
         self.up = powers(BASE, n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:

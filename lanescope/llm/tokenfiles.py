@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from .common import scratch
 from .rangecoder import decode_block, encode_block
+from .textbytes import slices
 from .tokens import encoder, vocabulary
 
 END = 2
@@ -50,10 +51,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None,
             )
 
         for batch in batches:
-            own = batch.column(0).to_pylist()
-            for lo in range(0, batch.num_rows, 512):
-                texts = [t or "" for t in batch.column(1).slice(lo, 512).to_pylist()]
-                for name, ids in zip(own[lo : lo + 512], enc.encode(texts), strict=True):
+            for part in slices(batch, 1, 400_000):
+                flat, n = enc.encode(part.column(1))
+                for name, ids in zip(part.column(0).to_pylist(), np.split(flat, np.cumsum(n)[:-1]), strict=True):
                     names.append(name)
                     sizes.append(len(ids) + 1)
                     held += [ids, np.array([end_id], np.uint32)]
@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None,
         if names:
             yield flush()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(coded, BLOCKS).write.parquet(path)
 
 
