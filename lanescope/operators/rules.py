@@ -12,7 +12,7 @@ from . import pairs as P
 from .kinematics import gradient
 from .runs import ORDER, TRACK, fill_gaps, over, runs, unwrapped
 from .scene import CELL, flow_direction, with_cell
-from .temporal import as_of, spine
+from .temporal import as_of, binned_join, spine
 
 EVENT = ["video_id", "tid", "start", "end"]
 
@@ -146,22 +146,27 @@ def solid_line_crossing(kin: DataFrame, line: G.Points, reach: float) -> DataFra
 
 
 def turns(kin: DataFrame, rate: float, moving: float, gap: float) -> DataFrame:
-    """(video_id, tid, start, end, total): stretches of turning, with the whole change of heading."""
+    """(video_id, tid, start, end, total, mid, first, last): stretches of turning, with the whole change of heading, the place
+    of the middle row, and of the track's first and last ones."""
     v = kin.where(F.col("cls").isin(P.VEHICLES)).withColumn("unwrapped", unwrapped("heading"))
     v = v.withColumn("rate", F.abs(gradient("unwrapped")))
     v = v.withColumn("turning", F.coalesce((F.col("rate") > rate) & (F.col("speed") > moving), F.lit(False)))
     v = v.withColumn("filled", fill_gaps(v, "turning", gap))
     first, last = F.min_by("unwrapped", F.struct(*ORDER)), F.max_by("unwrapped", F.struct(*ORDER))
-    at = [F.min_by(F.struct("gx", "gy"), F.struct(*ORDER)).alias("a"), F.max_by(F.struct("gx", "gy"), F.struct(*ORDER)).alias("b")]
-    found = runs(v, F.col("filled"), TRACK, ORDER, F.abs(last - first).alias("total"), F.count_if(F.col("speed") > moving).alias("movers"), *at)
-    return found.where("n > 1 and movers >= 3").select(*EVENT, "total", "a", "b")
+    own = Window.partitionBy(*TRACK)
+    place = F.struct("gx", "gy")
+    v = v.withColumns({"_row": F.row_number().over(over()), "first": F.min_by(place, F.struct(*ORDER)).over(own), "last": F.max_by(place, F.struct(*ORDER)).over(own), "movers": F.count_if(F.col("speed") > moving).over(own)})
+    at = [F.min("_row").alias("i"), F.max("_row").alias("j"), F.min("first").alias("first"), F.min("last").alias("last"), F.min("movers").alias("movers")]
+    found = runs(v, F.col("filled"), TRACK, ORDER, F.abs(last - first).alias("total"), *at).where("n > 1 and movers >= 3")
+    mid = v.select(*TRACK, "_row", place.alias("mid"))
+    return found.withColumn("_row", F.floor((F.col("i") + F.col("j")) / 2).cast("int")).join(mid, [*TRACK, "_row"]).select(*EVENT, "total", "mid", "first", "last")
 
 
 def contacts(kin: DataFrame, least: float) -> DataFrame:
-    """(video_id, a_tid, b_tid, t0): first contact of pairs on the road with a vehicle among them."""
+    """(video_id, a_tid, b_tid, a_cls, b_cls, t0): first contact of pairs on the road with a vehicle among them."""
     users = kin.where(F.col("on_road") & F.col("cls").isin(*P.VEHICLES)).unionByName(P.walkers(kin.where("on_road")).where("cls = 'person'"))
     p = P.with_iou(P.frame_pairs(users)).where((F.col("iou") >= least) & (F.col("a_cls").isin(P.VEHICLES) | F.col("b_cls").isin(P.VEHICLES)))
-    return p.groupBy("video_id", "a_tid", "b_tid").agg(F.min("t").alias("t0"))
+    return p.groupBy("video_id", "a_tid", "b_tid").agg(F.min("a_cls").alias("a_cls"), F.min("b_cls").alias("b_cls"), F.min("t").alias("t0"))
 
 
 def speed_windows(events: DataFrame, kin: DataFrame, tid: str, at: str, windows: dict[str, tuple[float, float, str]]) -> DataFrame:
@@ -176,11 +181,11 @@ def speed_windows(events: DataFrame, kin: DataFrame, tid: str, at: str, windows:
 
 
 def accidents(kin: DataFrame, contact: float, impact: float, drop: float, moving: float, stopped: float, scale: float = 1.0) -> DataFrame:
-    """(video_id, a_tid, b_tid, start, end): contacts after which one party brakes hard and both stay slow. Times scale with `scale`."""
+    """(video_id, a_tid, b_tid, start, end): contacts at which a vehicle loses its speed and both parties stay slow. Times scale with `scale`."""
     c = contacts(kin, contact)
     for s in "ab":
         c = speed_windows(c, kin, f"{s}_tid", "t0", {f"{s}_peak": (-0.3 * scale, 0.3 * scale, "max"), f"{s}_low": (0.0, scale, "min"), f"{s}_after": (0.5 * scale, 2.5 * scale, "avg")})
-    hit = lambda s: (F.col(f"{s}_peak") >= impact) & (F.col(f"{s}_low") <= (1 - drop) * F.col(f"{s}_peak"))
+    hit = lambda s: F.coalesce(F.col(f"{s}_cls").isin(P.VEHICLES) & (F.col(f"{s}_peak") >= impact) & (F.col(f"{s}_low") <= (1 - drop) * F.col(f"{s}_peak")), F.lit(False))
     slow = lambda s: F.coalesce(F.col(f"{s}_after") <= moving, F.lit(True))
     c = c.where((hit("a") | hit("b")) & slow("a") & slow("b")).select("video_id", "a_tid", "b_tid", "t0")
     rows = kin.select("video_id", "tid", "t", "speed")
@@ -189,20 +194,35 @@ def accidents(kin: DataFrame, contact: float, impact: float, drop: float, moving
     return per.groupBy("video_id", "a_tid", "b_tid", "t0").agg(F.max("done").alias("done")).select("video_id", "a_tid", "b_tid", F.col("t0").alias("start"), F.greatest("done", F.col("t0") + scale).alias("end"))
 
 
-def near_misses(kin: DataFrame, crashes: DataFrame, ttc: float, clear: float, factor: float, peak: float, drop: float, scale: float = 1.0) -> DataFrame:
-    """(video_id, a_tid, b_tid, start, end): close calls in which a vehicle brakes and the pair doesn't crash about then."""
+def braking(calls: DataFrame, kin: DataFrame, moving: float, peak: float, drop: float, turn: float, scale: float) -> DataFrame:
+    """(video_id, a_tid, b_tid, onset): for close calls (video_id, a_tid, b_tid, tc) the first time that one of the vehicles
+    began to lose its speed. A vehicle begins to brake when it last was near its peak before the call, unless it is turning."""
+    rows = kin.where(F.col("cls").isin(P.VEHICLES)).select("video_id", "tid", "t", "speed", "heading")
+    pair = ["video_id", "a_tid", "b_tid", "tid"]
+    spans = calls.withColumn("tid", F.explode(F.array("a_tid", "b_tid"))).withColumns({"start": F.col("tc") - 1.5 * scale, "end": F.col("tc") + 2.0 * scale})
+    near = binned_join(rows, spans.select(*pair, "tc", "start", "end"), ["video_id", "tid"], 4.0 * scale)
+    before, around = F.col("t") <= F.col("tc") + 0.5 * scale, (F.col("t") <= F.col("tc") + 1.5 * scale) & (F.col("speed") > moving)
+    top = near.withColumn("top", F.max(F.when(before, F.col("speed"))).over(Window.partitionBy(*pair)))
+    top = top.withColumn("from", F.max(F.when(before & (F.col("speed") >= 0.95 * F.col("top")), F.col("t"))).over(Window.partitionBy(*pair)))
+    after = F.col("t").between(F.col("from"), F.col("from") + 1.5 * scale)
+    per = top.groupBy(*pair, "top", "from").agg(F.min(F.when(after, F.col("speed"))).alias("low")).where((F.col("top") >= peak) & (F.col("low") <= (1 - drop) * F.col("top")))
+    headed = near.where(around).withColumn("turned", unwrapped("heading", pair, ["t"]))
+    turning = headed.groupBy(*pair).agg(F.count("*").alias("n"), (F.max("turned") - F.min("turned")).alias("turned")).where((F.col("n") >= 3) & (F.col("turned") > turn))
+    return per.join(turning.select(*pair), pair, "left_anti").groupBy("video_id", "a_tid", "b_tid").agg(F.min("from").alias("onset"))
+
+
+def near_misses(kin: DataFrame, crashes: DataFrame, ttc: float, clear: float, factor: float, peak: float, drop: float, moving: float, turn: float = 30.0, scale: float = 1.0) -> DataFrame:
+    """(video_id, a_tid, b_tid, start, end): close calls before which a vehicle brakes hard without turning, from the onset
+    of braking to the end of the close stretch. A pair that crashes about when it first comes close isn't one."""
     users = kin.where(F.col("on_road") & F.col("cls").isin(P.VEHICLES)).unionByName(P.walkers(kin.where("on_road")))
     p = P.with_ttc(P.frame_pairs(users), factor).where((F.col("ttc") < clear) & (F.col("a_cls").isin(P.VEHICLES) | F.col("b_cls").isin(P.VEHICLES)))
     pair = ["video_id", "a_tid", "b_tid"]
     w = Window.partitionBy(*pair).orderBy("t")
     new = (F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)) > scale).cast("int")
     p = p.withColumn("_new", new).withColumn("part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    worst = p.groupBy(*pair).agg(F.min(F.struct("ttc", "t", "part")).alias("m"), F.min("t").alias("start")).where(F.col("m.ttc") < ttc).select(*pair, "start", F.col("m.t").alias("tc"), F.col("m.part").alias("part"))
-    ends = p.groupBy(*pair, "part").agg(F.max("t").alias("till"))
-    c = worst.join(ends, [*pair, "part"]).drop("part")
-    same = crashes.select("video_id", "a_tid", "b_tid", F.col("start").alias("t0"))
-    c = c.join(same, (c["video_id"] == same["video_id"]) & (c["a_tid"] == same["a_tid"]) & (c["b_tid"] == same["b_tid"]) & (F.abs(c["tc"] - same["t0"]) < 5 * scale), "left_anti")
-    for s in "ab":
-        c = speed_windows(c, kin.where(F.col("cls").isin(P.VEHICLES)), f"{s}_tid", "tc", {f"{s}_peak": (-1.5 * scale, 0.5 * scale, "max"), f"{s}_low": (0.0, 2.0 * scale, "min")})
-    brakes = lambda s: F.coalesce((F.col(f"{s}_peak") >= peak) & (F.col(f"{s}_low") <= (1 - drop) * F.col(f"{s}_peak")), F.lit(False))
-    return c.where(brakes("a") | brakes("b")).select(*pair, "start", F.greatest("till", F.col("tc") + 0.5).alias("end"))
+    worst = p.groupBy(*pair).agg(F.min(F.struct("ttc", "t", "part")).alias("m"), F.min("t").alias("first")).where(F.col("m.ttc") < ttc).select(*pair, "first", F.col("m.t").alias("tc"), F.col("m.part").alias("part"))
+    c = worst.join(p.groupBy(*pair, "part").agg(F.max("t").alias("till")), [*pair, "part"]).drop("part")
+    same = crashes.select("video_id", "a_tid", "b_tid", F.col("start").alias("t0")).join(c.select(*pair, "first"), pair).where(F.abs(F.col("t0") - F.col("first")) < 5 * scale)
+    c = c.join(same.select(*pair), pair, "left_anti")
+    found = c.join(braking(c, kin, moving, peak, drop, turn, scale), pair)
+    return found.select(*pair, F.col("onset").alias("start"), F.greatest("till", F.col("tc") + 0.5 * scale).alias("end"))

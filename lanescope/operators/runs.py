@@ -23,9 +23,8 @@ def runs(df: DataFrame, mask: Column, keys: list[str] = TRACK, order: list[str]
 
 def fill_gaps(df: DataFrame, mask: str, max_gap: float, keys: list[str] = TRACK, order: list[str] = ORDER) -> Column:
     """The mask with false stretches set that lie between true rows at most max_gap apart in time."""
-    w, hit = over(keys, order), F.when(F.col(mask), F.col("t"))
-    before = F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(hit, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    hit, reverse = F.when(F.col(mask), F.col("t")), Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    before, after = (F.last(hit, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (over(keys, order), reverse))
     return F.col(mask) | F.coalesce(after - before <= max_gap, F.lit(False))
 
 

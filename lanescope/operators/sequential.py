@@ -8,6 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .temporal import overlapping
 
 
 def box_iou(a, b) -> float:
@@ -18,43 +21,63 @@ def box_iou(a, b) -> float:
 
 
 def stitch_runs(found: DataFrame, max_gap: float = 3.0, least: float = 0.5) -> DataFrame:
-    """Runs (video_id, start, end, x1, y1, x2, y2) joined, by start, to the first group that ended at most max_gap before and
-    whose first box overlaps theirs enough: (video_id, start, end, x1, y1, x2, y2, parts)."""
+    """Runs (video_id, tid, start, end, x1, y1, x2, y2) joined, by start, to the first group that ended at most max_gap before
+    and whose first box overlaps theirs enough; with the group's first tid and its number of parts.
+
+    Runs that begin over max_gap after all before them have ended start an island; islands are folded one by one.
+    """
+    cols = ["video_id", "tid", "start", "end", "x1", "y1", "x2", "y2"]
+    w = Window.partitionBy("video_id").orderBy("start", "end", "x1", "y1")
+    fresh = F.coalesce(F.col("start") - F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) > max_gap, F.lit(True))
+    split = found.select(*cols).withColumn("island", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def join(df: pd.DataFrame) -> pd.DataFrame:
+        rows = df.sort_values(["start", "end", "x1", "y1"])
         groups: list[list] = []
-        for r in df.sort_values(["start", "end", "x1", "y1"]).itertuples(index=False):
-            box = (r.x1, r.y1, r.x2, r.y2)
+        for tid, start, end, *box in rows[cols[1:]].itertuples(index=False):
             for g in groups:
-                if 0 <= r.start - g[1] <= max_gap and box_iou(g[2], box) >= least:
-                    g[1], g[3] = max(g[1], r.end), g[3] + 1
+                if 0 <= start - g[3] <= max_gap and box_iou(g[4:8], box) >= least:
+                    g[3], g[8] = max(g[3], end), g[8] + 1
                     break
             else:
-                groups.append([r.start, r.end, box, 1])
-        rows = [(df["video_id"].iloc[0], g[0], g[1], *g[2], g[3]) for g in groups]
-        return pd.DataFrame(rows, columns=["video_id", "start", "end", "x1", "y1", "x2", "y2", "parts"])
+                groups.append([df["video_id"].iloc[0], tid, start, end, *box, 1])
+        return pd.DataFrame(groups, columns=[*cols, "parts"])
 
-    return found.select("video_id", "start", "end", "x1", "y1", "x2", "y2").groupBy("video_id").applyInPandas(join, "video_id long, start double, end double, x1 double, y1 double, x2 double, y2 double, parts long")
+    return split.groupBy("video_id", "island").applyInPandas(join, "video_id long, tid long, start double, end double, x1 double, y1 double, x2 double, y2 double, parts long")
 
 
 def candidate_groups(segments: DataFrame, least: float = 0.2) -> DataFrame:
-    """Segments grouped, longest first, with the first representative they overlap: (video_id, label, start, end, hits)."""
+    """Candidates of (video_id, label, start, end, current): (video_id, label, start, end, hits, current).
+
+    Each current segment is one, hit by every other segment that overlaps it. Segments that overlap no current one are
+    grouped by start and end with the first group whose first member they overlap by `least`, which widens to hold them.
+    A group of segments that nothing before them reaches ends an island; islands are folded one by one.
+    """
+    s = segments.select("video_id", "label", "start", "end", "current")
+    now = s.where("current").withColumn("id", F.monotonically_increasing_id())
+    other = s.where("not current").withColumn("other", F.monotonically_increasing_id())
+    keys = ["video_id", "label"]
+    met = overlapping(now.select(*keys, "id", "start", "end"), other.select(*keys, "other", F.col("start").alias("start_b"), F.col("end").alias("end_b")), keys, 10.0)
+    hit = now.join(met.groupBy("id").count(), "id", "left").select(*keys, "start", "end", (F.coalesce("count", F.lit(0)) + 1).alias("hits"), "current")
+    rest = other.join(met.select("other").distinct(), "other", "left_anti")
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    fresh = F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    rest = rest.withColumn("island", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
     def group(df: pd.DataFrame) -> pd.DataFrame:
-        reps: list[list] = []
-        df = df.assign(size=df["end"] - df["start"]).sort_values(["size", "start"], ascending=[False, True])
-        for s, e in zip(df["start"], df["end"], strict=True):
-            for r in reps:
-                both, hull = min(e, r[1]) - max(s, r[0]), max(e, r[1]) - min(s, r[0])
-                if hull > 0 and both / hull >= least:
-                    r[2] += 1
+        made: list[list] = []  # first start, first end, start, end, hits
+        for s, e in df[["start", "end"]].sort_values(["start", "end"]).to_numpy():
+            for g in made:
+                if min(e, g[1]) - max(s, g[0]) >= least * (max(e, g[1]) - min(s, g[0])):
+                    g[2:] = min(g[2], s), max(g[3], e), g[4] + 1
                     break
             else:
-                reps.append([s, e, 1])
-        rows = [(df["video_id"].iloc[0], df["label"].iloc[0], *r) for r in reps]
-        return pd.DataFrame(rows, columns=["video_id", "label", "start", "end", "hits"])
+                made.append([s, e, s, e, 1])
+        rows = [(df["video_id"].iloc[0], df["label"].iloc[0], *g[2:], False) for g in made]
+        return pd.DataFrame(rows, columns=["video_id", "label", "start", "end", "hits", "current"])
 
-    return segments.select("video_id", "label", "start", "end").groupBy("video_id", "label").applyInPandas(group, "video_id long, label string, start double, end double, hits long")
+    grouped = rest.groupBy(*keys, "island").applyInPandas(group, "video_id long, label string, start double, end double, hits long, current boolean")
+    return hit.unionByName(grouped)
 
 
 def smoothed(curve: DataFrame, tau: float = 0.6) -> DataFrame:

@@ -18,8 +18,9 @@ def as_of(left: DataFrame, right: DataFrame, values: list[str], keys: list[str],
     held = F.struct("t", *values)
     a = left.select(*keys, "t", F.struct(*names).alias("_l"), F.lit(None).cast(right.select(held.alias("x")).schema["x"].dataType).alias("_r"), F.lit(0 if forward else 1).alias("_o"))
     b = right.select(*keys, "t", F.lit(None).cast(a.schema["_l"].dataType).alias("_l"), held.alias("_r"), F.lit(1 if forward else 0).alias("_o"))
-    w = Window.partitionBy(*keys).orderBy("t", "_o", "_r")
-    near = F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # forward runs over the rows in reverse: a frame that only grows costs one pass, one that shrinks is scanned anew for every row
+    order = [F.desc(c) if forward else F.asc(c) for c in ("t", "_o", "_r")]
+    near = F.last("_r", True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     both = a.unionByName(b).withColumn("_n", near)
     if clamp:
         every = Window.partitionBy(*keys)

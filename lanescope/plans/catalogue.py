@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rules, tracks
+from . import review, rules, tracks
 
-QUERIES: dict = tracks.QUERIES | rules.QUERIES
-ORACLES: dict = tracks.ORACLES | rules.ORACLES
+QUERIES: dict = tracks.QUERIES | rules.QUERIES | review.QUERIES
+ORACLES: dict = tracks.ORACLES | rules.ORACLES | review.ORACLES

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,21 +24,9 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumns({"frame": F.floor("t").cast("long"), "x2": F.col("x1") + 10 + F.col("event_id") % 31, "y2": F.col("y1") + 10 + F.col("event_id") % 17})
 
 
-_KEPT: dict[tuple, DataFrame] = {}
-
-
-def kept(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """One persisted DataFrame per application, folder and name: most rules read the same kinematic tracks."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        for old in [k for k in _KEPT if k[0] != key[0]]:
-            del _KEPT[old]
-        _KEPT[key] = make().persist()
-    return _KEPT[key]
-
-
 def kinematic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(spark, sf_dir, "kinematic", lambda: with_kinematics(majority_class(tracks(spark, sf_dir)), WIN))
+    """Persisted: most rules read it several times. spark.catalog.clearCache() frees it; the next call makes it anew."""
+    return with_kinematics(majority_class(tracks(spark, sf_dir)), WIN).persist()
 
 
 TR = """tr as (select event_id, user_id % 4 as video_id, user_id as tid, (epoch_us(ts) - 1704067200000000) / 3.6e9::double as t,

@@ -156,21 +156,21 @@ def crashes(spark, d):
 
 
 @query(f"""with {ROAD}{WALKR}, us as (select video_id, frame, t, event_id, tid, cls, x1, y1, x2, y2 from kr where on_road and {VEH} union all select video_id, frame, t, event_id, tid, cls, x1, y1, x2, y2 from wk where on_road),
-  p as (select a.video_id, a.tid as a_tid, b.tid as b_tid, min(a.t) as t0 from us a join us b on a.video_id = b.video_id and a.frame = b.frame and a.tid < b.tid
+  p as (select a.video_id, a.tid as a_tid, b.tid as b_tid, min(a.cls) as a_cls, min(b.cls) as b_cls, min(a.t) as t0 from us a join us b on a.video_id = b.video_id and a.frame = b.frame and a.tid < b.tid
     and greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) + 1e-9) >= 0.05
     and (a.{VEH} or b.{VEH}) group by all),
   s as (select p.*, u.side, max(case when k.t between t0 - 3 and t0 + 3 then speed end) as peak, min(case when k.t between t0 and t0 + 10 then speed end) as low, avg(case when k.t between t0 + 5 and t0 + 25 then speed end) as aft,
       coalesce(min(case when k.t >= t0 and speed < 0.04 then k.t end), max(case when k.t >= t0 then k.t end)) as done
     from p, (values ('a'), ('b')) u(side) join kr k on k.video_id = p.video_id and k.tid = case u.side when 'a' then p.a_tid else p.b_tid end group by all)
   select video_id, a_tid, b_tid, round_even(t0, 4) as "start", round_even(greatest(max(done), t0 + 10), 4) as "end" from s group by video_id, a_tid, b_tid, t0
-  having max(case when peak >= 0.1 and low <= 0.7 * peak then 1 else 0 end) = 1 and min(case when aft is null or aft <= 0.3 then 1 else 0 end) = 1""")
+  having max(case when case side when 'a' then a_cls else b_cls end <> 'person' and peak >= 0.1 and low <= 0.7 * peak then 1 else 0 end) = 1 and min(case when aft is null or aft <= 0.3 then 1 else 0 end) = 1""")
 def accident(spark, d):
     return crashes(spark, d).select("video_id", "a_tid", "b_tid", *rounded("start", "end"))
 
 
 @keep("near_miss")
 def near_miss(spark, d):
-    return E.near_misses(on_road(spark, d), crashes(spark, d), 20.0, 60.0, 0.25, 0.1, 0.3, 10.0).select("video_id", "a_tid", "b_tid", *rounded("start", "end"))
+    return E.near_misses(on_road(spark, d), crashes(spark, d), 20.0, 60.0, 0.25, 0.1, 0.3, MOVING, 30.0, 10.0).select("video_id", "a_tid", "b_tid", *rounded("start", "end"))
 
 
 # evaluation on segments: truth against the same intervals moved by value / 100
@@ -183,27 +183,21 @@ def truth_and_shifted(spark, d):
     return truth, pred
 
 
-def truth_and_predictions(spark, d):
-    """The third and the half of them that the SQL compares."""
-    truth, pred = truth_and_shifted(spark, d)
-    return truth.where("id % 3 = 0"), pred.where("id % 2 = 0")
-
-
 CAND = f"""{SEG}, tp as (select tr.event_id as id, tr.video_id, event_type as label, t as s, t + 1 + y1 / 50 as e, x1 / 100 as sh from tr),
 cand as (select a.video_id, a.label, a.id as truth_id, b.id as pred_id, (least(a.e, b.e + b.sh) - greatest(a.s, b.s + b.sh)) / ((a.e - a.s) + (b.e - b.s) - (least(a.e, b.e + b.sh) - greatest(a.s, b.s + b.sh))) as iou
-  from tp a join tp b on a.video_id = b.video_id and a.label = b.label and a.id % 3 = 0 and b.id % 2 = 0 and a.s < b.e + b.sh and b.s + b.sh < a.e)"""
+  from tp a join tp b on a.video_id = b.video_id and a.label = b.label and a.s < b.e + b.sh and b.s + b.sh < a.e)"""
 
 
 @query(f"with {CAND} select truth_id, pred_id, round_even(iou, 4) as iou from cand where iou >= 0.3")
 def tiou_candidates(spark, d):
-    return V.candidates(*truth_and_predictions(spark, d), 0.3).select("truth_id", "pred_id", *rounded("iou"))
+    return V.candidates(*truth_and_shifted(spark, d), 0.3).select("truth_id", "pred_id", *rounded("iou"))
 
 
-@query(f"""with {CAND}, b as (select label, count(distinct truth_id) as tp from cand where iou >= 0.3 group by label), nt as (select label, count(*) as n from tp where id % 3 = 0 group by label), np as (select label, count(*) as n from tp where id % 2 = 0 group by label),
+@query(f"""with {CAND}, b as (select label, count(distinct truth_id) as tp from cand where iou >= 0.3 group by label), nt as (select label, count(*) as n from tp group by label), np as (select label, count(*) as n from tp group by label),
   c as (select nt.label, coalesce(b.tp, 0) as tp, np.n - coalesce(b.tp, 0) as fp, nt.n - coalesce(b.tp, 0) as fn from nt join np using (label) left join b using (label))
   select label, tp, fp, fn, round_even(tp / (tp + fp), 4) as "precision", round_even(tp / (tp + fn), 4) as recall, round_even(2.0 * tp / (2 * tp + fp + fn), 4)::double as f1 from c""")
 def prf_counts(spark, d):
-    truth, pred = truth_and_predictions(spark, d)
+    truth, pred = truth_and_shifted(spark, d)
     hit = V.candidates(truth, pred, 0.3).select("label", "truth_id").distinct()
     c = V.counts(truth, pred, hit)
     return c.select("label", "tp", "fp", "fn", *V.prf(F.col("tp"), F.col("fp"), F.col("fn"))).withColumns({n: F.bround(n, 4) for n in ("precision", "recall", "f1")})
@@ -230,16 +224,11 @@ def spans_of(spark, d, label):
     return segments(spark, d).where(F.col("label") == label).select("video_id", "start", "end")
 
 
-def tenth_of(spark, d, label):
-    """The spans that frame_label's SQL has."""
-    return segments(spark, d).where((F.col("label") == label) & (F.col("event_id") % 10 == 0)).select("video_id", "start", "end")
-
-
-@query(f"""with {SEG}, ac as (select * from seg where label = 'error' and event_id % 10 = 0), nm as (select * from seg where label = 'signup' and event_id % 10 = 0)
+@query(f"""with {SEG}, ac as (select * from seg where label = 'error'), nm as (select * from seg where label = 'signup')
   select tr.event_id, case when exists (select 1 from ac where ac.video_id = tr.video_id and tr.t between ac.s and ac.e) then -1 when exists (select 1 from ac where ac.video_id = tr.video_id and tr.t >= ac.s - 5 and tr.t < ac.s) then 1
-    when exists (select 1 from nm where nm.video_id = tr.video_id and tr.t between nm.s - 5 and nm.e) then -1 else 0 end as label from tr where t < 100""")
+    when exists (select 1 from nm where nm.video_id = tr.video_id and tr.t between nm.s - 5 and nm.e) then -1 else 0 end as label from tr""")
 def frame_label(spark, d):
-    return V.frame_labels(curve(spark, d).where("t < 100"), tenth_of(spark, d, "error"), tenth_of(spark, d, "signup")).select("event_id", F.coalesce("label", F.lit(-1)).alias("label"))
+    return V.frame_labels(curve(spark, d), spans_of(spark, d, "error"), spans_of(spark, d, "signup")).select("event_id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 @query(f"""with {TR}, m as (select *, x1 / 500 >= 0.5 as ok from tr), i as (select *, sum(case when ok then 0 else 1 end) over (partition by video_id order by t, event_id rows unbounded preceding) as run from m),
@@ -338,10 +327,11 @@ def anonymous_ids(spark, d):
     return C.anonymous(votes(spark, d), "person", "seq").select("person", "anon").distinct()
 
 
-@query(f"with {SEG} select distinct video_id, label from seg where event_id % 7 = 0 except select video_id, label from seg where event_id % 50 = 1 and video_id < 2")
+@query(f"with {SEG} select distinct video_id, floor(s / 60)::int as minute, label from seg except select video_id, floor(e / 60)::int, label from seg where label in ('error', 'signup')")
 def set_difference(spark, d):
     s = segments(spark, d)
-    return s.where("event_id % 7 = 0").select("video_id", "label").subtract(s.where("event_id % 50 = 1 and video_id < 2").select("video_id", "label"))
+    minute = lambda c: F.floor(F.col(c) / 60).cast("int").alias("minute")
+    return s.select("video_id", minute("start"), "label").subtract(s.where(F.col("label").isin("error", "signup")).select("video_id", minute("end"), "label"))
 
 
 @query(f"with {SEG} select video_id, label, floor(s / 60)::int as minute, count(*) as n from seg group by all")
@@ -359,7 +349,8 @@ def stitch_runs(spark, d):
 
 @keep("candidate_groups")
 def candidate_groups(spark, d):
-    return Q.candidate_groups(segments(spark, d)).select("video_id", "label", *rounded("start", "end"), "hits")
+    s = segments(spark, d).withColumn("current", F.col("event_id") % 50 == 0)
+    return Q.candidate_groups(s).select("video_id", "label", *rounded("start", "end"), "hits", "current")
 
 
 @keep("ema_risk")

@@ -12,7 +12,7 @@ from lanescope.operators import runs as R
 from lanescope.operators import scene as S
 from lanescope.operators import temporal as T
 
-from .fixture import BOX, CROSSWALKS, DURATION, FLOW, GRID, KIN, LINE, MC, MOVING, NX, NY, RAW, REFUGE, ROAD, STOP_LINE, STOPPED, TR, WIN, kept, kinematic, r_sql, rounded, tracks
+from .fixture import BOX, CROSSWALKS, DURATION, FLOW, GRID, KIN, LINE, MC, MOVING, NX, NY, RAW, REFUGE, ROAD, STOP_LINE, STOPPED, TR, WIN, kinematic, r_sql, rounded, tracks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -239,7 +239,7 @@ def road_close(spark, d):
 
 
 def on_road(spark, d):
-    return kept(spark, d, "on_road", lambda: S.with_road(kinematic(spark, d), S.road_cells(flow(spark, d), 5, NY, NX), GRID, NY, NX))
+    return S.with_road(kinematic(spark, d), S.road_cells(flow(spark, d), 5, NY, NX), GRID, NY, NX).persist()
 
 
 @query(f"with {ROAD} select event_id, on_road from kr")

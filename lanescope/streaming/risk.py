@@ -91,7 +91,7 @@ class RiskState:
             return None
         na, nb = math.hypot(*a["v"]) + 1e-9, math.hypot(*b["v"]) + 1e-9
         cos = (a["v"][0] * b["v"][0] + a["v"][1] * b["v"][1]) / (na * nb)
-        if abs(cos) > s.parallel:
+        if both and abs(cos) > s.parallel:  # a standing party's heading is noise
             sign = 1.0 if cos >= 0 else -1.0
             ax, ay = a["v"][0] / na + sign * b["v"][0] / nb, a["v"][1] / na + sign * b["v"][1] / nb
             n = math.hypot(ax, ay) + 1e-9

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanescope.functions import geometry as G
-from lanescope.operators import evaluate, kinematics, pairs, rules, runs, scene, sequential, stats, temporal
+from lanescope.operators import detect, evaluate, kinematics, pairs, rules, runs, scene, sequential, stats, temporal, view
 from lanescope.sources import tables
-from lanescope.streaming.risk import RiskSettings, replay, risk_stream
+from lanescope.streaming.risk import RiskSettings, RiskState, replay, risk_stream
 
 SEG = "video_id long, start double, end double, label string"
 
@@ -22,9 +22,10 @@ def lit(*xs):
 
 
 def test_time_to_contact(spark):
-    assert one(spark, G.time_to_contact(*lit(100, 0, -20, 0, 10))) == pytest.approx(4.5)
-    assert one(spark, G.time_to_contact(*lit(100, 0, -20, 20, 10))) is None
-    assert one(spark, G.time_to_contact(*lit(5, 0, 20, 0, 10))) == 0
+    # 50 apart on a slant, closing at 5, touching at 10
+    assert one(spark, G.time_to_contact(*lit(30, 40, -3, -4, 10))) == pytest.approx(8)
+    assert one(spark, G.time_to_contact(*lit(30, 40, 4, -3, 10))) is None
+    assert one(spark, G.time_to_contact(*lit(-3, 4, 1, 1, 6))) == 0
 
 
 def test_polygons_and_lines(spark):
@@ -36,8 +37,12 @@ def test_polygons_and_lines(spark):
 
 
 def test_finalize_merges_clips_and_drops(spark):
-    e = spark.createDataFrame([(1, 1.0, 5.0, "jaywalking"), (1, 4.0, 9.0, "jaywalking"), (1, 9.5, 10.0, "jaywalking"), (1, 58.0, 70.0, "congestion"), (1, 20.0, 20.2, "blip")], SEG)
-    assert sorted((r["start"], r["end"], r["label"]) for r in runs.finalize(e, 60.0).collect()) == [(1.0, 10.0, "jaywalking"), (58.0, 60.0, "congestion")]
+    rows = [(2.25, 4.5, "wrong_way"), (5.25, 6.0, "wrong_way"), (7.5, 8.0, "wrong_way"), (-3.0, 1.125, "red_light"), (30.0, 30.25, "red_light"), (88.0, 95.0, "red_light"), (91.0, 99.0, "wrong_way")]
+    e = spark.createDataFrame([(7, *r) for r in rows], SEG)
+    got = sorted((r["label"], r["start"], r["end"]) for r in runs.finalize(e, 90.0).collect())
+    assert got == [("red_light", 0.0, 1.125), ("red_light", 88.0, 90.0), ("wrong_way", 2.25, 6.0), ("wrong_way", 7.5, 8.0)]
+    shifted = runs.finalize(e.where("label = 'wrong_way'"), 90.0, shift={"wrong_way": (0.5, 1.0)}).orderBy("start").first()
+    assert (shifted["start"], shifted["end"]) == (2.75, 9.0)
 
 
 def test_merging_is_idempotent_and_disjoint(spark):
@@ -97,9 +102,79 @@ def test_alarms_match_once_and_in_order(spark):
 
 
 def test_stitching_takes_the_first_group_that_fits(spark):
-    rows = [(0, 0.0, 5.0, 0.0, 0.0, 10.0, 10.0), (0, 7.0, 9.0, 1.0, 0.0, 11.0, 10.0), (0, 9.5, 12.0, 30.0, 0.0, 40.0, 10.0), (0, 20.0, 22.0, 0.0, 0.0, 10.0, 10.0)]
-    got = sequential.stitch_runs(spark.createDataFrame(rows, "video_id long, start double, end double, x1 double, y1 double, x2 double, y2 double"))
-    assert sorted((r["start"], r["end"], r["parts"]) for r in got.collect()) == [(0.0, 9.0, 2), (9.5, 12.0, 1), (20.0, 22.0, 1)]
+    rows = [(0, 4, 0.0, 5.0, 0.0, 0.0, 10.0, 10.0), (0, 5, 7.0, 9.0, 1.0, 0.0, 11.0, 10.0), (0, 6, 9.5, 12.0, 30.0, 0.0, 40.0, 10.0), (0, 7, 20.0, 22.0, 0.0, 0.0, 10.0, 10.0)]
+    got = sequential.stitch_runs(spark.createDataFrame(rows, "video_id long, tid long, start double, end double, x1 double, y1 double, x2 double, y2 double"))
+    assert sorted((r["tid"], r["start"], r["end"], r["parts"]) for r in got.collect()) == [(4, 0.0, 9.0, 2), (6, 9.5, 12.0, 1), (7, 20.0, 22.0, 1)]
+
+
+def plain_groups(current, others):
+    out = [[s, e, 1, True] for s, e in sorted(current)]
+    groups = []
+    for s, e in sorted(others):
+        if any(s < c[1] and c[0] < e for c in out):
+            for c in out:
+                c[2] += s < c[1] and c[0] < e
+            continue
+        for g in groups:
+            if min(e, g["e"]) - max(s, g["s"]) >= 0.2 * (max(e, g["e"]) - min(s, g["s"])):
+                g["lo"], g["hi"], g["n"] = min(g["lo"], s), max(g["hi"], e), g["n"] + 1
+                break
+        else:
+            groups.append({"s": s, "e": e, "lo": s, "hi": e, "n": 1})
+    return sorted([tuple(c) for c in out] + [(g["lo"], g["hi"], g["n"], False) for g in groups])
+
+
+def test_candidate_groups_match_a_plain_version(spark):
+    rng = random.Random(11)
+    spans = [(s := round(rng.uniform(0, 300), 2), round(s + rng.uniform(0.5, 9), 2), rng.random() < 0.1) for _ in range(150)]
+    df = spark.createDataFrame([(0, "x", *r) for r in spans], "video_id long, label string, start double, end double, current boolean")
+    got = sorted((r["start"], r["end"], r["hits"], r["current"]) for r in sequential.candidate_groups(df).collect())
+    assert got == plain_groups([r[:2] for r in spans if r[2]], [r[:2] for r in spans if not r[2]])
+
+
+def test_report_counts_by_label_together_and_without_labels(spark):
+    t = [(1, 0, 0.0, 10.0, "a"), (2, 0, 20.0, 30.0, "a"), (3, 0, 40.0, 50.0, "b"), (4, 1, 0.0, 4.0, "b")]
+    p = [(1, 0, 1.0, 10.0, "a"), (2, 0, 2.0, 11.0, "a"), (3, 0, 20.0, 26.0, "a"), (4, 0, 40.0, 50.0, "a"), (5, 9, 0.0, 1.0, "b")]
+    kind = "id long, video_id long, start double, end double, label string"
+    rows = evaluate.report(spark.createDataFrame(t, kind), spark.createDataFrame(p, kind))
+    got = {(r["scope"], r["label"], r["threshold"]): (r["tp"], r["fp"], r["fn"]) for r in rows.collect()}
+    assert got["label", "a", 0.5] == (2, 2, 0) and got["label", "a", 0.7] == (1, 3, 1) and got["label", "b", 0.3] == (0, 0, 2)
+    assert got["micro", None, 0.5] == (2, 2, 2) and got["agnostic", None, 0.5] == (3, 1, 1) and got["agnostic", None, 0.7] == (2, 2, 2)
+    f = [2 * 2 / (4 + 2), 2 * 2 / (4 + 2), 2 * 1 / (2 + 4)]
+    assert evaluate.segment_score(rows).first()[0] == pytest.approx(sum(f) / 3 / 2) and evaluate.segment_score(rows, "a").first()[0] == pytest.approx(sum(f) / 3)
+    alarms = spark.createDataFrame([(0.5, 1.0)], "score double, recall double")
+    assert evaluate.model_score(evaluate.segment_score(rows, "a"), alarms).first()[0] == pytest.approx(0.7 * sum(f) / 3 + 0.15)
+    assert evaluate.model_score(evaluate.segment_score(rows, "a"), alarms.withColumn("score", F.lit(None).cast("double"))).first()[0] == pytest.approx(sum(f) / 3)
+
+
+def test_illegal_turns_by_zone(spark):
+    kind = "video_id long, tid long, start double, end double, total double, mid struct<gx:double,gy:double>, first struct<gx:double,gy:double>, last struct<gx:double,gy:double>"
+    rows = [(0, 1, 1.0, 4.0, 170.0, (5.0, 5.0), (0.0, 0.0), (9.0, 9.0)), (0, 2, 1.0, 4.0, 170.0, (50.0, 5.0), (25.0, 25.0), (75.0, 75.0)), (0, 3, 2.0, 3.0, 80.0, (5.0, 5.0), (25.0, 25.0), (75.0, 75.0)), (0, 4, 2.0, 3.0, 80.0, (5.0, 5.0), (75.0, 75.0), (25.0, 25.0)), (0, 5, 2.0, 3.0, 20.0, (5.0, 5.0), (25.0, 25.0), (75.0, 75.0))]
+    square = lambda a: [(a, a), (a + 10, a), (a + 10, a + 10), (a, a + 10)]
+    got = detect.illegal_turns(spark.createDataFrame(rows, kind), [square(0.0)], [(square(20.0), square(70.0))]).collect()
+    assert sorted((r["start"], r["label"]) for r in got) == [(1.0, "illegal_turn"), (1.0, "illegal_u_turn"), (2.0, "illegal_turn")]
+
+
+def test_detector_unites_rules_and_leaves_out_broken_ones(spark):
+    d = detect.Detector()
+    spans = spark.createDataFrame([(0, 1.0, 3.0), (0, 3.5, 6.0), (1, 5.0, 99.0)], "video_id long, start double, end double")
+    d.rule("stop")(lambda c: c)
+    d.rule("broken")(lambda c: c.select("video_id", "nothing"))
+    d.rule("own")(lambda c: c.limit(1).withColumn("label", F.lit("other")))
+    got = sorted((r["video_id"], r["label"], r["start"], r["end"]) for r in d.events(spans, 60.0).collect())
+    assert got == [(0, "other", 1.0, 3.0), (0, "stop", 1.0, 6.0), (1, "stop", 5.0, 60.0)]
+    assert {r["label"] for r in d.events(spans, 60.0, enabled=["other"]).collect()} == {"other"}
+
+
+def test_views_move_zones_and_grids(spark):
+    turn = (0.0, -1.0, 10.0, 1.0, 0.0, 0.0)  # a quarter turn and a shift
+    assert view.moved_box((0.0, 0.0, 2.0, 1.0), turn) == (9.0, 0.0, 10.0, 2.0) and view.moved_direction((1.0, 0.0), turn) == (0.0, 1.0)
+    assert view.moved_scene({"z": [[(1.0, 2.0)]]}, turn) == {"z": [[(8.0, 1.0)]]} and view.moved_scene({"z": []}, None) == {"z": []}
+    assert view.grid_size(1920, 60) == 32 and view.grid_size(100, 60) == 8
+    assert view.rescaled_grid(32, (1920, 1080), (34, 60), (3840, 2160)) == 64 and view.rescaled_grid(32, (1920, 1080), (34, 60), (1080, 1920)) is None
+    assert view.rescaled_grid(32, (1920, 1080), (33, 60), (3840, 2160)) is None
+    cells = spark.createDataFrame([(0, 1, 2, 5), (0, 0, 0, 7)], "video_id long, cy int, cx int, n long")
+    assert {(r["cy"], r["cx"], r["n"]) for r in view.moved_grid(cells, (1.0, 0.0, 1.0, 0.0, 1.0, 2.0), 4, 4).collect()} == {(3, 3, 5), (2, 1, 7)}
 
 
 def test_tracker_keeps_two_crossing_boxes_apart(spark):
@@ -118,78 +193,144 @@ def test_grid_search_needs_a_margin(spark):
     assert sequential.best_setting(spark.createDataFrame([(0, 0.5), (1, 0.51), (2, 0.6), (3, 0.61)], "setting int, score double")) == (2, 0.6)
 
 
+RATE = 10
+
+
 def actors(*paths):
-    """Rows at 8 a second of boxes that move linearly: (tid, cls, t0, t1, p0, p1, size)."""
+    """Rows at RATE a second of boxes that go through way points: (tid, cls, [(t, x, y), ...], (width, height))."""
     rows = []
-    for tid, cls, t0, t1, p0, p1, (w, h) in paths:
-        for i in range(int(t0 * 8), int(t1 * 8) + 1):
-            t = i / 8
-            u = min(1.0, max(0.0, (t - t0) / (t1 - t0)))
-            x, y = p0[0] + u * (p1[0] - p0[0]), p0[1] + u * (p1[1] - p0[1])
-            rows.append((0, i, t, tid, tid * 100_000 + i, cls, x - w / 2, y - h, x + w / 2, y))
+    for tid, cls, way, (w, h) in paths:
+        for (ta, xa, ya), (tb, xb, yb) in zip(way, way[1:], strict=False):
+            for i in range(round(ta * RATE), round(tb * RATE) + (tb == way[-1][0])):
+                t = i / RATE
+                u = (t - ta) / (tb - ta)
+                x, y = xa + u * (xb - xa), ya + u * (yb - ya)
+                rows.append((0, i, t, tid, tid * 100_000 + i, cls, x - w / 2, y - h, x + w / 2, y))
     return rows
 
 
 TR = "video_id long, frame long, t double, tid long, event_id long, cls string, x1 double, y1 double, x2 double, y2 double"
-CAR, MAN = (40, 30), (16, 40)
+CAR, WALKER = (36, 24), (12, 30)
+EAST, WEST = (200, 240, 280), (330, 370, 410)
 
 
-def background():
-    """A car a second in each of eight lanes."""
+def traffic():
+    """Three lanes a way in a frame of 960 by 540: every 1.5 s a car that takes 9.6 s to pass, the lanes one after the other."""
     out = []
-    for lane, y in enumerate([300, 332, 364, 396, 428, 460, 492, 524]):
-        a, b = ((0.0, y), (1280.0, y)) if lane < 4 else ((1280.0, y), (0.0, y))
-        out += [(1000 + lane * 100 + k, "car", k, k + 1280 / 120, a, b, CAR) for k in range(0, 50, 1)]
+    for lane, y in enumerate(EAST + WEST):
+        a, b = (0, 960) if y in EAST else (960, 0)
+        out += [(500 + lane * 50 + k, "car", [(t := 1.5 * k + lane / 4, a, y), (t + 9.6, b, y)], CAR) for k in range(24)]
     return out
 
 
 @pytest.fixture(scope="module")
 def scene_of(spark):
     def build(*extra):
-        kin = kinematics.with_kinematics(spark.createDataFrame(actors(*background(), *extra), TR), 8)
-        flow = scene.flow_field(kin, 32.0, 0.35)
-        road = scene.road_cells(flow, 5, 23, 40)
-        return scene.with_road(kin, road, 32.0, 23, 40).drop("cx", "cy").cache(), flow
+        kin = kinematics.with_kinematics(spark.createDataFrame(actors(*traffic(), *extra), TR), 7)
+        flow = scene.flow_field(kin, 30.0, 0.35)
+        road = scene.road_cells(flow, 5, 18, 32)
+        return scene.with_road(kin, road, 30.0, 18, 32).drop("cx", "cy").cache(), flow
 
     return build
 
 
-def test_stop_wrong_way_and_jaywalk_in_a_drawn_scene(scene_of):
+def test_stop_wrong_way_and_walker_in_a_drawn_scene(scene_of):
     kin, flow = scene_of(
-        (1, "car", 14, 20, (0, 350), (640, 350), CAR), (1, "car", 20.125, 38, (640, 350), (640, 350), CAR), (1, "car", 38.125, 45, (640, 350), (1280, 350), CAR),
-        (2, "car", 10, 20, (1200, 332), (100, 332), CAR),
-        (3, "person", 5, 15, (600, 260), (600, 570), MAN),
-    )
-    stops = [(r["tid"], r["start"], r["end"]) for r in rules.stationary(kin, 0.35, 0.12).where(F.col("end") - F.col("start") >= 10).collect()]
-    assert [s[0] for s in stops] == [1] and abs(stops[0][1] - 20) < 1.5 and abs(stops[0][2] - 38) < 1.5
-    wrong = rules.wrong_way(scene.with_lane(kin, flow, 32.0), 0.35, 0.75, -0.5, 0.75, 1.5, []).collect()
-    assert {r["tid"] for r in wrong} == {2} and max(r["end"] - r["start"] for r in wrong) > 5
-    walk = rules.jaywalking(kin, [], [], 0.0, 2.0).collect()
-    assert [r["tid"] for r in walk] == [3] and 5 < walk[0]["start"] < 8 and 11 < walk[0]["end"] < 15
-
-
-def test_quiet_traffic_has_no_events(scene_of):
+        (1, "car", [(8, 0, 240), (12, 400, 240), (27, 400, 240), (32, 900, 240)], CAR),
+        (2, "car", [(20, 900, 200), (29, 60, 200)], CAR),
+        (3, "person", [(6, 700, 150), (22, 700, 470)], WALKER),
+    )
+    (stop,) = rules.stationary(kin, 0.35, 0.12).where(F.col("end") - F.col("start") >= 10).collect()
+    assert stop["tid"] == 1 and stop["start"] == pytest.approx(12, abs=1) and stop["end"] == pytest.approx(27, abs=1)
+    wrong = rules.wrong_way(scene.with_lane(kin, flow, 30.0), 0.35, 0.75, -0.5, 0.75, 1.5, []).collect()
+    assert {r["tid"] for r in wrong} == {2} and sum(r["end"] - r["start"] for r in wrong) > 6
+    (walk,) = rules.jaywalking(kin, [], [], 0.0, 2.0).collect()  # the road is from 180 to 420, at 20 a second
+    assert walk["tid"] == 3 and walk["start"] == pytest.approx(7.5, abs=0.3) and walk["end"] == pytest.approx(19.5, abs=0.3)
+    runs_ = sequential.stitch_runs(rules.stationary(kin, 0.35, 0.12)).withColumn("id", F.col("tid"))
+    assert detect.stopped_in_queue(runs_, kin, 6.0, 0.35, 0.6).count() == 0  # traffic flows past the stopped car
+    red = kin.select("video_id", "t", F.lit(1).alias("red")).distinct()
+    line = [(500.0, 150.0), (500.0, 450.0)]
+    assert [r["id"] for r in detect.stopped_at_red(runs_, red, line, (1.0, 0.0)).collect()] == [1]
+    assert detect.stopped_at_red(runs_, red, line, (-1.0, 0.0)).count() == 0
+    assert detect.stopped_vehicles(kin, red, line, (1.0, 0.0), 0.35, 0.12, 10.0, 3.0, 0.5, 6.0, 0.6).count() == 0
+    assert detect.stopped_vehicles(kin, None, line, (1.0, 0.0), 0.35, 0.12, 10.0, 3.0, 0.5, 6.0, 0.6).count() == 1
+
+
+def test_plain_traffic_has_no_events(scene_of):
     kin, flow = scene_of()
     assert rules.stationary(kin, 0.35, 0.12).where(F.col("end") - F.col("start") >= 10).count() == 0
-    assert rules.wrong_way(scene.with_lane(kin, flow, 32.0), 0.35, 0.75, -0.5, 0.75, 1.5, []).count() == 0
+    assert rules.wrong_way(scene.with_lane(kin, flow, 30.0), 0.35, 0.75, -0.5, 0.75, 1.5, []).count() == 0
     assert rules.jaywalking(kin, [], [], 0.0, 2.0).count() == 0
+    assert rules.accidents(kin, 0.05, 0.8, 0.5, 0.35, 0.12).count() == 0
+
+
+def test_queue_is_told_from_its_neighbours(spark):
+    rows = [(0, k, i / RATE, k, k * 1000 + i, "car", 40.0 * k, 0.0, 40.0 * k + 36, 24.0) for k in range(4) for i in range(120)]
+    kin = kinematics.with_kinematics(spark.createDataFrame(rows, TR), 7)
+    found = spark.createDataFrame([(0, 1, 0, 1.0, 11.0, 0.0, 0.0, 36.0, 24.0)], "video_id long, id long, tid long, start double, end double, x1 double, y1 double, x2 double, y2 double")
+    assert [r["id"] for r in detect.stopped_in_queue(found, kin, 3.0, 0.35, 0.6).collect()] == [1]
+    assert detect.stopped_in_queue(found, kin, 0.5, 0.35, 0.6).count() == 0  # nobody near
+
+
+def close_call(swerve: float = 0.0):
+    """A car that brakes from 90 a second to a stop short of one that stands still across its way."""
+    way = [(0, 0, 300), (4, 360, 300)] + [(4 + k / 4, 360 + 90 * (k / 4) * (1 - k / 8), 300 + swerve * k) for k in range(1, 5)] + [(9, 405, 300 + 4 * swerve)]
+    return [(1, "car", way, CAR), (2, "car", [(0, 455, 302), (9, 455, 302)], CAR)]
+
 
+def test_near_miss_begins_with_braking_and_not_in_a_turn(spark):
+    none = spark.createDataFrame([], "video_id long, a_tid long, b_tid long, start double")
 
-def head_on():
-    return [(1, "car", 0, 12, (0, 100), (600, 100), CAR), (2, "car", 0, 12, (1180, 100), (620, 100), CAR), (3, "car", 0, 12, (0, 400), (900, 400), CAR)]
+    def found(paths, crashes=none):
+        kin = kinematics.with_kinematics(spark.createDataFrame(actors(*paths), TR), 3).withColumn("on_road", F.lit(True))
+        return rules.near_misses(kin, crashes, 1.0, 2.0, 0.25, 1.0, 0.5, 0.35).collect()
 
+    (miss,) = found(close_call())
+    assert (miss["a_tid"], miss["b_tid"]) == (1, 2) and miss["start"] == pytest.approx(4, abs=0.4) and miss["end"] > 4
+    assert found(close_call(swerve=25.0)) == []
+    crash = spark.createDataFrame([(0, 1, 2, 4.0)], none.schema)
+    assert found(close_call(), crash) == []
 
-def test_risk_rises_before_a_head_on_crash_and_stays_low_in_calm(spark):
-    hot = {r["t"]: r["score"] for r in replay(spark.createDataFrame(actors(*head_on()), TR)).collect()}
-    calm = replay(spark.createDataFrame(actors(*[(k, "car", 0, 10, (0, 100 * k), (900, 100 * k), CAR) for k in (1, 2, 3)]), TR)).agg(F.max("score")).first()[0]
-    assert max(hot.values()) > 0.5 and calm < 0.1
-    late = {r["t"]: r["score"] for r in replay(spark.createDataFrame(actors(*head_on()), TR), RiskSettings(lag_samples=1)).collect()}
+
+def test_a_person_who_stops_is_no_impact(spark):
+    walker = (1, "person", [(0, 300, 300), (3, 408, 300), (8, 408, 300)], (20, 30))
+    parked = (2, "car", [(0, 425, 300), (8, 425, 300)], CAR)
+    rows = [(0, "car", [(0, 0, 500), (8, 900, 500)], CAR), walker, parked]
+    kin = kinematics.with_kinematics(spark.createDataFrame(actors(*rows), TR), 3).withColumn("on_road", F.lit(True))
+    assert rules.contacts(kin, 0.02).count() == 1 and rules.accidents(kin, 0.02, 0.8, 0.5, 0.35, 0.12).count() == 0
+
+
+def on_collision_course():
+    """Two cars that meet on a slanted road after 8 s, and one far off."""
+    return [(1, "car", [(0, 100, 100), (8, 390, 332)], CAR), (2, "car", [(0, 700, 580), (8, 410, 348)], CAR), (3, "car", [(0, 900, 40), (8, 300, 40)], CAR)]
+
+
+def test_risk_rises_on_a_collision_course_and_stays_low_in_calm(spark):
+    course = spark.createDataFrame(actors(*on_collision_course()), TR)
+    hot = {r["t"]: r["score"] for r in replay(course).collect()}
+    calm = replay(spark.createDataFrame(actors(*[(k, "car", [(0, 40 * k, 110 * k), (9, 500 + 60 * k, 110 * k)], CAR) for k in (1, 2, 3)]), TR)).agg(F.max("score")).first()[0]
+    assert max(hot.values()) > 0.5 and max(s for t, s in hot.items() if t < 4) < 0.1 and calm < 0.1
+    late = {r["t"]: r["score"] for r in replay(course, RiskSettings(lag_samples=1)).collect()}
     ts = sorted(hot)
     assert [late[b] for b in ts[1:]] == pytest.approx([hot[a] for a in ts[:-1]])
 
 
+@pytest.mark.parametrize("angle", [0, 19, 45, 90, 170])
+def test_a_standing_car_ahead_is_danger_whatever_its_heading(angle):
+    car = lambda x, vx, vy: {"p": [x, 6.0], "v": [vx, vy], "size": 30.0, "t": 1.0, "cls": "car", "speeds": [[1.0, math.hypot(vx, vy) / 30.0]]}
+    state = RiskState(RiskSettings())
+    coming = car(0.0, 110.0, 0.0)
+    standing = car(100.0, 2 * math.cos(math.radians(angle)), 2 * math.sin(math.radians(angle)))
+    standing["p"][1] = 8.0
+    got = state._pair(coming, standing)
+    assert got is not None and 0.5 < got < 1.5
+    beside = car(100.0, 20.0, 0.0)
+    beside["p"][1] = 40.0
+    assert state._pair(coming, beside) is None  # a mover in the next lane
+
+
 def test_stream_equals_replay(spark, tmp_path):
-    df = spark.createDataFrame(actors(*head_on()), TR)
+    df = spark.createDataFrame(actors(*on_collision_course()), TR)
     for k, (lo, hi) in enumerate([(0, 3), (3, 7), (7, 99)]):
         df.where((F.col("t") >= lo) & (F.col("t") < hi)).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     source = spark.readStream.schema(df.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
