@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own setting: the shuffle files of a finished query go when it ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES, DEFAULT_BATCH = 4 << 20, "67108864b"
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,24 +24,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where none is set, a local session gets a
+    temporary one and a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lanescope-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def modest_batches(df: DataFrame) -> DataFrame:
+    """df, with Arrow batches of at most BATCH_BYTES in its session from now on: texts are long, and a worker holds a batch
+    as a whole. Only Spark's default bound is replaced."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == DEFAULT_BATCH:
+        conf.set(BATCH, f"{BATCH_BYTES}b")
+    return df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
     """The same rows from a table in the shared folder: short lineage, and one computation for many readers."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, was = scratch(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() made and that nothing will read any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(t))
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -42,11 +76,16 @@ def ascii_lower(text: Column) -> Column:
 
 
 def small_enough(df: DataFrame, bound: int) -> bool:
-    """Whether df has at most `bound` rows; reads no more than it must."""
-    return df.limit(bound + 1).count() <= bound
+    """Whether df has at most `bound` rows."""
+    return df.count() <= bound
+
+
+def distinct_ids(rows: DataFrame) -> bool:
+    """Whether no doc_id but null repeats."""
+    return rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def components(edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b): component is the least node reachable.
 
     Alternates large-star and small-star rounds, each a shuffle that is linear in the edges, until the forest
@@ -68,13 +107,10 @@ def components(edges: DataFrame, name: str, max_rounds: int = 40) -> DataFrame:
             moved = joined.select(F.col("m").alias("a"), "b").where("a < b").union(least.where("m < a").select(F.col("m").alias("a"), F.col("a").alias("b")))
         return moved.where("a < b").distinct()
 
-    said = None
-    for _ in range(max_rounds):
+    now, said = (0, None), None
+    while now != said and now[0] != 1:
+        said, old = now, e
         e = cut(star(star(e, True), False), name)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == said:
-            break
-        said = now
-    else:
-        raise RuntimeError("components did not settle")
+        drop(old)
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(e.select(F.col("a"), F.col("a")).distinct())

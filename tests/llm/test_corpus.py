@@ -16,7 +16,7 @@ import brute
 
 import corpus_pipeline
 from lanescope.llm import catalogue, common, decontaminate, jaccard, language, neighbours, packing, rangecoder, suffixes, tokenfiles, toxicity
-from lanescope.llm.tokens import encoder, vocabulary
+from lanescope.llm.tokens import PieceEncoder, encoder, vocabulary
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
@@ -69,10 +69,14 @@ def test_decontamination_hits_and_long_form(spark, docs, texts):
 
 @pytest.mark.parametrize("name,spaces", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_piecewise_encoding_equals_whole_encoding(texts, name, spaces):
-    e = encoder(vocabulary(name), spaces)
     own = [*texts.values(), "<|endoftext|> a<|endoftext|>", "\x1c a\x1cb", " x", "x ", "a \n b", "a\n b"]
-    for got, t in zip(e.encode(own), own, strict=True):
-        assert got.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    own += ["it's, 's ,'s 'tis x'll.", "é, e,\u0301x", "1,000.5a-b_c (d)e", "a  b", "<|"]
+    for slots in (1 << 16, 3):
+        e = PieceEncoder(vocabulary(name), spaces, slots)
+        for _ in range(2):
+            ids, n = e.encode(pa.array(own))
+            for got, t in zip(np.split(ids, np.cumsum(n)[:-1]), own, strict=True):
+                assert got.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
 def test_range_coder_round_trips_and_notices_damage():
@@ -195,25 +199,54 @@ def test_jaccard_matches_brute_force(spark, docs, texts, monkeypatch):
         more[20_000 + k] = " ".join(w)
     every = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
     want = plain_components(texts | more)
-    for few, tile in ((8, 1024), (0, 8)):
-        monkeypatch.setattr(jaccard, "FEW", few)
+    for pack, tile in ((512, 1024), (16, 8)):  # with tiles of 8 the family is dealt to slots and settled in the second pass
+        monkeypatch.setattr(jaccard, "PACK", pack)
         monkeypatch.setattr(jaccard, "TILE", tile)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_texts(every).collect()}
         assert got == want
-    twice = jaccard.near_texts(every.where("doc_id < 20").union(every.where("doc_id = 3")).union(spark.createDataFrame([(None, "a b")], "doc_id long, text string"))).collect()
-    assert len(twice) == 22 and [r["component_id"] for r in twice if r["doc_id"] is None] == [None]
+    one = {r["doc_id"] for r in jaccard.one_of_each(every.withColumn("_gone", F.lit(1))).collect()}
+    assert one == {d for d, (_, c) in want.items() if c == d}
     assert jaccard.near_texts(docs.where("false")).count() == 0
 
 
+def test_jaccard_where_ids_repeat(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (5, b), (4, b + " x"), (3, a + " y"), (None, a), (7, "short"), (7, "short"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(0))
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.near_texts(df).collect())
+    assert got == [(0, 26, 0), (3, 27, 3), (4, 27, 4), (5, 26, 3), (5, 26, 4), (7, 1, 7), (7, 1, 7), (8, 0, 8)]
+    left = sorted(((r["doc_id"] or 0), r["text"]) for r in jaccard.one_of_each(df).collect() if r["text"])
+    assert left == sorted([(0, a), (3, a + " y"), (4, b + " x"), (7, "short")]) and jaccard.one_of_each(df).columns == df.columns
+
+
+def test_jaccard_links_come_from_the_tree(spark, monkeypatch):
+    g = np.random.default_rng(6)
+    rows = [(i, " ".join(f"t{i % 50}w{k}" if k != i // 50 else "other" for k in range(120))) for i in range(300)]
+    rows += [(1000 + i, " ".join(f"v{g.integers(0, 9)}" for _ in range(90))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: c for d, (_, c) in plain_components(dict(rows)).items()}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_texts(df).collect()} == want
+    assert sum(d != c for d, c in want.items()) == 250
+    # a tree that answers nothing leaves no link at all: there is no other way to one
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(jaccard, "links_within", lambda *_: jaccard.cut(none, "none"))
+    assert all(r["doc_id"] == r["component_id"] for r in jaccard.near_texts(df).collect())
+
+
 def test_count_tree_never_misses():
     g = np.random.default_rng(2)
     points = g.poisson(1.0, (500, jaccard.GROUPS)).astype(np.int32)
     points[:200] = points[0] + g.poisson(0.05, (200, jaccard.GROUPS))
     sizes = points.sum(1)
+    points[200:210, 3] = 70_000  # more than 16 bits hold
+    points = jaccard.points_of([jaccard.point_bytes(p) for p in points])
+    sizes = points.sum(1).astype(np.int64)
     tree = jaccard.CountTree(points, sizes)
-    for q in range(0, 500, 37):
-        want = np.flatnonzero(np.minimum(points, points[q]).sum(1) >= jaccard.needed(sizes[q], sizes))
-        assert sorted(tree.search(points[q], int(sizes[q])).tolist()) == want.tolist()
+    q, e = tree.search(points, sizes)
+    got = set(zip(q.tolist(), e.tolist(), strict=True))
+    for i in range(500):
+        fits = (4 * np.minimum(sizes, sizes[i]) >= 3 * np.maximum(sizes, sizes[i])) & (np.minimum(points, points[i]).sum(1) >= jaccard.needed(sizes[i], sizes))
+        assert {k for j, k in got if j == i} == set(np.flatnonzero(fits).tolist())
 
 
 def test_vectors_match_brute_force(spark):
