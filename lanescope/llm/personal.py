@@ -12,11 +12,12 @@ its surroundings whose counts are one grouped sum over all candidates. A candida
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, distinct_ids
 from .spans import digest, located
 
 KINDS = ["email", "ip", "card", "phone", "email_like", "ip_like", "card_like", "phone_like", "ssn_like"]
@@ -38,10 +39,16 @@ PATTERNS = [
 AS_BASE = [0, 1, 2, 3, 0, 1, 2, 3, 3]
 DOMAINS = "com org net edu gov io de fr es uk eu info".split()
 CALLING_CODES = "1 33 34 44 49".split()
-CUES = {0: r"(?i)(e-?mail|mail|contact|correo|courriel|kontakt|write)\W*$", 1: r"(?i)\b(ip|host|server|address|addr|adresse)\W*$", 2: r"(?i)\b(card|visa|mastercard|amex|tarjeta|carte|karte)\W*$", 3: r"(?i)\b(phone|tel|call|mobile|fax|telefon|telefono|ssn)\W*$"}
-AGAINST = r"(?i)\b(version|release|section|chapter|isbn|ref|order|invoice|v)\W*$"
-LABELERS = ["strict", "numbers", "gazetteer", "cue", "other_meaning"]
-ROUNDS, ACCEPT, PRIOR = 30, 0.9, 0.5
+#: A cue, or a sign of another meaning, counts within so many characters before the span.
+CUES = {
+    0: r"(?i)\b(e-?mail|mail|contact|correo|courriel|kontakt|write)\b[^\n]{0,16}$",
+    1: r"(?i)\b(ip|host|server|address|addr|adresse|login|from)\b[^\n]{0,16}$",
+    2: r"(?i)\b(card|visa|mastercard|amex|tarjeta|carte|karte|paid)\b[^\n]{0,16}$",
+    3: r"(?i)\b(phone|tel|call|mobile|fax|telefon|telefono|ssn|social)\b[^\n]{0,16}$",
+}
+AGAINST = r"(?i)\b(version|release|section|chapter|isbn|ref|order|invoice|part|item|v)\b[^\n]{0,8}$"
+LABELERS = ["strict", "numbers", "gazetteer", "cue", "other_meaning", "alone"]
+ROUNDS, ACCEPT, PRIOR = 30, 0.5, 0.5
 
 
 def luhn(digits: Column) -> Column:
@@ -77,71 +84,70 @@ def votes(found: DataFrame) -> DataFrame:
     n = F.length(digits)
     tail = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1))
     strict = F.when(k < BASE, F.when(F.col("base"), 1).otherwise(-1)).otherwise(0)
-    numbers = F.when(k == 6, F.when(luhn(digits), 1).otherwise(-1)).when(k == 7, F.when(n == 10, 1).otherwise(-1)).when(k == 8, F.when(m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), 1).otherwise(-1)).when(k == 1, F.when(m.rlike(r"^0|\.0[0-9]"), -1).otherwise(1)).when(k == 2, F.when(n.between(16, 19), 1).otherwise(-1)).when(k == 3, F.when(n.between(10, 13), 1).otherwise(0)).otherwise(0)
+    numbers = F.when(k == 6, F.when(luhn(digits), 1).otherwise(-1)).when(k == 7, F.when(digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), 1).otherwise(-1)).when(k == 8, F.when(m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), 1).otherwise(-1)).when(k == 1, F.when(m.rlike(r"^0|\.0[0-9]"), -1).otherwise(1)).when(k == 2, F.when(n.between(16, 19), 1).otherwise(-1)).when(k == 3, F.when(n.between(10, 13), 1).otherwise(0)).otherwise(0)
     gazetteer = F.when(like == 0, F.when(tail.isin(DOMAINS), 1).otherwise(-1)).when(k == 3, F.when(m.rlike(r"^\+(%s)(?![0-9]{12})" % "|".join(CALLING_CODES)), 1).otherwise(-1)).otherwise(0)
     cue = F.lit(0)
     for c, p in CUES.items():
         cue = F.when((like == c) & F.col("left").rlike(p), 1).otherwise(cue)
     other = F.when(F.col("left").rlike(AGAINST), -1).otherwise(0)
-    return found.withColumn("votes", F.array(*[x.cast("int") for x in (strict, numbers, gazetteer, cue, other)]))
+    alone = F.when(F.col("left").rlike(r"(^|[\s(:,;=\"'|])$") & F.col("right").rlike(r"^($|[\s).,;:!?\"'|])"), 0).otherwise(-1)
+    return found.withColumn("votes", F.array(*[x.cast("int") for x in (strict, numbers, gazetteer, cue, other, alone)]))
 
 
 def features() -> list[tuple[str, Column]]:
     """Yes-or-no features of a candidate for the final classifier."""
     m, left, right = F.col("match"), F.col("left"), F.col("right")
-    own = [(f"kind_{n}", F.col("kind") == i) for i, n in enumerate(KINDS)]
-    return own + [
+    vote = lambda name, v: F.get("votes", F.lit(LABELERS.index(name))) == v
+    return [
         ("rules", F.col("base")), ("short", F.length(m) <= 8), ("long", F.length(m) >= 25),
         ("space_before", left.rlike(r"(^|\s)$")), ("space_after", right.rlike(r"^(\s|$|[.,;])")),
-        ("cue", F.exists("votes", lambda v: v == 2) | (F.get("votes", F.lit(3)) == 1)), ("other_meaning", F.get("votes", F.lit(4)) == -1), ("gazetteer", F.get("votes", F.lit(2)) == 1), ("numbers", F.get("votes", F.lit(1)) == 1),
+        ("cue", vote("cue", 1)), ("other_meaning", vote("other_meaning", -1)), ("gazetteer", vote("gazetteer", 1)), ("numbers", vote("numbers", 1)), ("apart", vote("alone", -1)),
     ]
 
 
-def expectation_maximisation(patterns: list[tuple[int, tuple, int]], rounds: int = ROUNDS) -> tuple[dict, list]:
-    """patterns: (kind, votes, count). Returns the posterior of each (kind, votes) and each labeler's reliability,
-    (share of yes among true, share of yes among false) over its votes. Runs on grouped counts only."""
-    kinds = sorted({k for k, _, _ in patterns})
-    share = {k: PRIOR for k in kinds}
-    sure = [(0.8, 0.2)] * len(LABELERS)
+#: Counts of (no, nothing, yes) that each labeler starts with, for true and for false candidates: better than chance.
+TRUE, FALSE = (1.0, 4.0, 4.0), (4.0, 4.0, 1.0)
+
+
+def expectation_maximisation(patterns: list[tuple[int, tuple, int]], rounds: int = ROUNDS) -> tuple[dict, dict]:
+    """patterns: (kind, votes, count). Returns the posterior of each (kind, votes), and for each (kind, labeler) the shares of
+    its votes (no, nothing, yes) among true and among false candidates. Runs on grouped counts only."""
+    share = {k: PRIOR for k, _, _ in patterns}
+    said = {(k, j): (tuple(x / sum(TRUE) for x in TRUE), tuple(x / sum(FALSE) for x in FALSE)) for k in share for j in range(len(LABELERS))}
     post: dict = {}
     for _ in range(rounds):
         for k, v, _ in patterns:
-            a, b = math.log(share[k]), math.log(1 - share[k])
-            for x, (t, f) in zip(v, sure, strict=True):
-                if x:
-                    a += math.log(t if x > 0 else 1 - t)
-                    b += math.log(f if x > 0 else 1 - f)
-            post[k, v] = 1 / (1 + math.exp(min(700.0, max(-700.0, b - a))))
-        for k in kinds:
-            n = sum(c for q, _, c in patterns if q == k)
-            share[k] = (sum(c * post[q, v] for q, v, c in patterns if q == k) + 1) / (n + 2)
-        sure = []
-        for j in range(len(LABELERS)):
-            cast = [(v[j], c, post[k, v]) for k, v, c in patterns if v[j]]
-            yes_t, all_t = sum(c * p for x, c, p in cast if x > 0), sum(c * p for _, c, p in cast)
-            yes_f, all_f = sum(c * (1 - p) for x, c, p in cast if x > 0), sum(c * (1 - p) for _, c, p in cast)
-            sure.append((min(0.999, (yes_t + 4) / (all_t + 5)), max(0.001, (yes_f + 1) / (all_f + 5))))  # better than chance a priori
-    return post, sure
+            odds = math.log(share[k] / (1 - share[k])) + sum(math.log(said[k, j][0][x + 1] / said[k, j][1][x + 1]) for j, x in enumerate(v))
+            post[k, v] = 1 / (1 + math.exp(min(700.0, max(-700.0, -odds))))
+        for k in share:
+            own = [(v, c, post[k, v]) for q, v, c in patterns if q == k]
+            n, t = sum(c for _, c, _ in own), sum(c * p for _, c, p in own)
+            share[k] = (t + 1) / (n + 2)
+            for j in range(len(LABELERS)):
+                yes = [TRUE[x + 1] + sum(c * p for v, c, p in own if v[j] == x) for x in (-1, 0, 1)]
+                no = [FALSE[x + 1] + sum(c * (1 - p) for v, c, p in own if v[j] == x) for x in (-1, 0, 1)]
+                said[k, j] = tuple(x / sum(yes) for x in yes), tuple(x / sum(no) for x in no)
+    return post, said
 
 
 def trained_score(candidates: DataFrame) -> tuple[Column, dict]:
     """The final classifier as a column over candidates with kind, votes, match, left, right, base."""
     grouped = candidates.groupBy("kind", "votes").count().collect()  # at most kinds x 3^labelers rows
-    post, sure = expectation_maximisation([(r["kind"], tuple(r["votes"]), r["count"]) for r in grouped])
+    post, said = expectation_maximisation([(r["kind"], tuple(r["votes"]), r["count"]) for r in grouped])
     if not post:
-        return F.lit(0.0), {"reliability": sure}
+        return F.lit(0.0), said
     key = F.concat_ws(",", F.col("kind").cast("string"), F.array_join(F.transform("votes", lambda v: v.cast("string")), ","))
     table = F.create_map(*[F.lit(x) for (k, v), p in post.items() for x in (",".join(map(str, (k, *v))), float(p))])
-    p = F.coalesce(table[key], F.lit(PRIOR))
     named = features()
-    q = candidates.withColumn("p", p)
-    sums = q.agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f"), *[F.sum(F.when(c, F.col("p")).otherwise(0.0)).alias(f"t_{n}") for n, c in named], *[F.sum(F.when(c, 1 - F.col("p")).otherwise(0.0)).alias(f"f_{n}") for n, c in named]).first()
-    t, f = sums["t"], sums["f"]
-    score = F.lit(math.log((t + 1) / (f + 1)))
+    q = candidates.withColumn("p", F.coalesce(table[key], F.lit(PRIOR)))
+    sums = q.groupBy("kind").agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f"), *[F.sum(F.when(c, F.col("p")).otherwise(0.0)).alias(f"t_{n}") for n, c in named], *[F.sum(F.when(c, 1 - F.col("p")).otherwise(0.0)).alias(f"f_{n}") for n, c in named]).collect()
+    of_kind = lambda weights: F.create_map(*[F.lit(x) for k, w in weights.items() for x in (k, w)])[F.col("kind")]
+    score = of_kind({r["kind"]: math.log((r["t"] + 1) / (r["f"] + 1)) for r in sums})
     for n, c in named:
-        a, b = (sums[f"t_{n}"] + 1) / (t + 2), (sums[f"f_{n}"] + 1) / (f + 2)
-        score = score + F.when(c, math.log(a / b)).otherwise(math.log((1 - a) / (1 - b)))
-    return 1 / (1 + F.exp(-score)), {"reliability": sure}
+        a = {r["kind"]: (r[f"t_{n}"] + 1) / (r["t"] + 2) for r in sums}
+        b = {r["kind"]: (r[f"f_{n}"] + 1) / (r["f"] + 2) for r in sums}
+        score = score + F.when(c, of_kind({k: math.log(a[k] / b[k]) for k in a})).otherwise(of_kind({k: math.log((1 - a[k]) / (1 - b[k])) for k in a}))
+    return 1 / (1 + F.exp(-score)), said
 
 
 def personal_data(docs: DataFrame, accept: float = ACCEPT, **columns) -> DataFrame:
@@ -169,14 +175,18 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT, **columns) -> DataFra
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with every span of personal data in the text replaced by its kind in brackets; the columns as they were.
 
-    Overlapping spans are replaced together under the first one's kind. Rows must have ids of their own; rows
-    that share one get the spans of all of them only where their texts are equal.
+    Overlapping spans are replaced together under the first one's kind. Spans go back to the row they were found in: where
+    ids are null or repeat, rows are numbered in a table first. Null texts stay null; an empty table stays empty.
     """
-    hit = personal_data(docs, doc_id=doc_id, text=text, **options).where(F.size("spans") > 0)
-    hit = hit.groupBy("doc_id").agg(F.first("spans").alias("_spans"))
-    joined = docs.join(hit.withColumnRenamed("doc_id", doc_id), doc_id, "left")
+    key, held, columns = doc_id, f"spans_{uuid.uuid4().hex[:8]}", docs.columns
+    named = docs.select(F.col(doc_id).alias("doc_id"))
+    if not named.where("doc_id is null").isEmpty() or not distinct_ids(named):
+        key = f"row_{uuid.uuid4().hex[:8]}"
+        docs = cut(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    hit = personal_data(docs, doc_id=key, text=text, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("spans").alias(held))
+    joined = docs.join(hit, key, "left")
     labels = F.array(*[F.lit(n) for n in KINDS])
-    ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     t = F.col(text)
     state = F.aggregate(
         ordered,
@@ -185,8 +195,8 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
             F.struct(F.concat(a["done"], F.substr(t, (a["to"] + 1).cast("int"), (s["start"] - a["to"]).cast("int")), F.lit("["), F.get(labels, s["kind"]), F.lit("]")).alias("done"), s["end"].alias("to"))
         ),
     )
-    new = F.when(F.col("_spans").isNull(), t).otherwise(F.concat(state["done"], F.substr(t, (state["to"] + 1).cast("int"), F.length(t))))
-    return joined.withColumn(text, new).select(*docs.columns)
+    new = F.when(F.col(held).isNull(), t).otherwise(F.concat(state["done"], F.substr(t, (state["to"] + 1).cast("int"), F.length(t))))
+    return joined.withColumn(text, new).select(*columns)
 
 
 def op10_personal(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"  # the maximal runs of 24 or more
-WINDOW = 20
+WINDOW, STRETCH = 20, 4096
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}"
 #: Least entropy in bits of a window, by class: hexadecimal digits, letters and digits of one case, all else.
 THRESHOLDS = {"hex": 2.9, "single": 3.3, "mixed": 3.6}
@@ -37,9 +37,13 @@ def entropy_spans(found: DataFrame, window: int = WINDOW, thresholds: dict = THR
     for p in allowed:
         ok = ok & ~s.rlike(p)
     least = F.when(s.rlike("^[0-9a-f]+$") | s.rlike("^[0-9A-F]+$"), thresholds["hex"]).when(~s.rlike("[a-z]") | ~s.rlike("[A-Z]"), thresholds["single"]).otherwise(thresholds["mixed"])
-    each = found.where(ok).select("row", "doc_id", F.col("start").alias("at"), least.alias("least"), F.posexplode(F.split(s, "")).alias("p", "c")).where("c <> ''")
-    per_char = Window.partitionBy("row", "at", "c").orderBy("p")
-    per_string = Window.partitionBy("row", "at").orderBy("p")
+    # long candidates are cut into stretches that share window - 1 characters: every window lies in one of them whole
+    last = F.greatest(F.floor((F.length(s) - window) / STRETCH), F.lit(0))
+    part = found.where(ok).select("row", "doc_id", F.col("start").alias("at"), least.alias("least"), s.alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part"))
+    piece = F.substr("s", (F.col("part") * STRETCH + 1).cast("int"), F.lit(STRETCH + window - 1))
+    each = part.select("row", "doc_id", "at", "least", "part", F.posexplode(F.split(piece, "")).alias("p", "c")).where("c <> ''")
+    per_char = Window.partitionBy("row", "at", "part", "c").orderBy("p")
+    per_string = Window.partitionBy("row", "at", "part").orderBy("p")
     entering = F.count("*").over(per_char.rangeBetween(-(window - 1), 0))
     leaving = F.count("*").over(per_char.rangeBetween(0, window - 1))
 
@@ -51,6 +55,7 @@ def entropy_spans(found: DataFrame, window: int = WINDOW, thresholds: dict = THR
     run = counted.select("*", F.sum("gain").over(per_string).alias("in"), F.sum("loss").over(per_string).alias("out"))
     s_now = F.col("in") - F.coalesce(F.lag("out", window).over(per_string), F.lit(0.0))
     high = run.withColumn("bits", F.lit(math.log2(window)) - s_now / window).where((F.col("p") >= window - 1) & (F.col("bits") >= F.col("least")))
+    high = high.withColumn("p", F.col("part") * STRETCH + F.col("p"))
     return high.groupBy("row", "doc_id", "at").agg(F.min("p").alias("a"), F.max("p").alias("b"), F.max("bits").alias("entropy")).select(
         "row", "doc_id", (F.col("at") + F.col("a") - (window - 1)).cast("long").alias("start"), (F.col("at") + F.col("b") + 1).cast("long").alias("end"), "entropy"
     )
