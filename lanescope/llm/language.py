@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
 from .textbytes import LOWER, mixed, text_bytes
 
 BUCKETS, MAX_TRAIN, SMOOTH = 1 << 15, 20_000, 0.5
 UNKNOWN = "und"
-#: Grams that count in full towards the score; a longer text is no surer than one of so many.
+#: Grams that count in full towards the score, not the choice; a longer text is no surer than one of so many.
 SURE_AT = 60
 
 
@@ -39,7 +40,7 @@ def grams(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]
     return [(gram_buckets(codes, n, buckets), first) for n in (2, 3) if len(codes) >= n]
 
 
-def parts(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+def parts(column: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of stretches with about `limit` bytes."""
     at = text_bytes(column)[1]
     lo = 0
@@ -50,11 +51,15 @@ def parts(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, list[
 
 
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, log priors, log-probability matrix) of rows with text and language. About max_train rows at most are read."""
+    """(languages, log priors, log-probability matrix) of rows with text and language. About max_train rows at most are read.
+
+    Rows with a null text or language teach nothing; rows that repeat count as often as they are taken. Nothing to learn
+    from: no languages. Other columns are ignored.
+    """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     n = rows.count()
     if n > max_train:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1_000_000)) < int(1e6 * max_train / n))
+        rows = rows.where(hashed_share(F.col(doc_id), F.col(text), F.lit("language")) < max_train / n)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -74,7 +79,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKET
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(c[at], docs[name]))], names=["lang", "bucket", "n"])
 
-    sums = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sums = modest_batches(rows).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toPandas()  # languages x buckets at most
     langs = sorted(found["lang"].unique())
     matrix = np.full((len(langs), buckets), SMOOTH)
@@ -105,7 +110,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], d
             name = pa.array([langs[k] if k >= 0 else UNKNOWN for k in best], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), name, pa.array(sure)], names=["doc_id", "lang_pred", "score"])
 
-    return rows.mapInArrow(scored, "doc_id long, lang_pred string, score double")
+    return modest_batches(rows).mapInArrow(scored, "doc_id long, lang_pred string, score double")
 
 
 def judged(column: pa.Array, prior: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,23 +124,31 @@ def judged(column: pa.Array, prior: np.ndarray, matrix: np.ndarray) -> tuple[np.
             n += np.diff(np.append(inside, len(b)))
             for k in range(len(prior)):
                 like[k] += np.add.reduceat(matrix[k][b], inside, dtype=np.float64)
+        choice = (like + prior[:, None]).argmax(axis=0)
         like = like * (np.minimum(n, SURE_AT) / np.maximum(n, 1)) + prior[:, None]
-        p = np.exp(like - like.max(axis=0))
+        with np.errstate(over="ignore"):
+            p = 1 / np.exp(like - like[choice, np.arange(len(texts))]).sum(axis=0)
         letters = np.array([any(map(str.isalpha, t)) for t in texts])
-        best[lo : lo + len(texts)] = np.where(letters, like.argmax(axis=0), -1)
-        sure[lo : lo + len(texts)] = np.where(letters, 1 / p.sum(axis=0), 0.0)
+        best[lo : lo + len(texts)] = np.where(letters, choice, -1)
+        sure[lo : lo + len(texts)] = np.where(letters, p, 0.0)
     return best, sure
 
 
+def hashed_share(*columns):
+    """A number from 0 to 1, even over distinct rows of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / float(2**53)
+
+
 def fold(doc_id, n: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
 def accepted(docs: DataFrame, model, least: float = 0.5, text: str = "text") -> DataFrame:
-    """docs without the rows whose language can't be told: `und`, or a score under `least`. Columns stay, and nothing is shuffled."""
+    """docs without the rows whose language can't be told: `und`, or a score under `least`. Columns stay, and nothing is
+    shuffled. A model that could not learn anything rejects nothing. Rows that repeat are judged one by one."""
     langs, prior, matrix = model
     if not langs:
-        return docs.where("false")
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast((prior, matrix))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +156,7 @@ def accepted(docs: DataFrame, model, least: float = 0.5, text: str = "text") ->
             best, sure = judged(batch.column(batch.schema.get_field_index(text)), *shared.value)
             yield batch.filter(pa.array((best >= 0) & (sure >= least)))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return modest_batches(docs).mapInArrow(kept, docs.schema)
 
 
 def op8_language(spark, sf_dir: str) -> DataFrame:

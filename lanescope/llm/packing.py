@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
 from .textbytes import slices
 from .tokens import encoder, vocabulary
 
@@ -122,7 +123,7 @@ def packed(docs: DataFrame, vocabulary_path: str | None = None, end_id: int = EN
 
     schema = PIECES + (", ids array<int>" if with_ids else "")
     names = [c.split()[0] for c in schema.split(", ")]
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(pack, schema)
+    return modest_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(pack, schema)
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import modest_batches, scratch
 from .rangecoder import decode_block, encode_block
 from .textbytes import slices
 from .tokens import encoder, vocabulary
@@ -64,7 +64,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None,
         if names:
             yield flush()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = modest_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(coded, BLOCKS).write.parquet(path)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_enough
+from .common import cut, modest_batches, small_enough
 from .language import fold
 from .textbytes import NOT_ALNUM, slices, text_bytes, words
 
@@ -207,7 +207,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, usable, keep: int = KEEP, max_f
     """
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").select("doc_id", "toxic")
     side = F.broadcast(one) if small_enough(one, BROADCAST) else one
-    texts = docs.select("doc_id", "text").where(usable & F.col("text").isNotNull()).join(side, "doc_id")
+    texts = modest_batches(docs).select("doc_id", "text").where(usable & F.col("text").isNotNull()).join(side, "doc_id")
     share = min(1 / ASIDE, max_fit / max(one.count(), 1))  # set aside no more than is fitted to
     aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(2**30)) < int(share * 2**30)
     model, cold = prepared(train(texts.where(~aside).select("text", "toxic")), keep)
