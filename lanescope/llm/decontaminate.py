@@ -5,19 +5,21 @@ item as a whole, form a set keyed by a 64-bit hash. Each document's windows are
 looked up in that set, and a hit is verified word by word while the words are still at hand, so nothing but hits is
 shuffled. One row per input row comes back.
 
-The set is broadcast when it has at most `broadcast_windows` rows (counted first); a larger one is joined by
-shuffling hashes with the words of each window.
+The set is broadcast when it has at most `broadcast_windows` rows and BROADCAST_BYTES in all, both counted first; a larger
+one is joined by shuffling hashes with the words of each window.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, small_enough
+from .common import ascii_lower, cut, distinct_ids
 
 NGRAM = 13
-BROADCAST_WINDOWS = 2_000_000
+BROADCAST_WINDOWS, BROADCAST_BYTES = 2_000_000, 256 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -40,8 +42,10 @@ def contamination(docs: DataFrame, items: DataFrame, ngram: int = NGRAM, broadca
     doc_id are judged one by one. Empty tables give empty results or no hits. Other columns are ignored.
     """
     windows = window_set(items.where(F.col(item_key(items)).isNotNull()), ngram)
-    sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most `ngram` numbers
-    small = small_enough(windows, broadcast_windows)
+    held = F.sum(F.octet_length(F.array_join("words", " ")) + 16 * (F.size("words") + F.size("items")))
+    about = windows.agg(F.sort_array(F.collect_set("size")).alias("sizes"), F.count("*").alias("n"), held.alias("bytes")).first()
+    sizes = about["sizes"]  # at most `ngram` numbers
+    small = about["n"] <= broadcast_windows and (about["bytes"] or 0) <= BROADCAST_BYTES
     base = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w"), F.monotonically_increasing_id().alias("row"))
     base = base.withColumn("n_words", F.size("w").cast("long"))
 
@@ -88,10 +92,16 @@ def is_contaminated(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the rows that are contaminated; columns as they were. Rows without an id can't be judged apart from each other and stay."""
-    bad = contamination(docs, items, **options).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+    """docs without the rows that are contaminated; columns as they were. Rows are judged one by one: where ids are null or
+    repeat, rows are numbered in a table first. Null and empty texts are clean; an empty table stays empty."""
+    key, columns = doc_id, docs.columns
+    named = docs.select(F.col(doc_id).alias("doc_id"))
+    if not named.where("doc_id is null").isEmpty() or not distinct_ids(named):
+        key = f"row_{uuid.uuid4().hex[:8]}"
+        docs = cut(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
+    bad = contamination(docs, items, doc_id=key, **options).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(key))
+    return docs.join(bad, key, "left_anti").select(*columns)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -32,12 +32,15 @@ def gram_buckets(codes: np.ndarray, n: int, buckets: int) -> np.ndarray:
 
 
 def grams(texts: list[str], buckets: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 2, 3: (bucket of each n-gram, first n-gram of each text). Texts are set off by line ends."""
-    codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    """For n = 2, 3: (bucket of each n-gram, first n-gram of each text). Texts are set off by line ends, and no n-gram reaches
+    into the next text."""
+    codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", np.uint32)
     ascii_ = codes < 128
     codes = np.where(ascii_, LOWER[np.where(ascii_, codes, 0)], codes).astype(np.uint64)
     first = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-    return [(gram_buckets(codes, n, buckets), first) for n in (2, 3) if len(codes) >= n]
+    two, three = (gram_buckets(codes, n, buckets) for n in (2, 3))
+    over = first + [len(t) for t in texts]  # the n-grams of three that hold the next text's first character
+    return [(two[:-1], first), (np.delete(three, over[over < len(three)]), first - np.arange(len(texts)))]
 
 
 def parts(column: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, list[str]]]:
@@ -120,6 +123,8 @@ def judged(column: pa.Array, prior: np.ndarray, matrix: np.ndarray) -> tuple[np.
         texts = [t or "" for t in texts]
         like, n = np.zeros((len(prior), len(texts))), np.zeros(len(texts))
         for b, first in grams(texts, matrix.shape[1]):
+            if not len(b):
+                continue
             inside = np.minimum(first, len(b) - 1)
             n += np.diff(np.append(inside, len(b)))
             for k in range(len(prior)):

@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import components, cut
 
-LEAST, BLOCKS, TILE, SLACK = 0.95, 4, 16384, 1e-5
+LEAST, BLOCKS, TILE, SLACK, LENGTHS = 0.95, 4, 16384, 1e-5, 1000
 
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
@@ -98,11 +99,15 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, blocks: int = BLOCKS,
     a name. Other columns are ignored. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v"))
+    kind = vectors.select(F.col(embedding).alias("v")).schema["v"].dataType
+    kind = "float" if getattr(kind, "elementType", None) == FloatType() else "double"  # nothing is cut to fewer digits
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("v"))
     sound = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.col("v")))
     classes = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    dims = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().limit(1000).collect()]
+    dims = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().limit(LENGTHS + 1).collect()]
+    if len(dims) > LENGTHS:
+        raise ValueError(f"vectors of over {LENGTHS} different lengths: join each length by itself")
     parts_of = lambda d: min(blocks, d)
     budget = {d: (2 - 2 * least) / parts_of(d) for d in dims}
     width = {d: float(np.sqrt(b)) + 1e-3 for d, b in budget.items()}
@@ -123,7 +128,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, blocks: int = BLOCKS,
                     cells[i] = c
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=["v", "rep", "n", "cells"])
 
-    at = cut(classes.mapInArrow(celled, "v array<float>, rep long, n long, cells array<long>"), "cells")
+    at = cut(classes.mapInArrow(celled, f"v array<{kind}>, rep long, n long, cells array<long>"), "cells")
     each = at.select("v", "rep", "n", F.size("v").alias("d"), F.posexplode("cells").alias("block", "cell"))
     sizes = {(r["d"], r["block"], r["cell"]): -(-r["count"] // tile) for r in each.groupBy("d", "block", "cell").count().collect()}  # blocks x 2 / width cells
     if not sizes:

@@ -31,6 +31,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary_path: str | None = None,
     """Encodes every row's whole text (null: empty), appends end_id and writes the files at path.
 
     Documents are in ascending doc_id order, null ids first, equal ids by text. Texts are shuffled once, by ranges of doc_id.
+    Other columns are ignored; an empty table gives files without blocks.
     """
     spark = docs.sparkSession
     vocab = vocabulary_path or vocabulary("byte_bpe_50k.json")

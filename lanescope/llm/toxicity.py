@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, modest_batches, small_enough
-from .language import fold
+from .language import fold, hashed_share
 from .textbytes import NOT_ALNUM, slices, text_bytes, words
 
 DISCOUNT, KEEP, MAX_FIT, ASIDE = 0.75, 300_000, 20_000, 8
@@ -203,13 +203,14 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, flo
 def toxicity(docs: DataFrame, labels: DataFrame, usable, keep: int = KEEP, max_fit: int = MAX_FIT) -> DataFrame:
     """One row per row of docs: doc_id, ratio, score (0 to 1), predicted. Labels are learned from rows where `usable`, a
     column of doc_id, holds. Null and empty texts have ratio 0. Labels that are null or repeat an id with another value
-    aren't learned from. Where either class is missing every ratio is 0 and scores are 0.5.
+    aren't learned from. Where either class is missing every ratio is 0 and scores are 0.5. Rows that repeat a doc_id each
+    teach and get a score of their own; other columns are ignored; an empty table gives no rows.
     """
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most").select("doc_id", "toxic")
     side = F.broadcast(one) if small_enough(one, BROADCAST) else one
     texts = modest_batches(docs).select("doc_id", "text").where(usable & F.col("text").isNotNull()).join(side, "doc_id")
     share = min(1 / ASIDE, max_fit / max(one.count(), 1))  # set aside no more than is fitted to
-    aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(2**30)) < int(share * 2**30)
+    aside = hashed_share(F.col("doc_id"), F.lit("aside")) < share
     model, cold = prepared(train(texts.where(~aside).select("text", "toxic")), keep)
     got = ratios(texts.where(aside), model, cold, ["toxic"]).toPandas()
     slope, offset = logistic(np.tanh(got["ratio"].to_numpy() / SPAN), got["toxic"].to_numpy())

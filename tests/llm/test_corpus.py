@@ -1,10 +1,12 @@
 """The corpus operators against plain versions on small, awkward tables."""
 
 import hashlib
+import math
 import os
 import re
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -324,6 +326,139 @@ def test_toxicity_scores_with_the_whole_model(spark):
     assert max(abs(whole[k] - joined[k]) for k in whole) < 1e-6
 
 
+def plain_model(rows, discount, least):
+    """The toxicity model of rows (text, toxic) in plain dictionaries, by words: the ratio that a word, a word's backoff and a bigram add."""
+    t, o = Counter(), Counter()
+    for text, toxic in rows:
+        w = ["^", *re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))]
+        (t if toxic else o).update(zip(w, w[1:], strict=False))
+    pairs = sorted(set(t) | set(o))
+    words, before = sorted({w for _, w in pairs}), sorted({v for v, _ in pairs})
+    ct, co = ({w: sum(1 for p in pairs if p[1] == w and n[p]) for w in words} for n in (t, o))
+    cs = Counter(w for _, w in pairs)
+    zt, zo, zs = sum(ct.values()), sum(co.values()), len(pairs)
+
+    def p(c, z):
+        kinds = sum(v > 0 for v in c.values())
+        return {w: (max(c[w] - discount, 0) + discount * kinds * cs[w] / zs) / z for w in words}
+
+    def sure(r, a, b, odds):
+        share = 1 / (1 + math.exp(-odds))
+        z = max(abs(a - (a + b) * share) - 0.5, 0) / math.sqrt((a + b) * share * (1 - share))
+        return r * (1 - least * least / (z * z)) if z > least else 0.0
+
+    def middle(values, counts):
+        of = {}
+        for k, v in values.items():
+            of.setdefault(math.floor(2 * math.log2(counts[k])), []).append(v)
+        return {k: sorted(of[math.floor(2 * math.log2(counts[k]))])[(len(of[math.floor(2 * math.log2(counts[k]))]) - 1) // 2] for k in values}
+
+    pt, po, odds = p(ct, zt), p(co, zo), math.log(zt / zo)
+    raw = {w: math.log(pt[w] / po[w]) for w in words}
+    usual = middle(raw, {w: ct[w] + co[w] for w in words})
+    out = {(w,): sure(raw[w] - usual[w], ct[w], co[w], usual[w] + odds) for w in words}
+    vt, vo, kt, ko = ({v: sum(f(n[q]) for q in pairs if q[0] == v) for v in before} for n, f in ((t, int), (o, int), (t, bool), (o, bool)))
+    mt, mo = ({v: discount * k[v] / n[v] if n[v] else 1.0 for v in before} for n, k in ((vt, kt), (vo, ko)))
+    b = {v: math.log(mt[v] / mo[v]) for v in before}
+    usual_b = middle(b, {v: kt[v] + ko[v] for v in before})
+    back = {v: sure(b[v] - usual_b[v], kt[v], ko[v], usual_b[v] + math.log(max(vt[v], 0.5) / max(vo[v], 0.5))) for v in before}
+    out |= {("after", v): x for v, x in back.items()}
+    for v, w in pairs:
+        full = [(max(n[v, w] - discount, 0) / s[v] if s[v] else 0) + m[v] * q[w] for n, s, m, q in ((t, vt, mt, pt), (o, vo, mo, po))]
+        out[v, w] = sure(math.log(full[0] / full[1]) - raw[w] - back[v], t[v, w], o[v, w], raw[w] + odds)
+    return {k: x for k, x in out.items() if x}
+
+
+def test_toxicity_model_matches_a_plain_one(spark):
+    g = np.random.default_rng(12)
+    rows = [(" ".join(g.choice(["alpha", "Beta", "gamma", "delta", "eps"], 12, p=[0.4, 0.1, 0.2, 0.2, 0.1] if k % 3 == 0 else [0.1, 0.3, 0.2, 0.2, 0.2])), int(k % 3 == 0)) for k in range(30)]
+    for least in (0.2, 1.0):
+        want = plain_model(rows, 0.75, least)
+        got = {r["key"]: r["r"] for r in toxicity.train(spark.createDataFrame(rows, "text string, toxic int"), least=least).collect()}
+        ids = {w: int(toxicity.word_ids(pa.array([w]))[0][0]) for w in ("alpha", "beta", "gamma", "delta", "eps")} | {"^": int(toxicity.OPENING)}
+        key = lambda k: ids[k[0]] if len(k) == 1 else -ids[k[1]] if k[0] == "after" else ids[k[0]] << 31 | ids[k[1]]
+        assert len(want) > 5 and got.keys() == {key(k) for k in want} and all(math.isclose(got[key(k)], x, rel_tol=1e-5, abs_tol=1e-6) for k, x in want.items())
+
+
+def test_language_matches_plain_naive_bayes(spark):
+    g = np.random.default_rng(8)
+    letters = {"aa": "abcde fg", "bb": "defgh ab", "cc": "abgh xyz"}
+    rows = [(i, "".join(g.choice(list(letters[n]), int(g.integers(1, 120)))), n) for i, n in enumerate(["aa", "bb", "cc", "aa", "aa"] * 12)]
+    rows += [(90, "ABc", None), (91, None, "aa"), (92, "abc", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    buckets = 1 << 10
+
+    def plain(text):
+        codes = [ord(c) + 32 if "A" <= c <= "Z" else ord(c) for c in f"\n{text}\n"]
+        return [int(language.gram_buckets(np.array(codes[i : i + n], np.uint64), n, buckets)[0]) for n in (2, 3) for i in range(len(codes) - n + 1)]
+
+    known = [(t, n) for _, t, n in rows if t is not None and n]
+    names = sorted({n for _, n in known})
+    prior = {n: math.log((1 + sum(m == n for _, m in known)) / (len(names) + len(known))) for n in names}
+    count = {n: Counter(b for t, m in known if m == n for b in plain(t)) for n in names}
+    model = language.train(df, buckets=buckets)
+    assert model[0] == names
+    got = {r["doc_id"]: r for r in language.identify(df, model).collect()}
+    for i, t, _ in rows:
+        own = plain(t or "")
+        like = {n: sum(math.log((count[n][b] + 0.5) / (sum(count[n].values()) + 0.5 * buckets)) for b in own) for n in names}
+        if not t or not any(map(str.isalpha, t)):
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        best = max(names, key=lambda n: like[n] + prior[n])
+        shown = {n: math.exp((like[n] - like[best]) * min(1, 60 / len(own)) + prior[n] - prior[best]) for n in names}
+        assert got[i]["lang_pred"] == best and got[i]["score"] == pytest.approx(1 / sum(shown.values()), abs=1e-3)
+    none = df.withColumn("lang", F.lit(None).cast("string"))
+    assert language.accepted(none, language.train(none)).count() == len(rows)  # nothing learned, nothing rejected
+    # what a text's neighbours in a batch are makes no difference
+    one = {r["doc_id"]: r["score"] for r in language.identify(df.repartition(40, "doc_id"), model).collect()}
+    assert all(abs(one[i] - got[i]["score"]) < 1e-9 for i in one)
+
+
+def test_double_vectors_keep_their_digits(spark):
+    a = [1.0, 0.0, 0.0, 0.0]
+    angle = math.acos(0.95)
+    rows = [(1, a), (2, [math.cos(angle - 1e-10), math.sin(angle - 1e-10), 0.0, 0.0]), (3, [math.cos(angle + 1e-10), 0.0, math.sin(angle + 1e-10), 0.0])]
+    got = {r["vec_id"]: r["component_id"] for r in neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_repeats_where_ids_repeat_or_texts_are_long(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    text = lambda n: "".join(g.choice(list("abcdefgh"), n))
+    x, y = text(150), text(150)
+    df = spark.createDataFrame([(1, x), (2, x), (2, y), (2, "short"), (None, x), (3, None)], "doc_id long, text string").withColumn("row", F.lit(1))
+    got = sorted((r["doc_id"] or 0, bytes(r["kept"]).decode()) for r in suffixes.without_repeats(df).collect())
+    assert got == sorted([(0, x), (1, x), (2, ""), (2, y), (2, "short"), (3, "")])
+    monkeypatch.setattr(suffixes, "STRETCH", 512)  # anchors found by stretches are those of the whole text
+    roll, at = suffixes.Rolling(np.frombuffer((text(3000) + x * 3).encode(), np.uint8)), np.array([0, 3450])
+    parts = suffixes.anchors(roll, at, 100, 40)
+    monkeypatch.setattr(suffixes, "STRETCH", 1 << 25)
+    assert all((p == q).all() for p, q in zip(parts, suffixes.anchors(roll, at, 100, 40), strict=True))
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(13)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    taken = " ".join(f"q{k}" for k in range(13))
+    near = " ".join(f"w{k}" for k in range(60))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row int, spans string, comp int, component_id int, h int"
+    rows = [(1, near, "en"), (2, near + " more", "en"), (2, "other words in here", "en"), (None, "mail me at a.b@c.de", "en"), (None, taken, "en"), (3, taken, "en"), (3, "a clean one", "en"), (4, None, "en"), (5, "", None), (5, "", "en"), (6, "123", None)]
+    docs = spark.createDataFrame([(i, t, n, "s", len(t or ""), 1, "x", 2, 3, 4) for i, t, n in rows], kind)
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted(((r["doc_id"] or 0), r["text"] or "") for r in df.collect())
+    here = sorted((i or 0, t or "") for i, t, _ in rows)
+    kept = texts(stages["language"](spark, docs, str(tmp_path)))
+    assert kept == [x for x in here if any(map(str.isalpha, x[1]))]
+    assert texts(stages["near_duplicates"](spark, docs, str(tmp_path))) == [x for x in here if x[1] != near + " more"]
+    assert texts(stages["decontamination"](spark, docs, str(tmp_path))) == [x for x in here if x[1] != taken]
+    assert texts(stages["personal_data"](spark, docs, str(tmp_path))) == sorted((i, t.replace("a.b@c.de", "[email]")) for i, t in here)
+    assert stages["packing"](spark, docs, str(tmp_path)).count() >= len(rows)
+    for name, stage in stages.items():
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or out.columns == docs.columns
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     names = docs.columns
