@@ -15,22 +15,37 @@ from lanescope.llm.common import scratch
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language can be told; learns from the input's own language marks."""
+    """Keeps documents whose language can be told; learns from the input's own language marks.
+
+    Null and empty texts go, as do texts without a letter. Rows that repeat an id, or have none, are judged one by one. Without
+    any language marks nothing goes. Empty tables stay empty; other columns stay as they are, whatever their names.
+    """
     return language.accepted(docs, language.train(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group that links join."""
+    """Keeps the document with the least doc_id of each group that links join.
+
+    Null and empty texts link with nothing and stay, as do rows without an id. Of rows that repeat the least id of a group
+    one stays. Empty tables stay empty; other columns stay as they are, whatever their names.
+    """
     return jaccard.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents contaminated by the benchmark."""
+    """Drops documents contaminated by the benchmark.
+
+    Null and empty texts are clean. Rows that repeat an id, or have none, are judged one by one. An empty table stays empty; an empty benchmark drops nothing. Other columns stay as they are, whatever their names.
+    """
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in the texts; every document stays, and n_chars follows the text."""
+    """Replaces personal data in the texts; every document stays, and n_chars follows the text.
+
+    Null and empty texts stay. Rows that repeat an id, or have none, are redacted one by one. Empty tables stay empty; other
+    columns stay as they are, whatever their names.
+    """
     out = personal.redacted(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
@@ -38,7 +53,11 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows."""
+    """Pieces of token windows.
+
+    Null and empty texts are an end mark alone. Rows that repeat an id, or have none, are documents of their own. Empty
+    tables give no pieces; other columns are ignored.
+    """
     return packing.packed(docs)
 
 
