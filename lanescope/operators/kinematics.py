@@ -59,25 +59,13 @@ def with_kinematics(tracks: DataFrame, win: int, centred: bool = True) -> DataFr
     return smooth.withColumns({"speed": F.hypot("vx", "vy") / F.col("size"), "heading": F.degrees(F.atan2("vy", "vx"))})
 
 
-def turn_rate() -> Column:
-    """|change of unwrapped heading by t|, over a frame that has `unwrapped`."""
-    return F.abs(gradient("unwrapped"))
-
-
-def windows_by_video(tracks: DataFrame, smooth: float) -> dict:
-    """video_id -> rows to smooth over: one number per video."""
-    return {r["video_id"]: max(1, round(smooth / r["dt"])) if r["dt"] else 1 for r in sampling_interval(tracks).collect()}
-
-
 def smoothed_by_video(tracks: DataFrame, smooth: float) -> DataFrame:
-    """with_kinematics where each video has the window its own sampling asks for; videos of equal windows go together."""
-    by_win: dict[int, list] = {}
-    for video, win in windows_by_video(tracks, smooth).items():
-        by_win.setdefault(win, []).append(video)
-    out = None
-    for win, videos in sorted(by_win.items()):
-        part = with_kinematics(tracks.where(F.col("video_id").isin(videos)), win)
-        out = part if out is None else out.unionByName(part)
-    return with_kinematics(tracks, 1) if out is None else out
-
-
+    """with_kinematics where each video has the window its own sampling asks for. The frames of all window sizes that occur,
+    some dozens at most, share one sort."""
+    win = sampling_interval(tracks).select("video_id", F.when(F.col("dt") > 0, F.greatest(F.lit(1), F.bround(smooth / F.col("dt")).cast("int"))).otherwise(1).alias("_win"))
+    sizes = sorted(r["_win"] for r in win.select("_win").distinct().collect())
+    raw = with_velocity(tracks).join(win, "video_id")
+    names = ["gx", "gy", "size", "vx", "vy"]
+    own = lambda c: F.coalesce(*[F.when(F.col("_win") == k, rolling_mean(c, k)) for k in sizes]).alias(c)
+    smoothed = raw.select(*[c for c in tracks.columns], *[own(c) for c in names])
+    return smoothed.withColumns({"speed": F.hypot("vx", "vy") / F.col("size"), "heading": F.degrees(F.atan2("vy", "vx"))})

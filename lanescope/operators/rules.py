@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lanescope.functions import geometry as G
+from lanescope.session import shortened
 
 from . import pairs as P
 from .kinematics import gradient
@@ -74,14 +75,6 @@ def failure_to_yield(kin: DataFrame, crosswalks: list[G.Points], refuges: list[G
     return agg.where((F.col("top") > moving) & (F.col("hits") > 0)).select(*EVENT)
 
 
-def effective_red(states: DataFrame, delay: float, early: float) -> DataFrame:
-    """(video_id, start, until, before): red runs of (video_id, t, state) less a delay; red at start <= t <= until and, where
-    another state follows, t < before."""
-    s = states.withColumn("after", F.lead("t").over(Window.partitionBy("video_id").orderBy("t")))
-    r = runs(s.withColumn("event_id", F.lit(0)), F.col("state") == 1, ["video_id"], ["t"], F.max_by("after", "t").alias("after"))
-    return r.select("video_id", (F.col("start") + delay).alias("start"), F.col("end").alias("until"), F.coalesce(F.col("after") - early, F.lit(float("inf"))).alias("before"))
-
-
 def red_at(states: DataFrame, delay: float, early: float) -> DataFrame:
     """states with red: whether a sample is effectively red."""
     w = Window.partitionBy("video_id").orderBy("t")
@@ -221,7 +214,7 @@ def near_misses(kin: DataFrame, crashes: DataFrame, ttc: float, clear: float, fa
     new = (F.coalesce(F.col("t") - F.lag("t").over(w), F.lit(0.0)) > scale).cast("int")
     p = p.withColumn("_new", new).withColumn("part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     worst = p.groupBy(*pair).agg(F.min(F.struct("ttc", "t", "part")).alias("m"), F.min("t").alias("first")).where(F.col("m.ttc") < ttc).select(*pair, "first", F.col("m.t").alias("tc"), F.col("m.part").alias("part"))
-    c = worst.join(p.groupBy(*pair, "part").agg(F.max("t").alias("till")), [*pair, "part"]).drop("part")
+    c = shortened(worst.join(p.groupBy(*pair, "part").agg(F.max("t").alias("till")), [*pair, "part"]).drop("part"))
     same = crashes.select("video_id", "a_tid", "b_tid", F.col("start").alias("t0")).join(c.select(*pair, "first"), pair).where(F.abs(F.col("t0") - F.col("first")) < 5 * scale)
     c = c.join(same.select(*pair), pair, "left_anti")
     found = c.join(braking(c, kin, moving, peak, drop, turn, scale), pair)

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from lanescope.operators import detect as D
 from lanescope.operators import evaluate as V
+from lanescope.operators import kinematics as K
 from lanescope.operators import review as W
 from lanescope.operators import rules as E
 from lanescope.operators import scene as S
+from lanescope.operators import stats as C
 from lanescope.operators import view as N
-from lanescope.sources.tables import held_forward
+from lanescope.sources.tables import every_nth_frame, held_forward
+from lanescope.streaming.risk import sampled
 
 from .fixture import BOX, CROSSWALKS, DIRECTION, DURATION, FLOW, GRID, KIN, LINE, MOVING, NX, NY, REFUGE, STOP_LINE, STOPPED, TR, kinematic, rounded, tracks
 from .rules import alarm_score, crashes, curve, red_states, truth_and_shifted, turning
@@ -186,6 +189,44 @@ def track_crop(spark, d):
     return N.crop(tracks(spark, d), ["video_id", "tid"], 1920, 1080)
 
 
+# rows that are left: strides, cleaning, re-timed candidates
+
+
+@query(f"with {TR} select event_id from tr where frame % 3 = 0")
+def strided_frames(spark, d):
+    return every_nth_frame(tracks(spark, d), 30.0, 10.0).select("event_id")
+
+
+@query(f"with {TR} select event_id from tr where round_even(t * 2.0::double, 0)::bigint % 4 = 0")
+def sampled_rows(spark, d):
+    return sampled(tracks(spark, d), 2.0, 0.5).select("event_id")
+
+
+@query(f"""with {TR}, w as (select video_id, greatest(1, round_even(30.0::double / dt, 0))::int as win from (select video_id, median(d) as dt from (select video_id, t - lag(t) over (partition by video_id, tid order by t, event_id) as d from tr) group by video_id)),
+  gr as (select tr.*, w.win, (x1 + x2) / 2 as gx, y2 as gy from tr join w using (video_id))
+  select event_id, round_even(avg(gx) over f, 4) as gx, round_even(avg(gy) over f, 4) as gy from gr window f as (partition by video_id, tid order by t, event_id rows between (win - 1 - (win - 1) // 2) preceding and ((win - 1) // 2) following)""")
+def smoothed_by_video(spark, d):
+    return K.smoothed_by_video(tracks(spark, d), 30.0).select("event_id", *rounded("gx", "gy"))
+
+
+@query(f"""with recursive {SEG}, raw as (select video_id, label, case when label = 'view' and event_id % 3 = 0 then 'n/a' else s::varchar end as s, (e + 1)::varchar as e from seg),
+  num as (select video_id, label, try_cast(s as double) as s, least(try_cast(e as double), 715.0) as e from raw where label <> 'purchase'), ok as (select video_id, label, round_even(s, 3) as s, round_even(e, 3) as e from num where s >= 0 and s < e),
+  o as (select *, row_number() over (partition by video_id, label order by s, e) as r from ok),
+  k(video_id, label, s, e, r, reach, kept) as (select video_id, label, s, e, r, e, true from o where r = 1 union all select o.video_id, o.label, o.s, o.e, o.r, case when o.s >= k.reach then o.e else k.reach end, o.s >= k.reach from k join o on o.video_id = k.video_id and o.label = k.label and o.r = k.r + 1)
+  select video_id, label, s as "start", e as "end" from k where kept""")
+def clean_events(spark, d):
+    s = segments(spark, d).withColumn("duration", F.lit(715.0))
+    start = F.when((F.col("label") == "view") & (F.col("event_id") % 3 == 0), "n/a").otherwise(F.col("start").cast("string"))
+    return V.clean_events(s.withColumns({"start": start, "end": (F.col("end") + 1).cast("string")}), ["click", "view", "signup", "error"])
+
+
+@query(f"""with {SEG}, c as (select event_id as cid, label, case when label = 'signup' then event_id - 3 end as retime_of, case when s > 360 then 'real' else 'not_real' end as verdict from seg), ok as (select retime_of from c where retime_of is not null and verdict = 'real')
+  select cid, label from c where (retime_of is null or verdict = 'real') and cid not in (select retime_of from ok)""")
+def superseded(spark, d):
+    c = segments(spark, d).select(F.col("event_id").alias("cid"), "label", F.when(F.col("label") == "signup", F.col("event_id") - 3).alias("retime_of"), F.when(F.col("start") > 360, "real").otherwise("not_real").alias("verdict"))
+    return C.superseded(c).select("cid", "label")
+
+
 # views
 
 

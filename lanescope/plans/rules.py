@@ -123,7 +123,12 @@ def red_light(spark, d):
     return out.select("video_id", "tid", *rounded("start", "end"))
 
 
-@keep("stop_line")
+@query(f"""with {KIN}, {RED.split('tr as', 1)[1].split('from events)', 1)[1].lstrip(', ')}, v0 as (select *, max(case when speed > 0.08 then 1 else 0 end) over (partition by video_id, tid) as moved from kin where {VEH}),
+  v1 as (select *, lead(t) over (partition by video_id, tid order by t, event_id) as nxt, (gx - 50) / size >= 0.3 and (gy - 20) / 100 between -0.05 and 1.05 and not (gx between 110 and 200 and gy between 0 and 130) and speed < 0.04 as ok from v0 where moved = 1),
+  v2 as (select *, sum(case when ok then 0 else 1 end) over (partition by video_id, tid order by t, event_id rows unbounded preceding) as run from v1),
+  r0 as (select video_id, tid, run, min(t) as t, max(t) as last, arg_max(coalesce(nxt, -1), (t, event_id)) as nxt from v2 where ok group by all),
+  r1 as (select *, {REDAT.format('r0')} as red, (select min(s.t) from rs s where s.video_id = r0.video_id and s.red = 0 and s.t >= r0.t) as off_ from r0)
+  select video_id, tid, round_even(t, 4) as "start", round_even(greatest(least(coalesce(off_ - 1, 1e18), case when nxt >= 0 then nxt else last end), t + 0.5), 4) as "end" from r1 where red = 1""")
 def stop_line(spark, d):
     far = [(x + 60, y) for x, y in BOX]
     out = E.stop_line(kinematic(spark, d), red_states(spark, d), STOP_LINE, DIRECTION, far, 0.3, MOVING, STOPPED, 1.0)
@@ -353,7 +358,10 @@ def candidate_groups(spark, d):
     return Q.candidate_groups(s).select("video_id", "label", *rounded("start", "end"), "hits", "current")
 
 
-@keep("ema_risk")
+@query(f"""with recursive {TR}, o as (select video_id, t, x1 / 500 as raw, row_number() over (partition by video_id order by t) as r from tr),
+  k(video_id, t, r, score) as (select video_id, t, r, least(1.0::double, greatest(0.0::double, raw)) from o where r = 1 union all
+    select o.video_id, o.t, o.r, least(1.0::double, greatest(0.0::double, k.score + (1 - exp((k.t - o.t) / 0.6::double)) * (o.raw - k.score))) from k join o on o.video_id = k.video_id and o.r = k.r + 1)
+  select video_id, t, round_even(score, 4) as score from k""")
 def ema_risk(spark, d):
     return Q.smoothed(curve(spark, d).select("video_id", "t", F.col("score").alias("raw"))).select("video_id", "t", *rounded("score"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, name: str = "lanescope") -> SparkSession:
@@ -22,3 +22,9 @@ def local_session(cpus: int | None = None, name: str = "lanescope") -> SparkSess
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def shortened(df: DataFrame) -> DataFrame:
+    """df with a short lineage where the session has a checkpoint folder (spark.checkpoint.dir), else df: for what several
+    steps build on, whose plans would otherwise repeat its own."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
