@@ -11,6 +11,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,32 +46,33 @@ class RiskState:
         self.s = settings
         self.tracks: dict[str, dict] = {}
         self.streaks: dict[str, int] = {}
-        self.score, self.last, self.shown = 0.0, None, []
+        self.score, self.last, self.shown, self.swept = 0.0, None, [], float("-inf")
         if saved:
             self.tracks, self.streaks, self.score, self.last, self.shown = json.loads(saved)
 
     def save(self) -> str:
         return json.dumps([self.tracks, self.streaks, self.score, self.last, self.shown])
 
-    def _follow(self, t: float, rows: list[tuple]) -> None:
+    def _follow(self, t: float, rows: list[tuple]) -> list[tuple[str, dict]]:
+        """Takes in a sample's boxes; the tracks it shows that are known well enough to judge."""
+        s, seen = self.s, {}
         for tid, cls, x1, y1, x2, y2 in rows:
             if cls not in MOVERS:
                 continue
             x, y, size = (x1 + x2) / 2, y2, math.sqrt(max(x2 - x1, 1) * max(y2 - y1, 1))
             k = self.tracks.get(tid)
-            if k is None:
-                self.tracks[tid] = {"p": [x, y], "v": [0.0, 0.0], "size": size, "t": t, "cls": cls, "speeds": []}
-                continue
-            dt = t - k["t"]
-            if dt <= 0:
-                continue
-            k["v"] = [0.5 * v + 0.5 * (b - a) / dt for v, a, b in zip(k["v"], k["p"], (x, y), strict=True)]
-            k["size"] = 0.8 * k["size"] + 0.2 * size
-            k["speeds"].append([t, math.hypot(*k["v"]) / k["size"]])
-            k.update(p=[x, y], t=t, cls=cls)
-        self.tracks = {n: k for n, k in self.tracks.items() if t - k["t"] <= self.s.forget}
-        for k in self.tracks.values():
-            k["speeds"] = [q for q in k["speeds"] if t - q[0] <= self.s.forget]
+            if k is None or (self.last is not None and self.last - k["t"] > s.forget):
+                k = self.tracks[tid] = {"p": [x, y], "v": [0.0, 0.0], "size": size, "t": t, "cls": cls, "speeds": []}
+            elif (dt := t - k["t"]) > 0:
+                (px, py), (vx, vy) = k["p"], k["v"]
+                v = [0.5 * vx + 0.5 * (x - px) / dt, 0.5 * vy + 0.5 * (y - py) / dt]
+                size = 0.8 * k["size"] + 0.2 * size
+                recent = [q for q in k["speeds"] if t - q[0] <= s.forget]
+                k.update(p=[x, y], v=v, size=size, t=t, cls=cls, speeds=[*recent, [t, math.hypot(*v) / size]])
+            seen[tid] = k
+        if t - self.swept > s.forget:  # tracks that are forgotten count as new ones anyway
+            self.tracks, self.swept = {n: k for n, k in self.tracks.items() if t - k["t"] <= s.forget}, t
+        return [(n, k) for n, k in seen.items() if len(k["speeds"]) >= s.samples]
 
     def _pair(self, a: dict, b: dict) -> float | None:
         """Time to contact of a threatening pair."""
@@ -107,8 +109,7 @@ class RiskState:
             return 0.0
         return (max(recent) - recent[-1]) / max(recent)
 
-    def _instant(self, t: float) -> float:
-        live = [(n, k) for n, k in self.tracks.items() if k["t"] == t and len(k["speeds"]) >= self.s.samples]
+    def _instant(self, t: float, live: list[tuple[str, dict]]) -> float:
         if len(live) < 2:
             self.streaks = {}
             return 0.0
@@ -129,8 +130,7 @@ class RiskState:
     def step(self, t: float, rows: list[tuple]) -> float | None:
         if self.last is not None and t <= self.last:
             return None  # late rows change nothing
-        self._follow(t, rows)
-        raw = self._instant(t)
+        raw = self._instant(t, self._follow(t, rows))
         alpha = 1.0 if self.last is None else 1 - math.exp(-(t - self.last) / self.s.tau)
         self.score = min(1.0, max(0.0, self.score + alpha * (raw - self.score)))
         self.last = t
@@ -143,10 +143,13 @@ class RiskState:
 def scores(video: int, df: pd.DataFrame, state: RiskState) -> pd.DataFrame:
     out = []
     df = df.sort_values(["t", "tid"])
-    for t, rows in df.groupby("t", sort=True):
-        got = state.step(float(t), [(str(r.tid), r.cls, r.x1, r.y1, r.x2, r.y2) for r in rows.itertuples(index=False)])
+    t = df["t"].to_numpy(float)
+    rows = list(zip(df["tid"].astype(str), df["cls"], *(df[c].tolist() for c in ("x1", "y1", "x2", "y2")), strict=True))
+    first = np.flatnonzero(np.diff(t, prepend=np.nan) != 0)
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
+        got = state.step(float(t[lo]), rows[lo:hi])
         if got is not None:
-            out.append((video, float(t), got))
+            out.append((video, float(t[lo]), got))
     return pd.DataFrame(out, columns=["video_id", "t", "score"]).astype({"video_id": "int64", "t": "float64", "score": "float64"})
 
 
