@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from .temporal import overlapping
 
+BLOCK = 64  # islands in a row that are folded together
+
 
 def box_iou(a, b) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
@@ -29,7 +31,7 @@ def stitch_runs(found: DataFrame, max_gap: float = 3.0, least: float = 0.5) -> D
     cols = ["video_id", "tid", "start", "end", "x1", "y1", "x2", "y2"]
     w = Window.partitionBy("video_id").orderBy("start", "end", "x1", "y1")
     fresh = F.coalesce(F.col("start") - F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) > max_gap, F.lit(True))
-    split = found.select(*cols).withColumn("island", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    split = found.select(*cols).withColumn("island", F.floor(F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK))
 
     def join(df: pd.DataFrame) -> pd.DataFrame:
         rows = df.sort_values(["start", "end", "x1", "y1"])
@@ -62,7 +64,7 @@ def candidate_groups(segments: DataFrame, least: float = 0.2) -> DataFrame:
     rest = other.join(met.select("other").distinct(), "other", "left_anti")
     w = Window.partitionBy(*keys).orderBy("start", "end")
     fresh = F.coalesce(F.col("start") >= F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    rest = rest.withColumn("island", F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = rest.withColumn("island", F.floor(F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK))
 
     def group(df: pd.DataFrame) -> pd.DataFrame:
         made: list[list] = []  # first start, first end, start, end, hits
