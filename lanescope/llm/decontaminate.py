@@ -16,10 +16,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, distinct_ids
+from .common import ascii_lower, cut, distinct_ids, small_enough
 
 NGRAM = 13
-BROADCAST_WINDOWS, BROADCAST_BYTES = 2_000_000, 256 << 20
+BROADCAST_WINDOWS, BROADCAST_BYTES, BROADCAST_IDS = 2_000_000, 256 << 20, 1_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -101,7 +101,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", *
         key = f"row_{uuid.uuid4().hex[:8]}"
         docs = cut(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     bad = contamination(docs, items, doc_id=key, **options).where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(key))
-    return docs.join(bad, key, "left_anti").select(*columns)
+    bad = cut(bad, "contaminated")
+    return docs.join(F.broadcast(bad) if small_enough(bad, BROADCAST_IDS) else bad, key, "left_anti").select(*columns)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

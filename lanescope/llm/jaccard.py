@@ -392,7 +392,9 @@ def solved(rows: DataFrame, ngram: int) -> DataFrame:
     named = classes.join(parts, F.col("class_id") == F.col("node"), "left").select("n", "s1", "s2", "class_id", F.coalesce("component", "class_id").alias("component"))
     out = sig.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     own = lambda c: F.when(F.col("doc_id").isNotNull(), F.coalesce(c, "doc_id"))
-    return out.select("doc_id", "n", own("class_id").alias("class_id"), own("component").alias("component_id"))
+    told = cut(out.select("doc_id", "n", own("class_id").alias("class_id"), own("component").alias("component_id")), "told")
+    drop(sig, classes)
+    return told
 
 
 def near_texts(docs: DataFrame, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -417,11 +419,11 @@ def near_texts(docs: DataFrame, ngram: int = NGRAM, doc_id: str = "doc_id", text
 def one_of_each(docs: DataFrame, ngram: int = NGRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component, that of the least doc_id; columns stay. Rows with a null doc_id stay, and of
     rows that repeat the least doc_id any one stays."""
+    name = f"row_{uuid.uuid4().hex[:8]}"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     if distinct_ids(rows):
-        gone = solved(rows, ngram).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, docs[doc_id].cast("long") == gone["_gone"], "left_anti")
-    name = f"row_{uuid.uuid4().hex[:8]}"
+        gone = solved(rows, ngram).where("component_id <> doc_id").select(F.col("doc_id").alias(name))
+        return docs.join(F.broadcast(gone) if small_enough(gone, BROADCAST) else gone, docs[doc_id].cast("long") == gone[name], "left_anti")
     docs = cut(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
     rows = docs.select(F.col(name).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
     own = solved(rows.select(F.col("row").alias("doc_id"), "text"), ngram).select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")

@@ -49,6 +49,7 @@ CUES = {
 AGAINST = r"(?i)\b(version|release|section|chapter|isbn|ref|order|invoice|part|item|v)\b[^\n]{0,8}$"
 LABELERS = ["strict", "numbers", "gazetteer", "cue", "other_meaning", "alone"]
 ROUNDS, ACCEPT, PRIOR = 30, 0.5, 0.5
+BROADCAST = 1_000_000  # spans at most to send to every task
 
 
 def luhn(digits: Column) -> Column:
@@ -184,7 +185,9 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
         key = f"row_{uuid.uuid4().hex[:8]}"
         docs = cut(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     hit = personal_data(docs, doc_id=key, text=text, **options).where(F.size("spans") > 0).select(F.col("doc_id").alias(key), F.col("spans").alias(held))
-    joined = docs.join(hit, key, "left")
+    hit = cut(hit, "spans")
+    few = (hit.agg(F.sum(F.size(held) + 1)).first()[0] or 0) <= BROADCAST
+    joined = docs.join(F.broadcast(hit) if few else hit, key, "left")
     labels = F.array(*[F.lit(n) for n in KINDS])
     ordered = F.array_sort(F.transform(held, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     t = F.col(text)
