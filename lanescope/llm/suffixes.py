@@ -23,17 +23,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, scratch, small_enough
+from .common import cut, distinct_ids, modest_batches
 from .textbytes import Rolling, mixed, slices, text_bytes
 
 SIZE, K = 100, 40
-BATCHES, SLICE = 2, 4_000_000
-BROADCAST = 500_000
+BATCHES, SLICE = 2, 2_000_000
+BROADCAST = 1_000_000  # numbers in lists to send to every task, at most
 ROW = "key long, kind byte, g long, c long, doc long, pos int"
 SINGLE, MARK, MULTI, COPY = 0, 1, 2, 3  # an entry; g has several contexts; an entry of such a g; a copy of an entry before it
 LEVEL = "kind byte, g long, c long, doc long, pos int, old boolean"
-POSITION = np.uint64((1 << 26) - 1)
+POSITION = np.uint64((1 << 26) - 1)  # bits of a position within a stretch; the others are the hash's
+STRETCH = 1 << 25
 
 
 def anchors(roll: Rolling, offsets: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,13 +46,18 @@ def anchors(roll: Rolling, offsets: np.ndarray, size: int, k: int) -> tuple[np.n
     if n < size or not (length >= size).any():
         return none, none, none, none
     h = roll.every(k)
-    v = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
-    pad = -len(v) % w
-    blocks = np.concatenate([v, np.full(pad + w, 2**64 - 1, np.uint64)]).reshape(-1, w)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = np.repeat(offsets[:-1] - np.cumsum(np.maximum(length - size + 1, 0)) + np.maximum(length - size + 1, 0), np.maximum(length - size + 1, 0)) + np.arange(int(np.maximum(length - size + 1, 0).sum()))
-    p = (np.minimum(behind[starts], ahead[starts + w - 1]) & POSITION).astype(np.int64)
+    found = []
+    for at in range(0, len(h), STRETCH):  # positions within a stretch fit their bits, however long the text is
+        own = starts[np.searchsorted(starts, at) : np.searchsorted(starts, at + STRETCH)] - at
+        if len(own):
+            least = h[at : at + STRETCH + w]
+            v = (least & ~POSITION) | np.arange(len(least), dtype=np.uint64)
+            blocks = np.concatenate([v, np.full(-len(v) % w + w, 2**64 - 1, np.uint64)]).reshape(-1, w)
+            ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+            behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+            found.append((np.minimum(behind[own], ahead[own + w - 1]) & POSITION).astype(np.int64) + at)
+    p = np.concatenate(found)
     first = np.flatnonzero(np.diff(p, prepend=-1))
     last = np.append(first[1:], len(p)) - 1
     p = p[first]
@@ -166,10 +173,9 @@ class SuffixLevels:
             several = was.where(F.col("kind") == MULTI).groupBy("g").agg(F.first("c").alias("c"), F.first("doc").alias("doc"), F.first("pos").alias("pos"))
             new = new.union(several.select(F.col("g").alias("key"), F.lit(MARK).cast("byte").alias("kind"), "g", "c", "doc", "pos", F.lit(True).alias("old")))
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        path = scratch(self.spark, "scan")
-        found = scanned(new.repartition(n, "key").sortWithinPartitions("key"), False)
-        (found.where(F.col("kind") != SINGLE) if last else found).write.partitionBy("kind").parquet(path)
-        seen = self.spark.read.schema("g long, c long, doc long, pos int, old boolean, kind byte").parquet(path)
+        found = scanned(new.repartition(n, "key").sortWithinPartitions("key"), False).select("g", "c", "doc", "pos", "old", "kind")
+        known = (F.col("kind") == SINGLE) & (F.lit(True) if last else F.col("old"))  # what other levels have stays there
+        seen = cut(found.where(~known), "scan", "kind")
         wide = seen.where(F.col("kind") == MULTI).select(F.xxhash64("g", "c").alias("key"), F.col("kind").cast("byte").alias("kind"), "g", "c", "doc", "pos", "old")
         exact = cut(scanned(wide.repartition(n, "key").sortWithinPartitions("key"), True), "several")
         copies = seen.where(F.col("kind") == COPY).union(exact.where(F.col("kind") == COPY).select(seen.columns)).select("doc", "pos")
@@ -180,8 +186,9 @@ class SuffixLevels:
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """docs joined with one row per document; the lists are broadcast only if they are few."""
-    return docs.join(F.broadcast(lists) if small_enough(lists, BROADCAST) else lists, "doc_id", how)
+    """docs joined with one row per document; the lists are broadcast only if all they hold is little."""
+    held = lists.agg(F.sum(F.size(lists.columns[1]) + 1)).first()[0] or 0
+    return docs.join(F.broadcast(lists) if held <= BROADCAST else lists, "doc_id", how)
 
 
 def as_runs(doc: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -257,12 +264,13 @@ def repeats(docs: DataFrame, size: int = SIZE, k: int = K, batches: int = BATCHE
         copies, crossed = (a, b) if copies is None else (copies.union(a), crossed.union(b))
     around = copies.select(F.col("doc").alias("doc_id"), F.greatest(F.col("pos") + (k - size), F.lit(0)).alias("start"), (F.col("pos") + size).alias("end"))
     found = around.union(crossing_repeats(docs, crossed, size, k).select(F.col("doc").alias("doc_id"), "start", "end"))
-    runs = F.aggregate(
-        F.array_sort("all"),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (x["start"] <= F.get(a, F.size(a) - 1)["end"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["start"].alias("start"), F.greatest(F.get(a, F.size(a) - 1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))),
-    )
-    return cut(found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("all")).select("doc_id", runs.alias("spans")), "spans")
+    # maximal runs by a window: a document with very many spans costs a sort, not a fold
+    w = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = found.distinct().withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    island = apart.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return cut(runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, k: int = K, batches: int = BATCHES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -270,10 +278,15 @@ def without_repeats(docs: DataFrame, size: int = SIZE, k: int = K, batches: int
 
     A byte goes if a string of `size` bytes that covers it also starts earlier, in a smaller doc_id or before it in the same
     document. Null texts are empty. Rows with a null doc_id are kept whole and count for nothing. Rows that repeat a doc_id
-    aren't told apart as places: a string in two of them stays in both unless it starts at different bytes.
-    Other columns are ignored.
+    are documents of their own, in the order of their texts. Other columns are ignored; an empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = modest_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if not distinct_ids(rows):  # number the rows in the order of their ids
+        ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+        ordered = cut(ordered.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        out = without_repeats(ordered.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text").where("doc_id is not null"), size, k, batches)
+        lone = ordered.where("doc_id is null").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"), F.col("text").cast("binary").alias("kept"))
+        return out.withColumnRenamed("doc_id", "row").join(ordered.where("doc_id is not null").select("row", "doc_id"), "row").select("doc_id", "n_bytes", "spans", "kept").union(lone)
     spans = repeats(rows.where("doc_id is not null"), size, k, batches)
 
     def removed(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
