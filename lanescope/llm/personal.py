@@ -2,11 +2,12 @@
 
 Loose patterns propose candidate spans. Labelers vote on each, yes, no or nothing: the strict form of the kind, a
 check of its numbers (parts, checksum, lengths), a gazetteer of top-level domains and calling codes, cue words before
-it, and signs of another meaning around it (version, reference, price). Votes are grouped by kind and pattern of votes,
-at most 3^5 of each kind, and expectation-maximisation over those counts estimates how reliable each labeler is. The
-posteriors weigh every candidate in training the final classifier, a naive Bayes model over features of the span and
-its surroundings whose counts are one grouped sum over all candidates. A candidate is a span if its score is at least
-`accept`, or if it is of a fixed kind that passes that kind's rules: those always stay.
+it, signs of another meaning (version, reference, order), and whether it stands alone. Votes are grouped by kind and
+pattern of votes, at most 3^6 of each kind, and expectation-maximisation over those counts estimates how reliable each
+labeler is on each kind. The posteriors weigh every candidate in training the final classifier, a naive Bayes model of
+each kind over features of the span and its surroundings whose counts are one grouped sum over all candidates. A
+candidate is a span if its score is at least `accept`, or if it is of a fixed kind that passes that kind's rules: those
+always stay.
 """
 
 from __future__ import annotations
