@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, language, neighbours, packing, personal, secrets, suffixes, tokenfiles, toxicity
+from . import conversations, decontaminate, jaccard, language, neighbours, packing, personal, scoring, secrets, suffixes, tokenfiles, toxicity, whitening
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_neighbours": neighbours.op9_neighbours,
     "op10_personal": personal.op10_personal,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_scoring": scoring.op12_scoring,
+    "op13_conversations": conversations.op13_conversations,
 }
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
