@@ -136,8 +136,8 @@ class Spectrum:
                 y = np.linalg.solve(self.matrix - (shift + off) * np.eye(len(x)), x)
             except np.linalg.LinAlgError:
                 continue
-            if np.isfinite(y).all():
-                return y
+            if np.isfinite(y).all() and y.any():
+                return y / np.abs(y).max()
         return x
 
 
@@ -146,12 +146,13 @@ def leading(matrix: np.ndarray, most: int = COMPONENTS) -> tuple[np.ndarray, np.
     n = len(matrix)
     if not np.abs(matrix).max(initial=0.0) > 0:
         return np.zeros(min(most, n)), np.eye(n)[:, : min(most, n)]
-    spectrum = Spectrum(matrix)
+    scale = 2.0 ** -np.frexp(np.abs(matrix).max())[1]  # far from what doubles can hold
+    spectrum = Spectrum(matrix * scale)
     found: list[tuple[float, np.ndarray]] = []
     for k in range(1, min(most, n) + 1):
         found.append(spectrum.pair(k, found))
     found.sort(key=lambda f: -f[0])  # only within what rounding blurs
-    return np.array([e for e, _ in found]), np.array([v for _, v in found]).T
+    return np.array([e for e, _ in found]) / scale, np.array([v for _, v in found]).T
 
 
 # vectors of whole numbers, packed
