@@ -133,3 +133,46 @@ def scaled(poly: Points, width: float, height: float) -> Points:
 def heading_cosine(vx: Column, vy: Column, direction: tuple[float, float]) -> Column:
     n = math.hypot(*direction)
     return (vx * (direction[0] / n) + vy * (direction[1] / n)) / (F.hypot(vx, vy) + 1e-9)
+
+
+# shapes held in columns: arrays of (x, y), so that each row can have its own
+
+
+def edges(points: Column) -> Column:
+    """The sides of a polygon as (a, b) pairs of points, the last one back to the first."""
+    n = F.size(points)
+    return F.zip_with(points, F.concat(F.slice(points, 2, F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def contains(points: Column, x: Column, y: Column) -> Column:
+    """Whether a polygon holds the point, boundary included: even-odd crossings, or on a side."""
+
+    def crossed(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        level = (y >= F.least(a["y"], b["y"])) & (y < F.greatest(a["y"], b["y"]))
+        return level & (x < a["x"] + (y - a["y"]) * ((b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))))
+
+    def on(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        within = x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+        return within & ((b["x"] - a["x"]) * (y - a["y"]) == (b["y"] - a["y"]) * (x - a["x"]))
+
+    sides = edges(points)
+    return (F.size(F.filter(sides, lambda e: F.coalesce(crossed(e), F.lit(False)))) % 2 == 1) | F.exists(sides, on)
+
+
+def square_distance(ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
+    """Chebyshev distance from the point to the segment a-b: half the side of the least square about the point that meets it.
+    It lies at an end, or where both coordinates are equally far."""
+    px, py, ux, uy = ax - x, ay - y, bx - ax, by - ay
+    places = [F.lit(0.0), F.lit(1.0), -(px - py) / F.nullif(ux - uy, F.lit(0.0)), -(px + py) / F.nullif(ux + uy, F.lit(0.0))]
+    inside = [F.least(F.greatest(F.coalesce(t, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) for t in places]
+    return F.least(*[F.greatest(F.abs(px + t * ux), F.abs(py + t * uy)) for t in inside])
+
+
+def contains_within(points: Column, x: Column, y: Column, by: float) -> Column:
+    """Whether a polygon widened by a square, `by` to each side, holds the point."""
+    if by == 0:
+        return contains(points, x, y)
+    near = lambda e: square_distance(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], x, y) <= by
+    return contains(points, x, y) | F.exists(edges(points), near)
