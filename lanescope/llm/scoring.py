@@ -13,12 +13,12 @@ they are broadcast. Beyond it texts are dealt to chunks, each chunk asks each se
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import cut, drop, modest_batches
@@ -28,7 +28,7 @@ from .textbytes import SPACE, mixed, slices, text_bytes, words
 #: Bits of the filter an entry, and probes an entry is looked for with: 1.2 in 100 are found that were never entered.
 BITS, PROBES = 10, 4
 #: Largest broadcast in bytes, bytes of text a segment, least segments, tokens that a task counts together, bytes of a stretch of text.
-BOUND, SEGMENT_BYTES, SEGMENTS, TOGETHER, STRETCH = 192 << 20, 16 << 20, 64, 3_000_000, 1 << 20
+BOUND, SEGMENT_BYTES, SEGMENTS, TOGETHER, STRETCH = 128 << 20, 16 << 20, 64, 3_000_000, 1 << 20
 #: Weight of a word's own probability against the counts of pairs.
 STRENGTH = 8.0
 END = np.uint64(0x5851F42D4C957F2D)
@@ -135,7 +135,7 @@ class Filter:
         if not len(self.words):
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0)
+        return np.where(self.words[at] == keys, self.counts[at].astype(np.int64), 0)
 
 
 @dataclass
@@ -214,16 +214,21 @@ def built(train: DataFrame, text: str = "text") -> tuple[DataFrame, Totals]:
     return table, Totals(int(s[0].sum()), int(n[0].sum()), mean)
 
 
-def assembled(rows: list[dict]) -> Filter:
-    """A filter of rows of the table, at least one; segments that nothing was entered in have no row."""
-    of = rows[0]["of"]
-    start, size, at = np.zeros(of, np.int64), np.zeros(of, np.int64), 0
-    rows = sorted(rows, key=lambda r: r["segment"])
+def assembled(rows: Iterable[Row], of: int, sizes: tuple[int, int]) -> Filter:
+    """A filter of rows of the table, which may come one by one; sizes: bytes of the bits and of the words' hashes, all rows
+    together. Segments that nothing was entered in have no row."""
+    start, size = np.zeros(of, np.int64), np.zeros(of, np.int64)
+    bits, held, counts = np.zeros(sizes[0], np.uint8), np.zeros(sizes[1] // 8, np.uint64), np.zeros(sizes[1] // 8, np.uint32)
+    at = word = 0
     for r in rows:
         start[r["segment"]], size[r["segment"]] = at, r["size"]
-        at += len(r["bits"])
-    join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-    return Filter(join("bits", np.uint8), start, size, join("words", "<u8"), join("counts", "<i8"))
+        bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+        own, n = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["counts"], "<i8")
+        if n.max(initial=0) >= 2**32:
+            counts = counts.astype(np.int64)
+        held[word : word + len(own)], counts[word : word + len(own)] = own, n
+        at, word = at + len(r["bits"]), word + len(own)
+    return Filter(bits, start, size, held, counts)
 
 
 # scores
@@ -265,12 +270,10 @@ def scored(docs: DataFrame, held_out: Column, bound: int = BOUND, strength: floa
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     table, totals = built(rows.where(~F.col("held_out")))
-    size = table.agg(F.coalesce(F.sum(F.octet_length("bits") + F.octet_length("words") + F.octet_length("counts")), F.lit(0))).first()[0]
-    if size <= bound:
-        fields = ["segment", "of", "bits", "size", "words", "counts"]
-        parts = [dict(zip(fields, r, strict=True)) for r in table.select(*fields).collect()]
-        nothing = Filter(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        shared = docs.sparkSession.sparkContext.broadcast(assembled(parts) if parts else nothing)
+    total = table.agg(F.coalesce(F.max("of"), F.lit(1)), *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in ("bits", "words")]).first()
+    if total[1] + 2 * total[2] <= bound:
+        rows_ = table.select("segment", "bits", "size", "words", "counts").orderBy("segment").toLocalIterator()  # a part at a time
+        shared = docs.sparkSession.sparkContext.broadcast(assembled(rows_, total[0], total[1:]))
         drop(table)
 
         def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +310,8 @@ def scored_by_chunks(rows: DataFrame, table: DataFrame, totals: Totals, strength
     asked = chunks.groupBy("chunk").applyInArrow(ask, "chunk long, kind int, segment long, keys binary")
 
     def reply(_: tuple[pa.Scalar, ...], questions: pa.Table, own: pa.Table) -> pa.Table:
-        held = assembled(own.to_pylist()) if own.num_rows else None
+        parts = own.to_pylist()
+        held = assembled(parts, parts[0]["of"], (len(parts[0]["bits"]), len(parts[0]["words"]))) if parts else None
         levels, exact = [], []
         for kind, packed in zip(questions.column("kind").to_pylist(), questions.column("keys").to_pylist(), strict=True):
             keys = np.frombuffer(packed, "<u8")
