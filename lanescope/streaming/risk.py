@@ -2,19 +2,24 @@
 
 State per video: each live track's position, velocity, size and recent speeds; how many samples in a row each pair has been
 threatening; the smoothed score. Rows of one video go to one task in order of time; videos are the unit of parallelism.
+
+The stream keeps a map entry for each track and each threatening pair, so a batch reads and writes the tracks it shows,
+and entries go when their track has not been seen for `forget` seconds of the video's own time. It needs the RocksDB state store (state_store()).
 """
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from lanescope.operators.scene import with_road
 
 MOVERS = {"car", "truck", "bus", "motorcycle", "bicycle", "person"}
 CURVE = "video_id long, t double, score double"
@@ -40,39 +45,34 @@ class RiskSettings:
 
 
 class RiskState:
-    """step(t, rows) takes the boxes of one sample and returns the smoothed score; plain data in and out of json."""
+    """step(t, rows) takes the boxes of one sample (tid, cls, x1, y1, x2, y2, on_road) and returns the smoothed score."""
 
-    def __init__(self, settings: RiskSettings, saved: str | None = None):
+    def __init__(self, settings: RiskSettings):
         self.s = settings
         self.tracks: dict[str, dict] = {}
         self.streaks: dict[str, int] = {}
         self.score, self.last, self.shown, self.swept = 0.0, None, [], float("-inf")
-        if saved:
-            self.tracks, self.streaks, self.score, self.last, self.shown = json.loads(saved)
-
-    def save(self) -> str:
-        return json.dumps([self.tracks, self.streaks, self.score, self.last, self.shown])
 
     def _follow(self, t: float, rows: list[tuple]) -> list[tuple[str, dict]]:
-        """Takes in a sample's boxes; the tracks it shows that are known well enough to judge."""
+        """Takes in a sample's boxes; the tracks on the road that it shows and that are known well enough to judge."""
         s, seen = self.s, {}
-        for tid, cls, x1, y1, x2, y2 in rows:
+        for tid, cls, x1, y1, x2, y2, road in rows:
             if cls not in MOVERS:
                 continue
             x, y, size = (x1 + x2) / 2, y2, math.sqrt(max(x2 - x1, 1) * max(y2 - y1, 1))
             k = self.tracks.get(tid)
             if k is None or (self.last is not None and self.last - k["t"] > s.forget):
-                k = self.tracks[tid] = {"p": [x, y], "v": [0.0, 0.0], "size": size, "t": t, "cls": cls, "speeds": []}
+                k = self.tracks[tid] = {"p": [x, y], "v": [0.0, 0.0], "size": size, "t": t, "cls": cls, "speeds": [], "road": road}
             elif (dt := t - k["t"]) > 0:
                 (px, py), (vx, vy) = k["p"], k["v"]
                 v = [0.5 * vx + 0.5 * (x - px) / dt, 0.5 * vy + 0.5 * (y - py) / dt]
                 size = 0.8 * k["size"] + 0.2 * size
                 recent = [q for q in k["speeds"] if t - q[0] <= s.forget]
-                k.update(p=[x, y], v=v, size=size, t=t, cls=cls, speeds=[*recent, [t, math.hypot(*v) / size]])
+                k.update(p=[x, y], v=v, size=size, t=t, cls=cls, speeds=[*recent, [t, math.hypot(*v) / size]], road=road)
             seen[tid] = k
         if t - self.swept > s.forget:  # tracks that are forgotten count as new ones anyway
             self.tracks, self.swept = {n: k for n, k in self.tracks.items() if t - k["t"] <= s.forget}, t
-        return [(n, k) for n, k in seen.items() if len(k["speeds"]) >= s.samples]
+        return [(n, k) for n, k in seen.items() if len(k["speeds"]) >= s.samples and k["road"]]
 
     def _pair(self, a: dict, b: dict) -> float | None:
         """Time to contact of a threatening pair."""
@@ -144,7 +144,7 @@ def scores(video: int, df: pd.DataFrame, state: RiskState) -> pd.DataFrame:
     out = []
     df = df.sort_values(["t", "tid"])
     t = df["t"].to_numpy(float)
-    rows = list(zip(df["tid"].astype(str), df["cls"], *(df[c].tolist() for c in ("x1", "y1", "x2", "y2")), strict=True))
+    rows = list(zip(df["tid"].astype(str), df["cls"], *(df[c].tolist() for c in ("x1", "y1", "x2", "y2", "on_road")), strict=True))
     first = np.flatnonzero(np.diff(t, prepend=np.nan) != 0)
     for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(rows)], strict=True):
         got = state.step(float(t[lo]), rows[lo:hi])
@@ -156,27 +156,84 @@ def scores(video: int, df: pd.DataFrame, state: RiskState) -> pd.DataFrame:
 INPUT = ["video_id", "t", "tid", "cls", "x1", "y1", "x2", "y2"]
 
 
+def judged_boxes(tracks: DataFrame) -> DataFrame:
+    """The columns that the state machine reads; where nothing is known of the road, all of it is."""
+    road = F.coalesce("on_road", F.lit(False)) if "on_road" in tracks.columns else F.lit(True)
+    return tracks.select(*INPUT, road.alias("on_road"))
+
+
+def on_known_road(tracks: DataFrame, road: DataFrame, grid: float, ny: int, nx: int) -> DataFrame:
+    """Boxes, recorded or streaming, with whether their ground point is on the road learned before (video_id, cy, cx).
+    A video without any road cell counts as road everywhere, as it does where there is no road table at all."""
+    at = tracks.withColumns({"gx": (F.col("x1") + F.col("x2")) / 2, "gy": F.col("y2")})
+    known = road.select("video_id").distinct().withColumn("_known", F.lit(True))
+    on = with_road(at, road.select("video_id", "cy", "cx"), grid, ny, nx).join(known, "video_id", "left")
+    return on.withColumn("on_road", F.col("on_road") | F.col("_known").isNull()).drop("gx", "gy", "cy", "cx", "_known")
+
+
 def replay(tracks: DataFrame, settings: RiskSettings = RiskSettings()) -> DataFrame:
     """The curve of a recorded table: what the stream would have said, row for row."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         return scores(int(df["video_id"].iloc[0]), df, RiskState(settings))
 
-    return tracks.select(*INPUT).groupBy("video_id").applyInPandas(run, CURVE)
+    return judged_boxes(tracks).groupBy("video_id").applyInPandas(run, CURVE)
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_store(spark: SparkSession) -> None:
+    """Sets the state store that maps and lists per key need, where the session still has Spark's default."""
+    if "HDFSBacked" in spark.conf.get(STORE):
+        spark.conf.set(STORE, ROCKSDB)
+
+
+class RiskProcessor(StatefulProcessor):
+    """The state machine of each video, with its tracks, pairs and clock in the state store."""
+
+    def __init__(self, settings: RiskSettings):
+        self.settings = settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tracks = handle.getMapState("tracks", "tid string", "px double, py double, vx double, vy double, size double, t double, kind string, road boolean, times array<double>, speeds array<double>")
+        self.pairs = handle.getMapState("pairs", "pair string", "streak int")
+        self.clock = handle.getValueState("clock", "score double, last double, shown array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        df = pd.concat(list(rows))
+        state = RiskState(self.settings)
+        for tid in df["tid"].astype(str).unique():
+            k = self.tracks.getValue((tid,))
+            if k is not None:
+                px, py, vx, vy, size, t, cls, road, times, speeds = k
+                state.tracks[tid] = {"p": [px, py], "v": [vx, vy], "size": size, "t": t, "cls": cls, "road": road, "speeds": [list(s) for s in zip(times, speeds, strict=True)]}
+        state.streaks = before = {pair[0]: n[0] for pair, n in self.pairs.iterator()}
+        if self.clock.exists():
+            state.score, state.last, state.shown = self.clock.get()
+            state.shown = list(state.shown)
+        out = scores(int(key[0]), df, state)
+        for tid, k in state.tracks.items():
+            self.tracks.updateValue((tid,), (*map(float, (*k["p"], *k["v"], k["size"], k["t"])), k["cls"], bool(k["road"]), [float(s[0]) for s in k["speeds"]], [float(s[1]) for s in k["speeds"]]))
+        for tid in [tid[0] for tid, k in self.tracks.iterator() if state.last - k[5] > self.settings.forget]:
+            self.tracks.removeKey((tid,))
+        for pair in before.keys() - state.streaks.keys():
+            self.pairs.removeKey((pair,))
+        for pair, n in state.streaks.items():
+            self.pairs.updateValue((pair,), (n,))
+        self.clock.update((float(state.score), float(state.last), [float(x) for x in state.shown]))
+        yield out
 
+    def close(self) -> None:
+        pass
 
-def risk_stream(tracks: DataFrame, settings: RiskSettings = RiskSettings()) -> DataFrame:
-    """The same over a streaming DataFrame, with the state of each video kept between batches; append mode."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = RiskState(settings, state.get[0] if state.exists else None)
-        df = pd.concat(list(batches))
-        out = scores(int(key[0]), df, own)
-        state.update((own.save(),))
-        yield out
 
-    return tracks.select(*INPUT).groupBy("video_id").applyInPandasWithState(run, CURVE, "saved string", "append", GroupStateTimeout.NoTimeout)
+def risk_stream(tracks: DataFrame, settings: RiskSettings = RiskSettings()) -> DataFrame:
+    """The same over a streaming DataFrame, with the state of each video kept between batches; append mode. Rows of a video
+    have to come in order of time between batches; rows that are not later than the last sample change nothing."""
+    state_store(tracks.sparkSession)
+    return judged_boxes(tracks).groupBy("video_id").transformWithStateInPandas(RiskProcessor(settings), CURVE, "Append", "None")
 
 
 def sampled(tracks: DataFrame, fps: float, target: float) -> DataFrame:
