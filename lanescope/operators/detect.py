@@ -6,15 +6,16 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanescope.functions import geometry as G
+from lanescope.session import materialised
 
 from . import pairs as P
 from . import rules as E
 from .runs import finalize
+from .scene_rules import waiting_at_red
 from .sequential import stitch_runs
 from .temporal import binned_join
 
@@ -34,22 +35,14 @@ def stopped_in_queue(runs: DataFrame, kin: DataFrame, radius: float, moving: flo
     return second.groupBy("id").agg(F.avg((F.col("speed") < moving).cast("double")).alias("slow")).where(F.col("slow") >= share).select("id")
 
 
-def stopped_at_red(runs: DataFrame, states: DataFrame, line: G.Points, direction: tuple[float, float]) -> DataFrame:
-    """(id): runs upstream of a stop line while the approach is red in over half of the samples (video_id, t, red)."""
-    (ax, ay), (bx, by) = line
-    up = -1.0 if (bx - ax) * direction[1] - (by - ay) * direction[0] > 0 else 1.0
-    before = runs.where(G.side_of_line(line, (F.col("x1") + F.col("x2")) / 2, F.col("y2")) == up)
-    j = binned_join(states.select("video_id", "t", "red"), before.select("video_id", "id", "start", "end"), ["video_id"], 10.0)
-    return j.groupBy("id").agg(F.avg("red").alias("share")).where(F.col("share") > 0.5).select("id")
-
-
-def stopped_vehicles(kin: DataFrame, states: DataFrame | None, line: G.Points, direction: tuple[float, float], moving: float, stopped: float, shortest: float, gap: float, overlap: float, radius: float, share: float) -> DataFrame:
-    """(video_id, start, end): stops of vehicles that once moved, stitched over lost tracks, that are no queue."""
+def stopped_vehicles(kin: DataFrame, states: DataFrame | None, approaches: DataFrame | None, moving: float, stopped: float, shortest: float, gap: float, overlap: float, radius: float, share: float) -> DataFrame:
+    """(video_id, start, end): stops of vehicles that once moved, stitched over lost tracks, that are no queue: neither among
+    slow neighbours nor, where states (video_id, approach, t, state) are known, before any of the video's approaches at red."""
     runs = stitch_runs(E.stationary(kin, moving, stopped), gap, overlap).where(F.col("end") - F.col("start") >= shortest)
     runs = runs.withColumn("id", F.xxhash64("video_id", "tid", "start"))
     queued = stopped_in_queue(runs, kin, radius, moving, share)
-    if states is not None:
-        queued = queued.union(stopped_at_red(runs, states, line, direction))
+    if states is not None and approaches is not None:
+        queued = queued.union(waiting_at_red(runs, states, approaches))
     return runs.join(queued, "id", "left_anti").select("video_id", "start", "end")
 
 
@@ -78,19 +71,33 @@ class Detector:
 
         return put
 
-    def events(self, context, duration: float, enabled: list[str] | None = None, gap: float = 1.0, least: float = 0.5, shift: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-        """(video_id, label, start, end) of all rules, shifted, clipped, merged and rounded; only labels that are enabled.
-        A rule whose plan can't be made for the context is left out, with a warning, and the others stay."""
-        out = None
+    def outcome(self, context, duration: float, enabled: list[str] | None = None, gap: float = 1.0, least: float = 0.5, shift: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, DataFrame]:
+        """(events, status). events: (video_id, label, start, end) of all rules, shifted, clipped, merged and rounded; only
+        labels that are enabled. status: (rule, ok, error), a row for each rule.
+
+        Every rule is computed by itself before they are united. One that fails, when its plan is made or in any task, is left
+        out, with its error in its status row, and the others stay whole.
+        """
+        found: list[DataFrame] = []
+        status: list[tuple[str, bool, str | None]] = []
         for label, f in self.rules.items():
             try:
                 own = f(context)
                 own = own.select("video_id", "start", "end", F.col("label") if "label" in own.columns else F.lit(label).alias("label"))
-            except AnalysisException as e:
+                found.append(materialised(own))
+                status.append((label, True, None))
+            except Exception as e:  # whatever a rule does wrong is its own affair
                 log.warning("rule %s is left out: %s", label, e)
-                continue
-            out = own if out is None else out.union(own)
-        if out is None:
-            raise ValueError("no rule can be applied")
+                status.append((label, False, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:500]))
+        if not found:
+            raise ValueError(f"no rule can be applied: {status}")
+        out = found[0]
+        for own in found[1:]:
+            out = out.union(own)
+        told = out.sparkSession.createDataFrame(status, "rule string, ok boolean, error string")
         out = out if enabled is None else out.where(F.col("label").isin(enabled))
-        return finalize(out, duration, gap, least, shift)
+        return finalize(out, duration, gap, least, shift), told
+
+    def events(self, context, duration: float, enabled: list[str] | None = None, gap: float = 1.0, least: float = 0.5, shift: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+        """The events of outcome()."""
+        return self.outcome(context, duration, enabled, gap, least, shift)[0]

@@ -15,6 +15,14 @@ from .temporal import overlapping
 BLOCK = 64  # islands in a row that are folded together
 
 
+def ious(boxes: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of each box with b."""
+    low, high = np.maximum(boxes[:, :2], b[:2]), np.minimum(boxes[:, 2:], b[2:])
+    shared = np.prod(np.clip(high - low, 0, None), axis=1)
+    area = lambda x: np.prod(x[..., 2:] - x[..., :2], axis=-1)
+    return np.divide(shared, area(boxes) + area(b) - shared, out=np.zeros(len(boxes)), where=shared > 0)
+
+
 def box_iou(a, b) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     if w <= 0 or h <= 0:
@@ -29,23 +37,28 @@ def stitch_runs(found: DataFrame, max_gap: float = 3.0, least: float = 0.5) -> D
     Runs that begin over max_gap after all before them have ended start an island; islands are folded one by one.
     """
     cols = ["video_id", "tid", "start", "end", "x1", "y1", "x2", "y2"]
-    w = Window.partitionBy("video_id").orderBy("start", "end", "x1", "y1")
+    order = ["start", "end", "x1", "y1", "x2", "y2", "tid"]
+    w = Window.partitionBy("video_id").orderBy(*order)
     fresh = F.coalesce(F.col("start") - F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) > max_gap, F.lit(True))
     split = found.select(*cols).withColumn("island", F.floor(F.sum(fresh.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) / BLOCK))
 
-    def join(df: pd.DataFrame) -> pd.DataFrame:
-        rows = df.sort_values(["start", "end", "x1", "y1"])
-        groups: list[list] = []
-        for tid, start, end, *box in rows[cols[1:]].itertuples(index=False):
-            for g in groups:
-                if 0 <= start - g[3] <= max_gap and box_iou(g[4:8], box) >= least:
-                    g[3], g[8] = max(g[3], end), g[8] + 1
-                    break
-            else:
-                groups.append([df["video_id"].iloc[0], tid, start, end, *box, 1])
-        return pd.DataFrame(groups, columns=[*cols, "parts"])
-
-    return split.groupBy("video_id", "island").applyInPandas(join, "video_id long, tid long, start double, end double, x1 double, y1 double, x2 double, y2 double, parts long")
+    def stitched(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(order, ignore_index=True)
+        start, end, box = df["start"].to_numpy(), df["end"].to_numpy(), df[["x1", "y1", "x2", "y2"]].to_numpy()
+        own = np.empty(len(df), int)  # the row that a row's group began with
+        till = np.full(len(df), -np.inf)  # by first row: when its group ends
+        open_ = np.empty(0, int)  # first rows of groups that may go on, as they were made
+        for i in range(len(df)):
+            open_ = open_[till[open_] >= start[i] - max_gap]
+            fits = open_[(till[open_] <= start[i]) & (ious(box[open_], box[i]) >= least)]
+            own[i] = fits[0] if len(fits) else i
+            till[own[i]] = max(till[own[i]], end[i])
+            if own[i] == i:
+                open_ = np.append(open_, i)
+        first = np.unique(own)
+        return df.loc[first, cols].assign(end=till[first], parts=np.bincount(own)[first])
+
+    return split.groupBy("video_id", "island").applyInPandas(stitched, "video_id long, tid long, start double, end double, x1 double, y1 double, x2 double, y2 double, parts long")
 
 
 def candidate_groups(segments: DataFrame, least: float = 0.2) -> DataFrame:

@@ -15,8 +15,9 @@ from lanescope.operators import view as N
 from lanescope.sources.tables import every_nth_frame, held_forward
 from lanescope.streaming.risk import sampled
 
-from .fixture import BOX, CROSSWALKS, DIRECTION, DURATION, FLOW, GRID, KIN, LINE, MOVING, NX, NY, REFUGE, STOP_LINE, STOPPED, TR, kinematic, rounded, tracks
-from .rules import alarm_score, crashes, curve, red_states, truth_and_shifted, turning
+from .fixture import BOX, CROSSWALKS, DURATION, FLOW, GRID, KIN, LINE, MOVING, NX, NY, TR, kinematic, rounded, tracks
+from . import scenes
+from .rules import STITCH, TURNS, VEH, alarm_score, close_calls, crashes, curve, truth_and_shifted, turning
 from .tracks import MERGE, SEG, flow, on_road, segments
 
 QUERIES: dict = {}
@@ -49,7 +50,7 @@ class Context:
 
 @DETECTOR.rule("stopped_vehicle")
 def stopped_vehicle(c):
-    return D.stopped_vehicles(c.kin, red_states(c.spark, c.d), STOP_LINE, DIRECTION, MOVING, STOPPED, 10.0, 30.0, 0.1, 3.0, 0.6)
+    return D.stopped_vehicles(c.kin, scenes.states(c.spark, c.d), scenes.approach_rows(c.spark), MOVING, 0.06, 10.0, 30.0, 0.1, 3.0, 0.6)
 
 
 @DETECTOR.rule("congestion")
@@ -64,17 +65,22 @@ def _wrong_way(c):
 
 @DETECTOR.rule("jaywalking")
 def _jaywalking(c):
-    return E.jaywalking(c.kin, CROSSWALKS, [REFUGE], 0.0, 2.0)
+    return scenes.jaywalking_events(c.spark, c.d)
 
 
 @DETECTOR.rule("failure_to_yield")
 def _failure_to_yield(c):
-    return E.failure_to_yield(c.kin, CROSSWALKS, [REFUGE], 2.5, 10.0, MOVING, 0.05)
+    return scenes.yield_events(c.spark, c.d)
 
 
 @DETECTOR.rule("red_light")
 def _red_light(c):
-    return E.red_light(c.kin, red_states(c.spark, c.d), STOP_LINE, DIRECTION, BOX, 0.5, 1.0, 20.0, 0.01)
+    return scenes.red_light_events(c.spark, c.d)
+
+
+@DETECTOR.rule("stop_line")
+def _stop_line(c):
+    return scenes.stop_line_events(c.spark, c.d)
 
 
 @DETECTOR.rule("solid_line_crossing")
@@ -92,19 +98,39 @@ def _accident(c):
     return crashes(c.spark, c.d)
 
 
-@query()
+@DETECTOR.rule("near_miss")
+def _near_miss(c):
+    return close_calls(c.spark, c.d)
+
+
+@query(f"""with recursive {STITCH}, {scenes.VOTED}, {scenes.LANES}, st10 as (select *, sqrt((x2 - x1) * (y2 - y1)) as size, (x1 + x2) / 2 as cx from stitched where e - s >= 10),
+  close_by as (select a.video_id, a.tid, a.s, floor(k.t) as sec, median(k.speed) as sp from st10 a join kr k on k.video_id = a.video_id and k.tid <> a.tid and k.{VEH} and k.t between a.s and a.e and sqrt(power(k.gx - a.cx, 2) + power(k.gy - a.y2, 2)) < 3 * a.size group by all),
+  queue as (select video_id, tid, s from close_by group by all having avg(case when sp < 0.08 then 1.0 else 0 end) >= 0.6),
+  up as (select a.*, l.approach from st10 a join lanes l using (video_id) where sign((bx - ax) * (y2 - ay) - (by_ - ay) * (cx - ax)) = (case when (bx - ax) * dy - (by_ - ay) * dx > 0 then -1 else 1 end)),
+  at_red as (select up.video_id, up.tid, up.s from up join rs on rs.video_id = up.video_id and rs.approach = up.approach and rs.t between up.s and up.e group by up.video_id, up.tid, up.s, up.approach having avg(case when rs.state = 1 then 1.0 else 0 end) > 0.5)
+  select video_id, round_even(s, 4) as "start", round_even(e, 4) as "end" from st10 where (video_id, tid, s) not in (select (video_id, tid, s) from queue) and (video_id, tid, s) not in (select (video_id, tid, s) from at_red)""")
 def stopped_vehicles(spark, d):
     return stopped_vehicle(Context(spark, d)).select("video_id", *rounded("start", "end"))
 
 
-@query()
+@query(f"""{TURNS}, lab as (select *, case when total >= 150 and mx between 0 and 90 and my between 0 and 130 then 'illegal_u_turn'
+    when total >= 60 and fx between 20 and 60 and fy between 40 and 90 and lx between 70 and 110 and ly between 40 and 90 then 'illegal_turn' end as label from tu)
+  select video_id, label, round_even("start", 4) as "start", round_even("end", 4) as "end" from lab where label is not null""")
 def illegal_turns(spark, d):
     return D.illegal_turns(turning(spark, d), NO_U_TURN, FORBIDDEN).select("video_id", "label", *rounded("start", "end"))
 
 
+SHIFT = {"red_light": (-0.5, 0.5)}
+
+
 @query()
 def detect_events(spark, d):
-    return DETECTOR.events(Context(spark, d), DURATION, shift={"red_light": (-0.5, 0.5)})
+    return DETECTOR.events(Context(spark, d), DURATION, shift=SHIFT)
+
+
+@query()
+def rule_status(spark, d):
+    return DETECTOR.outcome(Context(spark, d), DURATION, shift=SHIFT)[1]
 
 
 # reports

@@ -12,7 +12,7 @@ from lanescope.operators import sequential as Q
 from lanescope.operators import stats as C
 from lanescope.streaming.risk import replay
 
-from .fixture import BOX, CROSSWALKS, DIRECTION, DURATION, GRID, KIN, LINE, MOVING, REFUGE, ROAD, STOP_LINE, STOPPED, TR, kinematic, rounded, tracks
+from .fixture import BOX, CROSSWALKS, DIRECTION, DURATION, GRAD, GRID, KIN, LINE, MOVING, REFUGE, ROAD, STOP_LINE, STOPPED, TR, kinematic, rounded, tracks
 from .tracks import MERGE, RUNS_SQL, SEG, VOTE, flow, on_road, segments, voted
 
 QUERIES: dict = {}
@@ -150,7 +150,20 @@ def turning(spark, d):
     return E.turns(kinematic(spark, d), 5.0, 0.05, 8.0)
 
 
-@keep("turns")
+TURNS = f"""with {KIN}, h as (select *, heading - lag(heading) over w as dh, row_number() over w as row_ from kin where {VEH} window w as (partition by video_id, tid order by t, event_id)),
+  c as (select *, case when dh is null or abs(dh) < 180 then 0 else (case when m = -180 and dh > 0 then 180 else m end) - dh end as turn from (select *, (dh + 180) - 360 * floor((dh + 180) / 360) - 180 as m from h)),
+  u as (select *, heading + sum(turn) over (partition by video_id, tid order by t, event_id rows unbounded preceding) as un from c),
+  n as (select *, lag(t) over w as tp, lead(t) over w as tn, lag(un) over w as up, lead(un) over w as ux from u window w as (partition by video_id, tid order by t, event_id)),
+  g as (select *, coalesce(abs({GRAD.format(n='ux', x='un', p='up')}) > 5 and speed > 0.05, false) as bad from n),
+  f as (select *, last_value(case when bad then t end ignore nulls) over (partition by video_id, tid order by t, event_id rows between unbounded preceding and current row) as b_, first_value(case when bad then t end ignore nulls) over (partition by video_id, tid order by t, event_id rows between current row and unbounded following) as a_ from g),
+  m as (select *, bad or coalesce(a_ - b_ <= 8, false) as ok, count(*) filter (where speed > 0.05) over (partition by video_id, tid) as movers from f),
+  i as (select *, sum(case when ok then 0 else 1 end) over (partition by video_id, tid order by t, event_id rows unbounded preceding) as run from m),
+  rn as (select video_id, tid, run, min(t) as "start", max(t) as "end", abs(arg_max(un, (t, event_id)) - arg_min(un, (t, event_id))) as total, (min(row_) + max(row_)) // 2 as mid from i where ok group by video_id, tid, run having count(*) > 1 and min(movers) >= 3),
+  ends as (select video_id, tid, arg_min(gx, (t, event_id)) as fx, arg_min(gy, (t, event_id)) as fy, arg_max(gx, (t, event_id)) as lx, arg_max(gy, (t, event_id)) as ly from i group by all),
+  tu as (select rn.*, i.gx as mx, i.gy as my, fx, fy, lx, ly from rn join i on i.video_id = rn.video_id and i.tid = rn.tid and i.row_ = rn.mid join ends on ends.video_id = rn.video_id and ends.tid = rn.tid)"""
+
+
+@query(f"{TURNS} select video_id, tid, case when total >= 150 then 'u_turn' else 'turn' end as kind, {SE} from tu where total >= 60")
 def turns(spark, d):
     kind = F.when(F.col("total") >= 150, "u_turn").when(F.col("total") >= 60, "turn")
     return turning(spark, d).withColumn("kind", kind).where("kind is not null").select("video_id", "tid", "kind", *rounded("start", "end"))
@@ -173,9 +186,13 @@ def accident(spark, d):
     return crashes(spark, d).select("video_id", "a_tid", "b_tid", *rounded("start", "end"))
 
 
+def close_calls(spark, d):
+    return E.near_misses(on_road(spark, d), crashes(spark, d), 20.0, 60.0, 0.25, 0.1, 0.3, MOVING, 30.0, 10.0)
+
+
 @keep("near_miss")
 def near_miss(spark, d):
-    return E.near_misses(on_road(spark, d), crashes(spark, d), 20.0, 60.0, 0.25, 0.1, 0.3, MOVING, 30.0, 10.0).select("video_id", "a_tid", "b_tid", *rounded("start", "end"))
+    return close_calls(spark, d).select("video_id", "a_tid", "b_tid", *rounded("start", "end"))
 
 
 # evaluation on segments: truth against the same intervals moved by value / 100
@@ -347,7 +364,21 @@ def events_per_minute(spark, d):
 # sequential operators, checked by rows here and against plain versions in tests
 
 
-@keep("stitch_runs")
+STITCH = f"""{ROAD}, mv as (select *, max(case when speed > 0.08 then 1 else 0 end) over (partition by video_id, tid) as moved from kr where {VEH}), ok as (select *, speed < 0.06 and on_road as ok from mv where moved = 1),
+  irun as (select *, sum(case when ok then 0 else 1 end) over (partition by video_id, tid order by t, event_id rows unbounded preceding) as run from ok),
+  stops as (select video_id, tid, min(t) as s, max(t) as e, median(x1) as x1, median(y1) as y1, median(x2) as x2, median(y2) as y2 from irun where ok group by video_id, tid, run),
+  so as (select *, row_number() over (partition by video_id order by s, e, x1, y1, x2, y2, tid) as r from stops),
+  fold(video_id, r, g) as (select video_id, 0::bigint, []::struct(tid bigint, s double, e double, x1 double, y1 double, x2 double, y2 double, n bigint)[] from (select distinct video_id from so)
+    union all select f.video_id, o.r, case when k is null then list_append(g, {{'tid': o.tid, 's': o.s, 'e': o.e, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'n': 1}})
+        else list_transform(g, lambda z, i: case when i = k then {{'tid': z.tid, 's': z.s, 'e': greatest(z.e, o.e), 'x1': z.x1, 'y1': z.y1, 'x2': z.x2, 'y2': z.y2, 'n': z.n + 1}} else z end) end
+      from (select f.video_id, f.r, f.g, o.*, list_position(list_transform(f.g, lambda z: o.s - z.e between 0 and 30 and
+          coalesce(greatest(least(z.x2, o.x2) - greatest(z.x1, o.x1), 0) * greatest(least(z.y2, o.y2) - greatest(z.y1, o.y1), 0)
+          / nullif((z.x2 - z.x1) * (z.y2 - z.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(least(z.x2, o.x2) - greatest(z.x1, o.x1), 0) * greatest(least(z.y2, o.y2) - greatest(z.y1, o.y1), 0), 0), 0) >= 0.1), true) as k
+        from fold f join so o on o.video_id = f.video_id and o.r = f.r + 1) x(video_id, r, g, v2, tid, s, e, x1, y1, x2, y2, r2, k), lateral (select x.tid, x.s, x.e, x.x1, x.y1, x.x2, x.y2, x.r2 as r) o, lateral (select x.video_id) f),
+  stitched as (select video_id, z.* from (select video_id, unnest(arg_max(g, r)) as z from fold group by video_id))"""
+
+
+@query(f"with recursive {STITCH} select video_id, round_even(s, 4) as \"start\", round_even(e, 4) as \"end\", n as parts from stitched")
 def stitch_runs(spark, d):
     return Q.stitch_runs(E.stationary(on_road(spark, d), MOVING, 0.06), 30.0, 0.1).select("video_id", *rounded("start", "end"), "parts")
 

@@ -28,3 +28,13 @@ def shortened(df: DataFrame) -> DataFrame:
     """df with a short lineage where the session has a checkpoint folder (spark.checkpoint.dir), else df: for what several
     steps build on, whose plans would otherwise repeat its own."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The rows of df, computed now, so that what fails in a task fails here: in the checkpoint folder where the session has
+    one, which lost executors don't take with them, else in executors' storage."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    df = df.persist()
+    df.count()
+    return df

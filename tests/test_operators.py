@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanescope.functions import geometry as G
-from lanescope.operators import detect, evaluate, kinematics, pairs, rules, runs, scene, sequential, stats, temporal, view
+from lanescope.operators import detect, evaluate, kinematics, pairs, rules, runs, scene, scene_rules, sequential, stats, temporal, view, zones
 from lanescope.sources import tables
 from lanescope.streaming.risk import RiskSettings, RiskState, replay, risk_stream
 
@@ -101,35 +101,53 @@ def test_alarms_match_once_and_in_order(spark):
     assert {r["start"]: r["alarm"] for r in evaluate.match_alarms(acc, al).collect()} == {10.0: 5.0, 12.0: 9.0, 40.0: None}
 
 
+def test_stitching_of_many_runs_keeps_groups_apart(spark):
+    rng = random.Random(4)
+    rows = [(0, i, s := round(rng.uniform(0, 200), 1), round(s + rng.uniform(0.5, 8), 1), x := float(rng.choice([0, 3, 40])), 0.0, x + 10, 10.0) for i in range(120)]
+    kind = "video_id long, tid long, start double, end double, x1 double, y1 double, x2 double, y2 double"
+    got = sequential.stitch_runs(spark.createDataFrame(rows, kind)).collect()
+    assert sum(r["parts"] for r in got) == len(rows) and {r["tid"] for r in got} <= {r[1] for r in rows}
+    by_tid = {r[1]: r for r in rows}
+    for r in got:
+        first = by_tid[r["tid"]]
+        assert (r["start"], r["x1"]) == (first[2], first[4]) and (r["end"] == first[3] if r["parts"] == 1 else r["end"] >= first[3])
+    # boxes at 0 and 3 overlap by more than half, those at 40 with neither: what begins soon after a group's end joined it
+    for a in got:
+        for b in got:
+            alike = (a["x1"] == 40) == (b["x1"] == 40)
+            assert not (alike and 0 <= b["start"] - a["end"] <= 3 and a["tid"] != b["tid"] and a["start"] < b["start"])
+
+
 def test_stitching_takes_the_first_group_that_fits(spark):
     rows = [(0, 4, 0.0, 5.0, 0.0, 0.0, 10.0, 10.0), (0, 5, 7.0, 9.0, 1.0, 0.0, 11.0, 10.0), (0, 6, 9.5, 12.0, 30.0, 0.0, 40.0, 10.0), (0, 7, 20.0, 22.0, 0.0, 0.0, 10.0, 10.0)]
     got = sequential.stitch_runs(spark.createDataFrame(rows, "video_id long, tid long, start double, end double, x1 double, y1 double, x2 double, y2 double"))
     assert sorted((r["tid"], r["start"], r["end"], r["parts"]) for r in got.collect()) == [(4, 0.0, 9.0, 2), (6, 9.5, 12.0, 1), (7, 20.0, 22.0, 1)]
 
 
-def plain_groups(current, others):
-    out = [[s, e, 1, True] for s, e in sorted(current)]
-    groups = []
-    for s, e in sorted(others):
-        if any(s < c[1] and c[0] < e for c in out):
-            for c in out:
-                c[2] += s < c[1] and c[0] < e
-            continue
-        for g in groups:
-            if min(e, g["e"]) - max(s, g["s"]) >= 0.2 * (max(e, g["e"]) - min(s, g["s"])):
-                g["lo"], g["hi"], g["n"] = min(g["lo"], s), max(g["hi"], e), g["n"] + 1
-                break
-        else:
-            groups.append({"s": s, "e": e, "lo": s, "hi": e, "n": 1})
-    return sorted([tuple(c) for c in out] + [(g["lo"], g["hi"], g["n"], False) for g in groups])
-
-
-def test_candidate_groups_match_a_plain_version(spark):
+def groups_of(spark, current, others):
+    rows = [(0, "x", float(s), float(e), True) for s, e in current] + [(0, "x", float(s), float(e), False) for s, e in others]
+    df = spark.createDataFrame(rows, "video_id long, label string, start double, end double, current boolean")
+    return sorted((r["start"], r["end"], r["hits"], r["current"]) for r in sequential.candidate_groups(df).collect())
+
+
+def test_candidate_groups_by_hand(spark):
+    assert groups_of(spark, [(0, 10)], [(9, 20), (10, 12)]) == [(0, 10, 2, True), (10, 12, 1, False)]  # touching is no overlap
+    assert groups_of(spark, [], [(0, 10), (5, 15), (9, 19)]) == [(0, 15, 2, False), (9, 19, 1, False)]  # the first member counts, not the group
+    assert groups_of(spark, [], [(0, 10), (8, 18), (1, 11)]) == [(0, 11, 2, False), (8, 18, 1, False)]
+    assert groups_of(spark, [(0, 5), (4, 9)], [(4.5, 4.8)]) == [(0, 5, 2, True), (4, 9, 2, True)]  # one segment counts for each that it overlaps
+
+
+def test_candidate_groups_keep_every_segment(spark):
     rng = random.Random(11)
     spans = [(s := round(rng.uniform(0, 300), 2), round(s + rng.uniform(0.5, 9), 2), rng.random() < 0.1) for _ in range(150)]
-    df = spark.createDataFrame([(0, "x", *r) for r in spans], "video_id long, label string, start double, end double, current boolean")
-    got = sorted((r["start"], r["end"], r["hits"], r["current"]) for r in sequential.candidate_groups(df).collect())
-    assert got == plain_groups([r[:2] for r in spans if r[2]], [r[:2] for r in spans if not r[2]])
+    now, rest = [r[:2] for r in spans if r[2]], [r[:2] for r in spans if not r[2]]
+    got = groups_of(spark, now, rest)
+    meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    assert sorted((s, e, 1 + sum(meets((s, e), o) for o in rest), True) for s, e in now) == [g for g in got if g[3]]
+    free, made = [o for o in rest if not any(meets(o, c) for c in now)], [g for g in got if not g[3]]
+    assert sum(g[2] for g in made) == len(free) and all(any(g[0] <= o[0] and o[1] <= g[1] for g in made) for o in free)
+    assert {g[0] for g in made} | {g[1] for g in made} <= {x for o in free for x in o}
+    assert groups_of(spark, now, rest[::-1]) == got  # in whatever order rows come
 
 
 def test_report_counts_by_label_together_and_without_labels(spark):
@@ -158,12 +176,28 @@ def test_illegal_turns_by_zone(spark):
 def test_detector_unites_rules_and_leaves_out_broken_ones(spark):
     d = detect.Detector()
     spans = spark.createDataFrame([(0, 1.0, 3.0), (0, 3.5, 6.0), (1, 5.0, 99.0)], "video_id long, start double, end double")
+
+    def bad_batch(batches):
+        for df in batches:
+            raise ArithmeticError("in a task")
+        yield df
+
     d.rule("stop")(lambda c: c)
-    d.rule("broken")(lambda c: c.select("video_id", "nothing"))
+    d.rule("no_such_column")(lambda c: c.select("video_id", "nothing"))
+    d.rule("in_a_task")(lambda c: c.mapInPandas(bad_batch, c.schema))
+    d.rule("in_sql")(lambda c: c.withColumn("start", F.raise_error(F.lit("stopped")).cast("double")))
+    d.rule("in_python")(lambda c: c["nothing"].missing["x"] if False else {}["x"])
     d.rule("own")(lambda c: c.limit(1).withColumn("label", F.lit("other")))
-    got = sorted((r["video_id"], r["label"], r["start"], r["end"]) for r in d.events(spans, 60.0).collect())
+    events, status = d.outcome(spans, 60.0)
+    got = sorted((r["video_id"], r["label"], r["start"], r["end"]) for r in events.collect())
     assert got == [(0, "other", 1.0, 3.0), (0, "stop", 1.0, 6.0), (1, "stop", 5.0, 60.0)]
+    told = {r["rule"]: (r["ok"], r["error"]) for r in status.collect()}
+    assert {k for k, (ok, _) in told.items() if ok} == {"stop", "own"} and all(e for ok, e in told.values() if not ok)
     assert {r["label"] for r in d.events(spans, 60.0, enabled=["other"]).collect()} == {"other"}
+    with pytest.raises(ValueError):
+        only = detect.Detector()
+        only.rule("bad")(lambda c: c.select("nothing"))
+        only.events(spans, 60.0)
 
 
 def test_views_move_zones_and_grids(spark):
@@ -248,12 +282,16 @@ def test_stop_wrong_way_and_walker_in_a_drawn_scene(scene_of):
     assert walk["tid"] == 3 and walk["start"] == pytest.approx(7.5, abs=0.3) and walk["end"] == pytest.approx(19.5, abs=0.3)
     runs_ = sequential.stitch_runs(rules.stationary(kin, 0.35, 0.12)).withColumn("id", F.col("tid"))
     assert detect.stopped_in_queue(runs_, kin, 6.0, 0.35, 0.6).count() == 0  # traffic flows past the stopped car
-    red = kin.select("video_id", "t", F.lit(1).alias("red")).distinct()
-    line = [(500.0, 150.0), (500.0, 450.0)]
-    assert [r["id"] for r in detect.stopped_at_red(runs_, red, line, (1.0, 0.0)).collect()] == [1]
-    assert detect.stopped_at_red(runs_, red, line, (-1.0, 0.0)).count() == 0
-    assert detect.stopped_vehicles(kin, red, line, (1.0, 0.0), 0.35, 0.12, 10.0, 3.0, 0.5, 6.0, 0.6).count() == 0
-    assert detect.stopped_vehicles(kin, None, line, (1.0, 0.0), 0.35, 0.12, 10.0, 3.0, 0.5, 6.0, 0.6).count() == 1
+    red = kin.select("video_id", F.lit("main").alias("approach"), "t", F.lit(1).alias("state")).distinct()
+    lane = lambda *way: spark_of(kin).createDataFrame([(0, "main", 500.0, 150.0, 500.0, 450.0, *way, None, 0.0, 0.0), (5, "main", 0.0, 0.0, 0.0, 1.0, *way, None, 0.0, 0.0)], zones.APPROACHES)
+    assert [r["id"] for r in scene_rules.waiting_at_red(runs_, red, lane(1.0, 0.0)).collect()] == [1]
+    assert scene_rules.waiting_at_red(runs_, red, lane(-1.0, 0.0)).count() == 0
+    assert detect.stopped_vehicles(kin, red, lane(1.0, 0.0), 0.35, 0.12, 10.0, 3.0, 0.5, 6.0, 0.6).count() == 0
+    assert detect.stopped_vehicles(kin, None, None, 0.35, 0.12, 10.0, 3.0, 0.5, 6.0, 0.6).count() == 1
+
+
+def spark_of(df):
+    return df.sparkSession
 
 
 def test_plain_traffic_has_no_events(scene_of):
