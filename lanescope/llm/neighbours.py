@@ -49,7 +49,9 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, whatever the magnitude: each is first scaled by a power of two near its largest entry."""
     v = vectors.astype(np.float64)
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True, initial=0.0))[1])
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
@@ -95,7 +97,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, blocks: int = BLOCKS,
     """One row per row of vectors: vec_id, n_links (other rows with cosine >= least), component_id (least vec_id reachable).
 
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing, nor do those with a null
-    id; vectors of other lengths never link with each other. Rows that repeat a vec_id are vectors of their own that share
+    id; vectors of other lengths never link with each other. Entries may be as large or small as doubles go. Rows that repeat a vec_id are vectors of their own that share
     a name. Other columns are ignored. An empty table gives no rows.
     """
     spark = vectors.sparkSession

@@ -7,7 +7,7 @@ pattern of votes, at most 3^6 of each kind, and expectation-maximisation over th
 labeler is on each kind. The posteriors weigh every candidate in training the final classifier, a naive Bayes model of
 each kind over features of the span and its surroundings whose counts are one grouped sum over all candidates. A
 candidate is a span if its score is at least `accept`, or if it is of a fixed kind that passes that kind's rules: those
-always stay.
+always stay. A number that fails the cards' checksum is no card, whatever its score; it still counts in the estimates.
 """
 
 from __future__ import annotations
@@ -79,14 +79,15 @@ def follows_rules(kind: Column, match: Column) -> Column:
 
 
 def votes(found: DataFrame) -> DataFrame:
-    """Adds base (fixed kind and rules kept) and votes, one of 1, 0, -1 (yes, nothing, no) per labeler."""
+    """Adds votes, one of 1, 0, -1 (yes, nothing, no) per labeler, to candidates with base (fixed kind and rules kept) and
+    checked (no card, or one whose digits pass the checksum)."""
     k, m = F.col("kind"), F.col("match")
     like = F.get(F.array(*[F.lit(x) for x in AS_BASE]), k)
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
     tail = F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1))
     strict = F.when(k < BASE, F.when(F.col("base"), 1).otherwise(-1)).otherwise(0)
-    numbers = F.when(k == 6, F.when(luhn(digits), 1).otherwise(-1)).when(k == 7, F.when(digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), 1).otherwise(-1)).when(k == 8, F.when(m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), 1).otherwise(-1)).when(k == 1, F.when(m.rlike(r"^0|\.0[0-9]"), -1).otherwise(1)).when(k == 2, F.when(n.between(16, 19), 1).otherwise(-1)).when(k == 3, F.when(n.between(10, 13), 1).otherwise(0)).otherwise(0)
+    numbers = F.when(k == 6, F.when(F.col("checked"), 1).otherwise(-1)).when(k == 7, F.when(digits.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), 1).otherwise(-1)).when(k == 8, F.when(m.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"), 1).otherwise(-1)).when(k == 1, F.when(m.rlike(r"^0|\.0[0-9]"), -1).otherwise(1)).when(k == 2, F.when(~F.col("checked"), -1).when(n.between(16, 19), 1).otherwise(0)).when(k == 3, F.when(n.between(10, 13), 1).otherwise(0)).otherwise(0)
     gazetteer = F.when(like == 0, F.when(tail.isin(DOMAINS), 1).otherwise(-1)).when(k == 3, F.when(m.rlike(r"^\+(%s)(?![0-9]{12})" % "|".join(CALLING_CODES)), 1).otherwise(-1)).otherwise(0)
     cue = F.lit(0)
     for c, p in CUES.items():
@@ -164,11 +165,13 @@ def personal_data(docs: DataFrame, accept: float = ACCEPT, **columns) -> DataFra
     m, k = F.col("match"), F.col("kind")
     plausible = (k != 2) | F.length(F.regexp_replace(m, "[^0-9]", "")).between(13, 19)  # other numbers are never cards
     found = found.where(plausible).withColumn("base", F.coalesce(follows_rules(k, m), F.lit(False)))
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    found = found.withColumn("checked", ~k.isin(2, 6) | luhn(F.when(k.isin(2, 6), digits).otherwise("0")))
     found = cut(votes(found), "candidates")
     candidates = found.where("kind >= 0")
     score, _ = trained_score(candidates)
     span = F.struct("kind", "start", "end")
-    scored = found.withColumn("more", (F.col("kind") >= 0) & ~F.col("base") & (score >= accept))
+    scored = found.withColumn("more", (F.col("kind") >= 0) & ~F.col("base") & F.col("checked") & (score >= accept))
     of = scored.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base"), F.collect_list(F.when(F.col("more"), span)).alias("more"))
     added = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     return of.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
