@@ -23,13 +23,6 @@ def ious(boxes: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(shared, area(boxes) + area(b) - shared, out=np.zeros(len(boxes)), where=shared > 0)
 
 
-def box_iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
-
-
 def stitch_runs(found: DataFrame, max_gap: float = 3.0, least: float = 0.5) -> DataFrame:
     """Runs (video_id, tid, start, end, x1, y1, x2, y2) joined, by start, to the first group that ended at most max_gap before
     and whose first box overlaps theirs enough; with the group's first tid and its number of parts.
@@ -112,48 +105,6 @@ def smoothed(curve: DataFrame, tau: float = 0.6) -> DataFrame:
     return own.groupBy("video_id").applyInPandas(fold, "video_id long, t double, raw double, score double")
 
 
-def track_boxes(detections: DataFrame, high: float = 0.5, low: float = 0.1, match: float = 0.2, keep: float = 2.0) -> DataFrame:
-    """Detections (video_id, frame, t, cls, conf, x1..y2) to tracks: adds tid.
-
-    Per video and in frame order, boxes moved on by each track's last velocity are matched by IoU, best first: confident
-    detections to all tracks, then weak ones to the tracks left over. Confident ones left over start tracks; a track without a match for `keep` seconds ends.
-    """
-
-    def follow(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["frame", "x1", "y1", "x2", "y2"]).reset_index(drop=True)
-        tracks: dict[int, list] = {}  # tid -> [box, velocity, t]
-        tid = np.full(len(df), -1)
-        fresh = 0
-        for _, rows in df.groupby("frame", sort=True):
-            t = rows["t"].iloc[0]
-            tracks = {k: v for k, v in tracks.items() if t - v[2] <= keep}
-            boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy()
-            left = set(tracks)
-            for weak in (False, True):
-                use = [i for i, (j, c) in enumerate(zip(rows.index, rows["conf"], strict=True)) if tid[j] < 0 and ((low <= c < high) if weak else c >= high)]
-                pairs = sorted(((box_iou(tracks[k][0] + tracks[k][1] * (t - tracks[k][2]), boxes[i]), -k, -i) for k in left for i in use), reverse=True)
-                for score, k, i in pairs:
-                    k, i = -k, -i
-                    j = rows.index[i]
-                    if score < match:
-                        break
-                    if k in left and tid[j] < 0:
-                        dt = t - tracks[k][2]
-                        tracks[k] = [boxes[i], (boxes[i] - tracks[k][0]) / dt if dt > 0 else tracks[k][1], t]
-                        tid[j] = k
-                        left.discard(k)
-            for i, (j, c) in enumerate(zip(rows.index, rows["conf"], strict=True)):
-                if tid[j] < 0 and c >= high:
-                    tid[j] = fresh
-                    tracks[fresh] = [boxes[i], np.zeros(4), t]
-                    fresh += 1
-        return df.assign(tid=tid)[tid >= 0]
-
-    cols = ["video_id", "frame", "t", "cls", "conf", "x1", "y1", "x2", "y2"]
-    own = detections.select(*cols)
-    return own.groupBy("video_id").applyInPandas(follow, "video_id long, frame long, t double, cls string, conf double, x1 double, y1 double, x2 double, y2 double, tid long")
-
-
 def best_setting(scores: DataFrame, margin: float = 0.02) -> tuple | None:
     """(setting, score) after going through (setting, score) in order of setting: a later one must beat the best by margin.
     scores has one row per setting of a grid."""

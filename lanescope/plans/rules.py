@@ -10,6 +10,7 @@ from lanescope.operators import runs as R
 from lanescope.operators import scene as S
 from lanescope.operators import sequential as Q
 from lanescope.operators import stats as C
+from lanescope.operators import tracking as T
 from lanescope.streaming.risk import replay
 
 from .fixture import BOX, CROSSWALKS, DIRECTION, DURATION, GRAD, GRID, KIN, LINE, MOVING, REFUGE, ROAD, STOP_LINE, STOPPED, TR, kinematic, rounded, tracks
@@ -400,7 +401,7 @@ def ema_risk(spark, d):
 @keep("track_boxes")
 def track_boxes(spark, d):
     det = tracks(spark, d).select("video_id", "frame", "t", "cls", (F.col("y1") / 100).alias("conf"), "x1", "y1", "x2", "y2")
-    return Q.track_boxes(det, keep=5.0).select("video_id", "frame", "tid", *rounded("x1", "y1"))
+    return T.track_boxes(det, keep=5.0, rate=1.0).select("video_id", "frame", "tid", *rounded("x1", "y1"))
 
 
 @keep("risk_replay")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanescope.functions import geometry as G
-from lanescope.operators import detect, evaluate, kinematics, pairs, rules, runs, scene, scene_rules, sequential, stats, temporal, view, zones
+from lanescope.operators import detect, evaluate, kinematics, pairs, rules, runs, scene, scene_rules, sequential, stats, temporal, tracking, view, zones
 from lanescope.sources import tables
 from lanescope.streaming.risk import RiskSettings, RiskState, replay, risk_stream
 
@@ -217,7 +217,7 @@ def test_tracker_keeps_two_crossing_boxes_apart(spark):
         for k, (x, y) in enumerate([(f * 4.0, 0.0), (80 - f * 4.0, 60.0)]):
             rows.append((0, f, f / 10, "car", 0.9 if f % 5 else 0.3 if f else 0.9, x, y, x + 20, y + 20, k))
     df = spark.createDataFrame(rows, "video_id long, frame long, t double, cls string, conf double, x1 double, y1 double, x2 double, y2 double, truth long")
-    got = sequential.track_boxes(df).join(df.select("frame", "x1", "y1", "truth"), ["frame", "x1", "y1"])
+    got = tracking.track_boxes(df, rate=10.0).join(df.select("frame", "x1", "y1", "truth"), ["frame", "x1", "y1"])
     assert got.groupBy("truth").agg(F.countDistinct("tid").alias("n"), F.count("*").alias("rows")).select("n", "rows").distinct().collect() == [(1, 20)]
 
 
