@@ -163,14 +163,15 @@ def contacts(kin: DataFrame, least: float) -> DataFrame:
 
 
 def speed_windows(events: DataFrame, kin: DataFrame, tid: str, at: str, windows: dict[str, tuple[float, float, str]]) -> DataFrame:
-    """events with, for each name -> (from, to, function), that function of the track's speed over [at + from, at + to]."""
-    k = kin.select("video_id", F.col("tid").alias(tid), F.col("t").alias("_t"), F.col("speed").alias("_s"))
+    """events with, for each name -> (from, to, function), that function of the track's speed over [at + from, at + to]. Rows and
+    events meet by track and time, not by track alone."""
     use = lambda n: {"max": F.max, "min": F.min, "avg": F.avg}[n]
-    aggs = [use(f)(F.when(F.col("_t").between(F.col(at) + a, F.col(at) + b), F.col("_s"))).alias(name) for name, (a, b, f) in windows.items()]
     lo, hi = min(a for a, _, _ in windows.values()), max(b for _, b, _ in windows.values())
-    near = F.col("_t").between(F.col(at) + lo, F.col(at) + hi)
-    keys = events.columns
-    return events.join(k, (events["video_id"] == k["video_id"]) & (events[tid] == k[tid]) & near, "left").select(*[events[c] for c in keys], "_t", "_s").groupBy(*keys).agg(*aggs)
+    k = kin.select("video_id", F.col("tid").alias(tid), "t", F.col("speed").alias("_s"))
+    spans = events.select("video_id", tid, at).distinct().withColumns({"start": F.col(at) + lo, "end": F.col(at) + hi})
+    near = binned_join(k, spans, ["video_id", tid], max(hi - lo, 1e-6))
+    aggs = [use(f)(F.when(F.col("t").between(F.col(at) + a, F.col(at) + b), F.col("_s"))).alias(name) for name, (a, b, f) in windows.items()]
+    return events.join(near.groupBy("video_id", tid, at).agg(*aggs), ["video_id", tid, at], "left").select(*events.columns, *windows)
 
 
 def accidents(kin: DataFrame, contact: float, impact: float, drop: float, moving: float, stopped: float, scale: float = 1.0) -> DataFrame:
@@ -181,10 +182,13 @@ def accidents(kin: DataFrame, contact: float, impact: float, drop: float, moving
     hit = lambda s: F.coalesce(F.col(f"{s}_cls").isin(P.VEHICLES) & (F.col(f"{s}_peak") >= impact) & (F.col(f"{s}_low") <= (1 - drop) * F.col(f"{s}_peak")), F.lit(False))
     slow = lambda s: F.coalesce(F.col(f"{s}_after") <= moving, F.lit(True))
     c = c.where((hit("a") | hit("b")) & slow("a") & slow("b")).select("video_id", "a_tid", "b_tid", "t0")
-    rows = kin.select("video_id", "tid", "t", "speed")
-    both = c.withColumn("tid", F.explode(F.array("a_tid", "b_tid"))).join(rows, ["video_id", "tid"]).where("t >= t0")
-    per = both.groupBy("video_id", "a_tid", "b_tid", "t0", "tid").agg(F.coalesce(F.min(F.when(F.col("speed") < stopped, F.col("t"))), F.max("t")).alias("done"))
-    return per.groupBy("video_id", "a_tid", "b_tid", "t0").agg(F.max("done").alias("done")).select("video_id", "a_tid", "b_tid", F.col("t0").alias("start"), F.greatest("done", F.col("t0") + scale).alias("end"))
+    # the first time from then on that a party stands, or its last
+    party = c.select("video_id", F.explode(F.array("a_tid", "b_tid")).alias("tid"), F.col("t0").alias("t")).distinct()
+    stands = kin.where(F.col("speed") < stopped).select("video_id", "tid", "t", F.col("t").alias("still"))
+    last = kin.join(party.select("video_id", "tid").distinct(), TRACK, "left_semi").groupBy(*TRACK).agg(F.max("t").alias("last"))
+    done = as_of(party, stands, ["still"], TRACK, forward=True).join(last, TRACK).select(*TRACK, F.col("t").alias("t0"), F.coalesce("still", "last").alias("done"))
+    both = c.withColumn("tid", F.explode(F.array("a_tid", "b_tid"))).join(done, [*TRACK, "t0"])
+    return both.groupBy("video_id", "a_tid", "b_tid", "t0").agg(F.max("done").alias("done")).select("video_id", "a_tid", "b_tid", F.col("t0").alias("start"), F.greatest("done", F.col("t0") + scale).alias("end"))
 
 
 def braking(calls: DataFrame, kin: DataFrame, moving: float, peak: float, drop: float, turn: float, scale: float) -> DataFrame:

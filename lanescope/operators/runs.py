@@ -85,3 +85,50 @@ def unwrapped(angle: str, keys: list[str] = TRACK, order: list[str] = ORDER) ->
     m = F.when((m == -180.0) & (d > 0), 180.0).otherwise(m)
     turn = F.coalesce(F.when(F.abs(d) < 180.0, 0.0).otherwise(m - d), F.lit(0.0))
     return F.col(angle) + F.sum(turn).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+
+PER_SECOND = 1_000_000
+
+
+def micros(t: str = "t") -> Column:
+    """Seconds as whole microseconds, for frames that go by time."""
+    return F.bround(F.col(t) * PER_SECOND).cast("long")
+
+
+def trails(kin: DataFrame, back: float = 2.0, jump: float = 40.0) -> DataFrame:
+    """Rows with their track's trail: the points of the last `back` seconds, both ends included, cut after the last step of over
+    `jump`. Adds since (time of its first point), points, and path (its length)."""
+    w = over()
+    step = F.coalesce(F.hypot(F.col("gx") - F.lag("gx").over(w), F.col("gy") - F.lag("gy").over(w)), F.lit(0.0))
+    k = kin.withColumn("_step", step).withColumn("_us", micros())
+    k = k.withColumn("_part", F.sum((F.col("_step") > jump).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    part = Window.partitionBy(*TRACK, "_part")
+    k = k.withColumn("_far", F.sum(F.when(F.col("_step") <= jump, F.col("_step")).otherwise(0.0)).over(part.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)))
+    near = part.orderBy("_us").rangeBetween(-round(back * PER_SECOND), 0)
+    # rows at one time are in each other's frame, so the first point's path is taken by the rows' own order
+    first = F.min(F.struct("t", "event_id", "_far")).over(near)
+    k = k.withColumns({"_first": first, "points": F.count("*").over(near)})
+    return k.withColumns({"since": F.col("_first.t"), "path": F.col("_far") - F.col("_first._far")}).drop("_step", "_us", "_part", "_far", "_first")
+
+
+def braking_share(kin: DataFrame, back: float = 1.0, moving: float = 0.35) -> DataFrame:
+    """Rows with brake: how much of the track's peak speed of the last `back` seconds is lost; 0 where it did not move in them."""
+    k = kin.withColumn("_us", micros())
+    peak = F.max("speed").over(Window.partitionBy(*TRACK).orderBy("_us").rangeBetween(-round(back * PER_SECOND), 0))
+    return k.withColumn("_peak", peak).withColumn("brake", F.when(F.col("_peak") > moving, (F.col("_peak") - F.col("speed")) / F.col("_peak")).otherwise(0.0)).drop("_us", "_peak")
+
+
+def running_totals(df: DataFrame, order: str, columns: list[str], descending: bool = False, shares: int = 256) -> DataFrame:
+    """df, whose values of `order` differ, with cum_<column>: the sum of each column over all rows up to the row. No task sees all
+    rows: they are cut at approximate quantiles, shares are summed up by themselves, and the sums of the shares before come on top."""
+    cuts = df.agg(F.percentile_approx(order, [i / shares for i in range(1, shares)], 10_000)).first()[0] or []
+    cuts = sorted({float(c) for c in cuts if c is not None})
+    # how many cuts a value is at or above: a search in a short sorted list
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col(order).cast("double")))
+    dealt = df.withColumn("_share", -place if descending else place)
+    totals = dealt.groupBy("_share").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before = Window.partitionBy().orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)  # a row for each share
+    offsets = totals.select("_share", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    own = Window.partitionBy("_share").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.withColumns({f"cum_{c}": F.sum(c).over(own) for c in columns}).join(F.broadcast(offsets), "_share")
+    return out.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_{c}") for c in columns}).drop("_share", *[f"_{c}" for c in columns])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .runs import running_totals
 from .temporal import spine
 
 GROUPS = {"car": "car", "person": "person", "bus": "heavy", "truck": "heavy", "bicycle": "two_wheeler", "motorcycle": "two_wheeler"}
@@ -56,7 +57,8 @@ def consensus(votes: DataFrame) -> DataFrame:
 def anonymous(df: DataFrame, name: str, seq: str) -> DataFrame:
     """Adds anon: 1, 2, ... by each name's first appearance."""
     first = df.groupBy(name).agg(F.min(seq).alias("_first"))
-    return df.join(first.withColumn("anon", F.dense_rank().over(Window.orderBy("_first"))).drop("_first"), name)
+    places = running_totals(first.select("_first").distinct().withColumn("one", F.lit(1)), "_first", ["one"])  # names that appear together share a number
+    return df.join(first.join(places.select("_first", F.col("cum_one").cast("int").alias("anon")), "_first").drop("_first"), name)
 
 
 def superseded(candidates: DataFrame) -> DataFrame:

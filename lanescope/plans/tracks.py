@@ -294,3 +294,27 @@ def voted(spark, d):
 @query(f"with {VOTE} select video_id, frame, state from voted")
 def signal_vote(spark, d):
     return voted(spark, d).select("video_id", "frame", "state")
+
+
+# trailing windows
+
+
+@query(f"""with {KIN}, s as (select *, coalesce(sqrt(power(gx - lag(gx) over w, 2) + power(gy - lag(gy) over w, 2)), 0) as step, round_even(t * 1000000, 0)::bigint as us from kin window w as (partition by video_id, tid order by t, event_id)),
+  p as (select *, sum(case when step > 60 then 1 else 0 end) over (partition by video_id, tid order by t, event_id rows unbounded preceding) as part from s)
+  select a.event_id, round_even(min(b.t), 4) as since, count(*) as points from p a join p b on b.video_id = a.video_id and b.tid = a.tid and b.part = a.part and b.us between a.us - 40000000 and a.us group by a.event_id""")
+def trails(spark, d):
+    return R.trails(kinematic(spark, d), 40.0, 60.0).select("event_id", *rounded("since"), "points")
+
+
+@query(f"""with {KIN}, s as (select *, coalesce(sqrt(power(gx - lag(gx) over w, 2) + power(gy - lag(gy) over w, 2)), 0) as step, round_even(t * 1000000, 0)::bigint as us from kin window w as (partition by video_id, tid order by t, event_id)),
+  p as (select *, sum(case when step > 60 then 1 else 0 end) over (partition by video_id, tid order by t, event_id rows unbounded preceding) as part from s)
+  select a.event_id, round_even(coalesce((select sum(b.step) from p b where b.video_id = a.video_id and b.tid = a.tid and b.part = a.part and b.us between a.us - 40000000 and a.us and (b.t, b.event_id) <= (a.t, a.event_id) and b.step <= 60
+    and (b.t, b.event_id) > (select min((c.t, c.event_id)) from p c where c.video_id = a.video_id and c.tid = a.tid and c.part = a.part and c.us between a.us - 40000000 and a.us)), 0), 3) as path from p a""")
+def trail_lengths(spark, d):
+    return R.trails(kinematic(spark, d), 40.0, 60.0).select("event_id", *rounded("path", places=3))
+
+
+@query(f"""with {KIN}, s as (select *, round_even(t * 1000000, 0)::bigint as us from kin), p as (select a.event_id, any_value(a.speed) as speed, max(b.speed) as peak from s a join s b on b.video_id = a.video_id and b.tid = a.tid and b.us between a.us - 20000000 and a.us group by a.event_id)
+  select event_id, round_even(case when peak > 0.08 then (peak - speed) / peak else 0 end, 4)::double as brake from p""")
+def brake_share(spark, d):
+    return R.braking_share(kinematic(spark, d), 20.0, MOVING).select("event_id", *rounded("brake"))
