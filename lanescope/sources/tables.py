@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,35 @@ def read_settings(*texts: str) -> dict:
     return out
 
 
+def load_settings(path: str, profile: str | None = None) -> dict:
+    """Settings of a file, with those of `tuned` and of the profile beside it (same extension) on top, where they are there."""
+    folder, name = os.path.split(path)
+    texts = []
+    for own in (name, *(f"{n}{os.path.splitext(name)[1]}" for n in ("tuned", profile) if n)):
+        if own == name or os.path.exists(os.path.join(folder, own)):
+            with open(os.path.join(folder, own), encoding="utf-8") as f:
+                texts.append(f.read())
+    return read_settings(*texts)
+
+
+def setting(settings: dict, path: str):
+    """The value at a dotted path."""
+    for part in path.split("."):
+        settings = settings[part]
+    return settings
+
+
+def with_overrides(settings: dict, values: dict[str, object]) -> dict:
+    """settings with values by dotted path, as a grid's parameters are named; what a path passes through is made where it is missing."""
+    out = settings
+    for path, value in values.items():
+        own: object = value
+        for part in reversed(path.split(".")):
+            own = {part: own}
+        out = deep_merge(out, own)
+    return out
+
+
 def held_forward(curve: DataFrame, frames: DataFrame) -> DataFrame:
     """The curve on every frame (video_id, t): the last score at or before it, 0 before the first."""
     from lanescope.operators.temporal import as_of
