@@ -19,4 +19,4 @@ QUERIES = {
     "op12_scoring": scoring.op12_scoring,
     "op13_conversations": conversations.op13_conversations,
 }
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op13_conversations": conversations.ORACLE}

@@ -325,3 +325,39 @@ def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op13_conversations(spark, sf_dir: str) -> DataFrame:
     return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+# the same in SQL: for each state of the pattern the cheapest edits so far, the least of equals, row by row
+
+
+def _cheapest_sql() -> str:
+    none = "{'c': 1000000000::bigint, 'a': '', 'o': []::varchar[]}"
+    edit = lambda e, cost, letter, line=None: f"{{'c': {e}.c + {cost}, 'a': {e}.a || '{letter}', 'o': {e}.o" + (f" || [{line}]" if line else "") + "}"
+    put = lambda e, who: edit(e, INSERT, "I", f"'{who}:'")
+    kept = lambda e: edit(e, f"({KEEP} + cut)", "K", "role || ':' || text")
+    new = lambda e, who: edit(e, f"({REROLE} + cut)", "R", f"'{who}:' || text")
+    only = lambda condition, e: f"case when {condition} then {e} else {none} end"
+    fits = lambda e, i, who: f"{only(f'not gone and i = {chr(39)}{i}{chr(39)}', kept(e))}, {only('not gone', new(e, who))}"
+    crc = """list_reduce(list_concat([4294967295::ubigint], list_transform(range(1, length(id) + 1), lambda k: ascii(substr(id, k, 1))::ubigint)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda j: j::ubigint)), lambda d, j: case when d % 2 = 1 then xor(d >> 1, 3988292384::ubigint) else d >> 1 end))"""
+    return f"""with recursive given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as id from conversations),
+  hashed as (select *, xor({crc}, 4294967295::ubigint) % 20 as kind from given),
+  damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy from hashed),
+  placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as r, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as bare from damaged),
+  told as (select *, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else '?' end as i,
+      case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by r) > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from placed),
+  counted as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+      count(*) filter (where before || i not in ('su', 'ua', 'au')) as illegal from (select *, lag(i) over (partition by conv_id order by r) as before from told) group by conv_id),
+  fold(conv_id, r, e0, e1, e2, e3) as (
+    select conv_id, 0::bigint, z, {none}, {put('z', 'user')}, {put('(' + put('z', 'user') + ')', 'assistant')} from (select distinct conv_id, {{'c': 0::bigint, 'a': '', 'o': []::varchar[]}} as z from conversations)
+    union all
+    select conv_id, r, n0, n1, least(m2, {put('m3', 'user')}), m3 from (select *, least(n3, {put('m2', 'assistant')}) as m3 from (select *, least(n2, {put('n0', 'user')}, {put('n1', 'user')}, {put('n3', 'user')}) as m2 from (
+      select f.conv_id, t.r, {edit('e0', DELETE, 'D')} as n0, least({edit('e1', DELETE, 'D')}, {only("not gone and i = 's'", kept('e0'))}) as n1,
+        least({edit('e2', DELETE, 'D')}, {fits('e0', 'u', 'user')}, {fits('e1', 'u', 'user')}, {fits('e3', 'u', 'user')}) as n2, least({edit('e3', DELETE, 'D')}, {fits('e2', 'a', 'assistant')}) as n3
+      from fold f join (select *, fault in ('blank', 'duplicate') as gone, case when fault = 'truncated' then {UNTIDY} else 0 end as cut from told) t on t.conv_id is not distinct from f.conv_id and t.r = f.r + 1)))),
+  done as (select conv_id, arg_max(least(e0, e3), r) as best from fold group by conv_id)
+  select d.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.c as cost, best.a as audit, sha256(array_to_string(best.o, chr(10))) as repaired_sha256
+    from done d left join counted c on c.conv_id is not distinct from d.conv_id"""
+
+
+ORACLE = _cheapest_sql()
