@@ -226,11 +226,27 @@ def prf_counts(spark, d):
     return c.select("label", "tp", "fp", "fn", *V.prf(F.col("tp"), F.col("fp"), F.col("fn"))).withColumns({n: F.bround(n, 4) for n in ("precision", "recall", "f1")})
 
 
-@keep("greedy_match")
+PICK = """list_reduce(l, lambda a, x: case when list_contains(list_transform(a.k, lambda z: z.t), x.t) or list_contains(list_transform(a.k, lambda z: z.p), x.p) then a else {'t': a.t, 'p': a.p, 'v': a.v, 'k': list_append(a.k, {'t': x.t, 'p': x.p, 'v': x.v})} end,
+  {'t': -1::bigint, 'p': -1::bigint, 'v': 0.0::double, 'k': []::struct(t bigint, p bigint, v double)[]}).k"""
+PAIR = "{'t': truth_id, 'p': pred_id, 'v': iou, 'k': []::struct(t bigint, p bigint, v double)[]}"
+
+
+@query(f"""with {CAND}, g as (select video_id, label, list({PAIR} order by iou desc, truth_id desc, pred_id desc) as l from cand where iou >= 0.3 group by all), k as (select video_id, label, unnest({PICK}) as k from g)
+  select video_id, label, k.t as truth_id, k.p as pred_id, round_even(k.v, 4) as iou from k""")
 def greedy_match(spark, d):
     return V.greedy_match(V.candidates(*truth_and_shifted(spark, d), 0.3)).select("video_id", "label", "truth_id", "pred_id", *rounded("iou"))
 
 
+@query(f"""with {CAND}, th as (select unnest([0.3, 0.5, 0.7])::double as threshold), g as (select threshold, video_id, label, list({PAIR} order by iou desc, truth_id desc, pred_id desc) as l from cand join th on iou >= threshold group by all),
+  m as (select threshold, label, count(*) as tp from (select threshold, label, unnest({PICK}) as k from g) group by all), n as (select label, count(*) as n from tp group by label),
+  c as (select threshold, label, coalesce(m.tp, 0) as tp, n.n - coalesce(m.tp, 0) as fp, n.n - coalesce(m.tp, 0) as fn from th cross join n left join m using (threshold, label)),
+  e as (select 'label' as scope, label, threshold, tp, fp, fn from c union all select 'micro', null, threshold, sum(tp)::bigint, sum(fp)::bigint, sum(fn)::bigint from c group by threshold)
+  select scope, label, threshold, tp, fp, fn, round_even(tp / (tp + fp), 4) as "precision", round_even(tp / (tp + fn), 4) as recall, round_even(2.0 * tp / (2 * tp + fp + fn), 4)::double as f1 from e""")
+def matched_counts(spark, d):
+    r = V.report(*truth_and_shifted(spark, d)).where("scope <> 'agnostic'")
+    return r.withColumns({n: F.bround(n, 4) for n in ("precision", "recall", "f1")})
+
+
 @query("""with s as (select round_even(embedding[1]::double, 2) as score, (label = 3)::int as pos from embeddings), g as (select score, sum(pos) as p, count(*) as n from s group by score),
   c as (select *, sum(p) over (order by score desc rows unbounded preceding) as cp, sum(n) over (order by score desc rows unbounded preceding) as cn from g)
   select round_even(sum(p * cp / cn) / sum(p), 4)::double as ap, round_even(sum(p) / sum(n), 4)::double as rate from c""")
