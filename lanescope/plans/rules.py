@@ -14,7 +14,7 @@ from lanescope.operators import tracking as T
 from lanescope.streaming.risk import replay
 
 from .fixture import BOX, CROSSWALKS, DIRECTION, DURATION, GRAD, GRID, KIN, LINE, MOVING, REFUGE, ROAD, STOP_LINE, STOPPED, TR, kinematic, rounded, tracks
-from .tracks import MERGE, RUNS_SQL, SEG, VOTE, flow, on_road, segments, voted
+from .tracks import MERGE, RUNS_SQL, SEG, TTC, VOTE, flow, on_road, segments, voted
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -174,15 +174,18 @@ def crashes(spark, d):
     return E.accidents(on_road(spark, d), 0.05, 0.1, 0.3, 0.3, STOPPED, 10.0)
 
 
-@query(f"""with {ROAD}{WALKR}, us as (select video_id, frame, t, event_id, tid, cls, x1, y1, x2, y2 from kr where on_road and {VEH} union all select video_id, frame, t, event_id, tid, cls, x1, y1, x2, y2 from wk where on_road),
-  p as (select a.video_id, a.tid as a_tid, b.tid as b_tid, min(a.cls) as a_cls, min(b.cls) as b_cls, min(a.t) as t0 from us a join us b on a.video_id = b.video_id and a.frame = b.frame and a.tid < b.tid
+CRASHED = f"""cu as (select video_id, frame, t, event_id, tid, cls, x1, y1, x2, y2 from kr where on_road and {VEH} union all select video_id, frame, t, event_id, tid, cls, x1, y1, x2, y2 from wk where on_road),
+  cp as (select a.video_id, a.tid as a_tid, b.tid as b_tid, min(a.cls) as a_cls, min(b.cls) as b_cls, min(a.t) as t0 from cu a join cu b on a.video_id = b.video_id and a.frame = b.frame and a.tid < b.tid
     and greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) + 1e-9) >= 0.05
     and (a.{VEH} or b.{VEH}) group by all),
-  s as (select p.*, u.side, max(case when k.t between t0 - 3 and t0 + 3 then speed end) as peak, min(case when k.t between t0 and t0 + 10 then speed end) as low, avg(case when k.t between t0 + 5 and t0 + 25 then speed end) as aft,
+  cs as (select cp.*, u.side, max(case when k.t between t0 - 3 and t0 + 3 then speed end) as peak, min(case when k.t between t0 and t0 + 10 then speed end) as low, avg(case when k.t between t0 + 5 and t0 + 25 then speed end) as aft,
       coalesce(min(case when k.t >= t0 and speed < 0.04 then k.t end), max(case when k.t >= t0 then k.t end)) as done
-    from p, (values ('a'), ('b')) u(side) join kr k on k.video_id = p.video_id and k.tid = case u.side when 'a' then p.a_tid else p.b_tid end group by all)
-  select video_id, a_tid, b_tid, round_even(t0, 4) as "start", round_even(greatest(max(done), t0 + 10), 4) as "end" from s group by video_id, a_tid, b_tid, t0
-  having max(case when case side when 'a' then a_cls else b_cls end <> 'person' and peak >= 0.1 and low <= 0.7 * peak then 1 else 0 end) = 1 and min(case when aft is null or aft <= 0.3 then 1 else 0 end) = 1""")
+    from cp, (values ('a'), ('b')) u(side) join kr k on k.video_id = cp.video_id and k.tid = case u.side when 'a' then cp.a_tid else cp.b_tid end group by all),
+  crash as (select video_id, a_tid, b_tid, t0, greatest(max(done), t0 + 10) as done from cs group by video_id, a_tid, b_tid, t0
+  having max(case when case side when 'a' then a_cls else b_cls end <> 'person' and peak >= 0.1 and low <= 0.7 * peak then 1 else 0 end) = 1 and min(case when aft is null or aft <= 0.3 then 1 else 0 end) = 1)"""
+
+
+@query(f'with {ROAD}{WALKR}, {CRASHED} select video_id, a_tid, b_tid, round_even(t0, 4) as "start", round_even(done, 4) as "end" from crash')
 def accident(spark, d):
     return crashes(spark, d).select("video_id", "a_tid", "b_tid", *rounded("start", "end"))
 
@@ -191,7 +194,24 @@ def close_calls(spark, d):
     return E.near_misses(on_road(spark, d), crashes(spark, d), 20.0, 60.0, 0.25, 0.1, 0.3, MOVING, 30.0, 10.0)
 
 
-@keep("near_miss")
+NEAR = f"""{ROAD}{WALKR}, us as (select video_id, frame, t, tid, cls, gx, gy, vx, vy, size from kr where on_road and {VEH} union all select video_id, frame, t, tid, cls, gx, gy, vx, vy, size from wk where on_road),
+  pr as (select a.video_id, a.t, a.tid as a_tid, b.tid as b_tid, b.gx - a.gx as px, b.gy - a.gy as py, b.vx - a.vx as wx, b.vy - a.vy as wy, a.size + b.size as ss from us a join us b on a.video_id = b.video_id and a.frame = b.frame and a.tid < b.tid and (a.{VEH} or b.{VEH})){TTC},
+  near as (select * from ttc where ttc < 60), np as (select *, sum(case when coalesce(t - before, 0) > 10 then 1 else 0 end) over (partition by video_id, a_tid, b_tid order by t rows unbounded preceding) as part from (select *, lag(t) over (partition by video_id, a_tid, b_tid order by t) as before from near)),
+  worst as (select video_id, a_tid, b_tid, min(t) as first_, arg_min(t, (ttc, t, part)) as tc, arg_min(part, (ttc, t, part)) as part from np group by all having min(ttc) < 20),
+  calls as (select w.*, (select max(n.t) from np n where n.video_id = w.video_id and n.a_tid = w.a_tid and n.b_tid = w.b_tid and n.part = w.part) as till from worst w),
+  clear as (select * from calls c where not exists (select 1 from crash x where x.video_id = c.video_id and x.a_tid = c.a_tid and x.b_tid = c.b_tid and abs(x.t0 - c.first_) < 50)),
+  party as (select c.video_id, c.a_tid, c.b_tid, c.tc, k.tid, k.t, k.speed, k.heading, k.event_id from clear c join kr k on k.video_id = c.video_id and k.tid in (c.a_tid, c.b_tid) and k.{VEH} and k.t between c.tc - 15 and c.tc + 20),
+  top as (select *, max(case when t <= tc + 5 then speed end) over (partition by video_id, a_tid, b_tid, tid) as top from party),
+  onset as (select *, max(case when t <= tc + 5 and speed >= 0.95 * top then t end) over (partition by video_id, a_tid, b_tid, tid) as from_ from top),
+  brakes as (select video_id, a_tid, b_tid, tid, from_ from onset group by video_id, a_tid, b_tid, tid, top, from_ having top >= 0.1 and min(case when t between from_ and from_ + 15 then speed end) <= 0.7 * top),
+  turn0 as (select *, heading - lag(heading) over (partition by video_id, a_tid, b_tid, tid order by t) as dh from party where t <= tc + 15 and speed > 0.08),
+  turn1 as (select *, case when dh is null or abs(dh) < 180 then 0 else (case when m = -180 and dh > 0 then 180 else m end) - dh end as turn from (select *, (dh + 180) - 360 * floor((dh + 180) / 360) - 180 as m from turn0)),
+  turn2 as (select *, heading + sum(turn) over (partition by video_id, a_tid, b_tid, tid order by t rows unbounded preceding) as un from turn1),
+  turns as (select video_id, a_tid, b_tid, tid from turn2 group by all having count(*) >= 3 and max(un) - min(un) > 30),
+  missed as (select video_id, a_tid, b_tid, min(from_) as onset from brakes b anti join turns t on t.video_id = b.video_id and t.a_tid = b.a_tid and t.b_tid = b.b_tid and t.tid = b.tid group by all)"""
+
+
+@query(f"""with {NEAR.replace(', us as', ', ' + CRASHED + ', us as', 1)} select c.video_id, c.a_tid, c.b_tid, round_even(onset, 4) as "start", round_even(greatest(till, tc + 5), 4) as "end" from clear c join missed using (video_id, a_tid, b_tid)""")
 def near_miss(spark, d):
     return close_calls(spark, d).select("video_id", "a_tid", "b_tid", *rounded("start", "end"))
 
@@ -276,12 +296,28 @@ def alarm_starts(spark, d):
     return R.alarm_starts(curve(spark, d)).select("video_id", *rounded("start", "end"))
 
 
-@keep("alarm_match")
+ALARMED = f"""{SEG}, am as (select *, x1 / 500 >= 0.5 as ok from tr), ai as (select *, sum(case when ok then 0 else 1 end) over (partition by video_id order by t, event_id rows unbounded preceding) as run from am),
+  arun as (select video_id, min(t) as s, max(t) as e from ai where ok group by video_id, run){MERGE.format(k='video_id', src='arun', op='>=', gap='2.0')},
+  crash as (select video_id, list(s order by s) as l from seg where label = 'error' group by all), alarm as (select video_id, list(s order by s) as free from merged group by all),
+  taken as (select video_id, unnest(list_reduce(list_transform(l, lambda x: {{'s': x, 'free': []::double[], 'k': []::struct(s double, a double)[]}}),
+      lambda a, x: {{'s': x.s, 'free': list_filter(a.free, lambda f: f is distinct from list_min(list_filter(a.free, lambda g: g >= x.s - 10 and g < x.s))), 'k': list_append(a.k, {{'s': x.s, 'a': list_min(list_filter(a.free, lambda g: g >= x.s - 10 and g < x.s))}})}},
+      {{'s': 0.0::double, 'free': coalesce(free, []::double[]), 'k': []::struct(s double, a double)[]}}).k) as k from crash left join alarm using (video_id)),
+  matched as (select video_id, k.s as s, k.a as a from taken)"""
+
+
+@query(f'with {ALARMED} select video_id, round_even(s, 4) as "start", round_even(a, 4) as alarm from matched')
 def alarm_match(spark, d):
     return V.match_alarms(spans_of(spark, d, "error"), R.alarm_starts(curve(spark, d))).select("video_id", *rounded("start", "alarm"))
 
 
-@keep("alarm_score")
+@query(f"""with {ALARMED}, ac as (select * from seg where label = 'error'), nm as (select * from seg where label = 'signup'),
+  lab as (select tr.x1 / 500 as score, case when exists (select 1 from ac where ac.video_id = tr.video_id and tr.t between ac.s and ac.e) then -1 when exists (select 1 from ac where ac.video_id = tr.video_id and tr.t >= ac.s - 5 and tr.t < ac.s) then 1
+    when exists (select 1 from nm where nm.video_id = tr.video_id and tr.t between nm.s - 5 and nm.e) then -1 else 0 end as label from tr),
+  g as (select score, sum(label) as p, count(*) as n from lab where label >= 0 group by score), c as (select *, sum(p) over (order by score desc rows unbounded preceding) as cp, sum(n) over (order by score desc rows unbounded preceding) as cn from g),
+  ap as (select case when sum(p) > 0 then sum(p * cp / cn) / sum(p) else 0 end as ap, sum(p) / sum(n) as rate from c), chance as (select case when rate < 1 then greatest(0, (ap - rate) / (1 - rate)) else 0 end as ap from ap),
+  k as (select count(a) as tp, count(*) as n, coalesce(avg(coalesce(s - a, 0)), 0) as mtta, (select count(*) from merged) as alarms from matched),
+  q as (select *, case when alarms > 0 then tp / alarms else 0 end as p, case when n > 0 then tp / n else 0 end as r from k), f as (select *, case when p + r > 0 then 2 * p * r / (p + r) else 0 end as f1 from q)
+  select round_even(chance.ap, 4)::double as ap, round_even(p, 4)::double as "precision", round_even(r, 4)::double as recall, round_even(f1, 4)::double as f1, round_even(mtta, 4)::double as mtta, case when n > 0 then round_even(0.4 * chance.ap + 0.4 * f1 + 0.2 * least(1, mtta / 10), 4) end::double as score from f, chance""")
 def alarm_score(spark, d):
     acc, alarms = spans_of(spark, d, "error"), R.alarm_starts(curve(spark, d))
     labelled = V.frame_labels(curve(spark, d), acc, spans_of(spark, d, "signup")).where("label is not null").select("score", F.col("label").alias("positive"))
@@ -400,7 +436,17 @@ def stitch_runs(spark, d):
     return Q.stitch_runs(E.stationary(on_road(spark, d), MOVING, 0.06), 30.0, 0.1).select("video_id", *rounded("start", "end"), "parts")
 
 
-@keep("candidate_groups")
+@query(f"""with {SEG}, cur as (select * from seg where event_id % 50 = 0), oth as (select * from seg where event_id % 50 <> 0),
+  hit as (select c.event_id, count(o.event_id) as n from cur c left join oth o on o.video_id = c.video_id and o.label = c.label and c.s < o.e and o.s < c.e group by all),
+  rest as (select * from oth o where not exists (select 1 from cur c where o.video_id = c.video_id and o.label = c.label and c.s < o.e and o.s < c.e)),
+  l as (select video_id, label, list({{'s': s, 'e': e, 'g': []::struct(s double, e double, lo double, hi double, n bigint)[]}} order by s, e) as l from rest group by all),
+  made as (select video_id, label, unnest(list_reduce(l, lambda a, x: {{'s': a.s, 'e': a.e, 'g': case when list_position(list_transform(a.g, lambda z: least(x.e, z.e) - greatest(x.s, z.s) >= 0.2 * (greatest(x.e, z.e) - least(x.s, z.s))), true) is null
+        then list_append(a.g, {{'s': x.s, 'e': x.e, 'lo': x.s, 'hi': x.e, 'n': 1}})
+        else list_transform(a.g, lambda z, i: case when i = list_position(list_transform(a.g, lambda y: least(x.e, y.e) - greatest(x.s, y.s) >= 0.2 * (greatest(x.e, y.e) - least(x.s, y.s))), true)
+          then {{'s': z.s, 'e': z.e, 'lo': least(z.lo, x.s), 'hi': greatest(z.hi, x.e), 'n': z.n + 1}} else z end) end}},
+      {{'s': 0.0::double, 'e': 0.0::double, 'g': []::struct(s double, e double, lo double, hi double, n bigint)[]}}).g) as g from l)
+  select video_id, label, round_even(s, 4) as "start", round_even(e, 4) as "end", n + 1 as hits, true as current from cur join hit using (event_id)
+  union all select video_id, label, round_even(g.lo, 4), round_even(g.hi, 4), g.n, false from made""")
 def candidate_groups(spark, d):
     s = segments(spark, d).withColumn("current", F.col("event_id") % 50 == 0)
     return Q.candidate_groups(s).select("video_id", "label", *rounded("start", "end"), "hits", "current")
