@@ -162,33 +162,26 @@ def contacts(kin: DataFrame, least: float) -> DataFrame:
     return p.groupBy("video_id", "a_tid", "b_tid").agg(F.min("a_cls").alias("a_cls"), F.min("b_cls").alias("b_cls"), F.min("t").alias("t0"))
 
 
-def speed_windows(events: DataFrame, kin: DataFrame, tid: str, at: str, windows: dict[str, tuple[float, float, str]]) -> DataFrame:
-    """events with, for each name -> (from, to, function), that function of the track's speed over [at + from, at + to]. Rows and
-    events meet by track and time, not by track alone."""
-    use = lambda n: {"max": F.max, "min": F.min, "avg": F.avg}[n]
-    lo, hi = min(a for a, _, _ in windows.values()), max(b for _, b, _ in windows.values())
-    k = kin.select("video_id", F.col("tid").alias(tid), "t", F.col("speed").alias("_s"))
-    spans = events.select("video_id", tid, at).distinct().withColumns({"start": F.col(at) + lo, "end": F.col(at) + hi})
-    near = binned_join(k, spans, ["video_id", tid], max(hi - lo, 1e-6))
-    aggs = [use(f)(F.when(F.col("t").between(F.col(at) + a, F.col(at) + b), F.col("_s"))).alias(name) for name, (a, b, f) in windows.items()]
-    return events.join(near.groupBy("video_id", tid, at).agg(*aggs), ["video_id", tid, at], "left").select(*events.columns, *windows)
-
-
 def accidents(kin: DataFrame, contact: float, impact: float, drop: float, moving: float, stopped: float, scale: float = 1.0) -> DataFrame:
-    """(video_id, a_tid, b_tid, start, end): contacts at which a vehicle loses its speed and both parties stay slow. Times scale with `scale`."""
-    c = contacts(kin, contact)
-    for s in "ab":
-        c = speed_windows(c, kin, f"{s}_tid", "t0", {f"{s}_peak": (-0.3 * scale, 0.3 * scale, "max"), f"{s}_low": (0.0, scale, "min"), f"{s}_after": (0.5 * scale, 2.5 * scale, "avg")})
-    hit = lambda s: F.coalesce(F.col(f"{s}_cls").isin(P.VEHICLES) & (F.col(f"{s}_peak") >= impact) & (F.col(f"{s}_low") <= (1 - drop) * F.col(f"{s}_peak")), F.lit(False))
-    slow = lambda s: F.coalesce(F.col(f"{s}_after") <= moving, F.lit(True))
-    c = c.where((hit("a") | hit("b")) & slow("a") & slow("b")).select("video_id", "a_tid", "b_tid", "t0")
+    """(video_id, a_tid, b_tid, start, end): contacts at which a vehicle loses its speed and both parties stay slow. Times scale with `scale`.
+
+    A contact's parties meet their rows by track and bin of time; each has at least its row at the contact."""
+    pair = ["video_id", "a_tid", "b_tid", "t0"]
+    sides = F.array(*[F.struct(F.col(f"{s}_tid").alias("tid"), F.col(f"{s}_cls").alias("cls")) for s in "ab"])
+    parties = contacts(kin, contact).select(*pair, F.explode(sides).alias("p")).select(*pair, "p.tid", "p.cls", (F.col("t0") - 0.3 * scale).alias("start"), (F.col("t0") + 2.5 * scale).alias("end"))
+    near = binned_join(kin.select("video_id", "tid", "t", "speed"), parties, TRACK, 2.8 * scale)
+    within = lambda a, b: F.when(F.col("t").between(F.col("t0") + a * scale, F.col("t0") + b * scale), F.col("speed"))
+    each = near.groupBy(*pair, "tid", "cls").agg(F.max(within(-0.3, 0.3)).alias("peak"), F.min(within(0.0, 1.0)).alias("low"), F.avg(within(0.5, 2.5)).alias("after"))
+    hit = F.coalesce(F.col("cls").isin(P.VEHICLES) & (F.col("peak") >= impact) & (F.col("low") <= (1 - drop) * F.col("peak")), F.lit(False))
+    slow = F.coalesce(F.col("after") <= moving, F.lit(True))
+    crashed = each.groupBy(*pair).agg(F.max(hit).alias("hit"), F.min(slow).alias("slow")).where("hit and slow")
     # the first time from then on that a party stands, or its last
-    party = c.select("video_id", F.explode(F.array("a_tid", "b_tid")).alias("tid"), F.col("t0").alias("t")).distinct()
+    party = crashed.select("video_id", "a_tid", "b_tid", F.explode(F.array("a_tid", "b_tid")).alias("tid"), F.col("t0").alias("t"))
     stands = kin.where(F.col("speed") < stopped).select("video_id", "tid", "t", F.col("t").alias("still"))
-    last = kin.join(party.select("video_id", "tid").distinct(), TRACK, "left_semi").groupBy(*TRACK).agg(F.max("t").alias("last"))
-    done = as_of(party, stands, ["still"], TRACK, forward=True).join(last, TRACK).select(*TRACK, F.col("t").alias("t0"), F.coalesce("still", "last").alias("done"))
-    both = c.withColumn("tid", F.explode(F.array("a_tid", "b_tid"))).join(done, [*TRACK, "t0"])
-    return both.groupBy("video_id", "a_tid", "b_tid", "t0").agg(F.max("done").alias("done")).select("video_id", "a_tid", "b_tid", F.col("t0").alias("start"), F.greatest("done", F.col("t0") + scale).alias("end"))
+    last = kin.groupBy(*TRACK).agg(F.max("t").alias("last"))
+    done = as_of(party, stands, ["still"], TRACK, forward=True).join(last, TRACK)
+    ends = done.groupBy("video_id", "a_tid", "b_tid", F.col("t").alias("start")).agg(F.max(F.coalesce("still", "last")).alias("end"))
+    return ends.withColumn("end", F.greatest("end", F.col("start") + scale))
 
 
 def braking(calls: DataFrame, kin: DataFrame, moving: float, peak: float, drop: float, turn: float, scale: float) -> DataFrame:
