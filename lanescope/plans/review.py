@@ -13,7 +13,7 @@ from lanescope.operators import scene as S
 from lanescope.operators import stats as C
 from lanescope.operators import view as N
 from lanescope.sources.tables import every_nth_frame, held_forward
-from lanescope.streaming.risk import sampled
+from lanescope.streaming.risk import on_known_road, replay, sampled
 
 from .fixture import BOX, CROSSWALKS, DURATION, FLOW, GRID, KIN, LINE, MOVING, NX, NY, TR, kinematic, rounded, tracks
 from . import scenes
@@ -253,6 +253,12 @@ def superseded(spark, d):
     return C.superseded(c).select("cid", "label")
 
 
+@query()
+def risk_on_road(spark, d):
+    road = S.road_cells(flow(spark, d), 5, NY, NX)
+    return replay(on_known_road(tracks(spark, d), road, GRID, NY, NX)).select("video_id", "t", *rounded("score"))
+
+
 # views
 
 
