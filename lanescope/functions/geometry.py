@@ -126,10 +126,6 @@ def moved(poly: Points, affine: tuple[float, float, float, float, float, float])
     return [(round(a * x + b * y + tx, 5), round(c * x + d * y + ty, 5)) for x, y in poly]
 
 
-def scaled(poly: Points, width: float, height: float) -> Points:
-    return [(x * width, y * height) for x, y in poly]
-
-
 def heading_cosine(vx: Column, vy: Column, direction: tuple[float, float]) -> Column:
     n = math.hypot(*direction)
     return (vx * (direction[0] / n) + vy * (direction[1] / n)) / (F.hypot(vx, vy) + 1e-9)

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lanescope.operators import rules as E
 from lanescope.operators import scene as S
 from lanescope.operators import scene_rules as X
-from lanescope.operators import sequential as Q
 from lanescope.operators import zones as Z
-from lanescope.operators import rules as E
 
-from .fixture import GRID, KIN, MOVING, NX, NY, ROAD, STOPPED, kinematic, rounded
+from .fixture import GRID, KIN, MOVING, NX, NY, ROAD, kinematic, rounded
 from .rules import SE, VEH, WALKR
 from .tracks import RUNS_SQL, VOTE, flow, on_road, voted
 
