@@ -340,14 +340,19 @@ def second_pass(entries: DataFrame, large: DataFrame, parts: DataFrame) -> DataF
 
 
 def meeting(reps: DataFrame) -> DataFrame:
-    """(f, doc_id, n): the groups that each class belongs to. Ranked n-grams, which alone can be very common, have their
-    firsts by a partial aggregate, at most RANKED rows to broadcast; the others get theirs where they meet, in one shuffle."""
-    every = Window.partitionBy("h")
-    rare = reps.select("doc_id", F.explode("prefix").alias("h")).select("doc_id", F.min("doc_id").over(every).alias("f"), F.count("*").over(every).alias("k"))
-    common = reps.select("doc_id", F.explode("common").alias("h"))
-    firsts = common.groupBy("h").agg(F.min("doc_id").alias("f"), F.count("*").alias("k"))
-    met = rare.where("k > 1").select("f", "doc_id").union(common.join(F.broadcast(firsts.where("k > 1")), "h").select("f", "doc_id")).distinct()
-    return met.join(reps.select("doc_id", "n"), "doc_id").select("f", "doc_id", "n")
+    """(f, doc_id, n): the groups that each class belongs to. The first of an n-gram is a partial aggregate, however many
+    classes have it. Those of ranked n-grams are at most RANKED rows to broadcast; the others go back to their classes by a
+    join of two tables' shuffles, which adaptive execution splits where an n-gram that wasn't ranked is common all the same."""
+
+    def firsts(grams: DataFrame) -> DataFrame:
+        return grams.groupBy("h").agg(F.min("doc_id").alias("f"), F.count("*").alias("k")).where("k > 1").select("h", "f")
+
+    rare, common = (reps.select("doc_id", F.explode(c).alias("h")) for c in ("prefix", "common"))
+    shared = cut(firsts(rare), "firsts")
+    met = rare.join(shared, "h").union(common.join(F.broadcast(firsts(common)), "h")).select("f", "doc_id").distinct()
+    entries = cut(met.join(reps.select("doc_id", "n"), "doc_id").select("f", "doc_id", "n"), "entries")
+    drop(shared)
+    return entries
 
 
 def with_company(entries: DataFrame) -> DataFrame:
@@ -359,7 +364,7 @@ def with_company(entries: DataFrame) -> DataFrame:
 
 def components_of_links(reps: DataFrame, docs: DataFrame, ngram: int) -> DataFrame:
     """(node, component) of the classes in reps(doc_id, n, prefix, common, point) that link with others."""
-    entries = cut(meeting(reps), "entries")
+    entries = meeting(reps)
     large = cut(entries.groupBy("f").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).where((F.col("m") > TILE) | ((F.col("grams") > HELD) & (F.col("m") > 2))), "large")
     dealt = first_pass(entries, large)
     ids = cut(dealt.select("doc_id").distinct(), "ids")
