@@ -18,6 +18,7 @@ slice, however often it occurs; nothing is compared in pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, distinct_ids, modest_batches
+from .common import cut, distinct_ids, drop, modest_batches
 from .textbytes import Rolling, mixed, slices, text_bytes
 
 SIZE, K = 100, 40
@@ -150,24 +151,27 @@ class SuffixLevels:
 
     add(docs) takes the next batch, whose documents must all come after those added before, and returns (copies, crossed):
     tables with the documents and anchor positions of copies, and of the entries, of all batches, that need the exact comparison.
+    Both are the caller's to drop. The family's own tables go when a merge or the last batch has read them.
     """
 
     def __init__(self, spark: SparkSession, size: int = SIZE, k: int = K):
         self.spark, self.size, self.k = spark, size, k
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, list[DataFrame]]] = []  # with the tables that hold it
 
     def _merge(self) -> None:
         self.levels.sort(key=lambda x: -x[0])
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
+            (n, a, of_a), (m, b, of_b) = self.levels.pop(), self.levels.pop()
             both = a.union(b).groupBy("g", "c").agg(F.max("kind").alias("kind"), F.min(F.struct("doc", "pos")).alias("at"))
-            self.levels.append((n + m, cut(both.select("kind", "g", "c", "at.doc", "at.pos"), "level")))
+            level = cut(both.select("kind", "g", "c", "at.doc", "at.pos"), "level")
+            drop(*of_a, *of_b)
+            self.levels.append((n + m, level, [level]))
 
     def add(self, docs: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
-        """last: no batch will follow, so entries that only later batches could meet aren't written."""
+        """last: no batch will follow, so entries that only later batches could meet aren't written and every level goes."""
         self._merge()
         new = sliced(docs, self.size, self.k).withColumn("old", F.lit(False))
-        for _, level in self.levels:
+        for _, level, _ in self.levels:
             was = level.withColumn("old", F.lit(True))
             new = new.union(was.select(F.when(F.col("kind") == SINGLE, F.col("g")).otherwise(F.xxhash64("g", "c")).alias("key"), "kind", "g", "c", "doc", "pos", "old"))
             several = was.where(F.col("kind") == MULTI).groupBy("g").agg(F.first("c").alias("c"), F.first("doc").alias("doc"), F.first("pos").alias("pos"))
@@ -178,11 +182,16 @@ class SuffixLevels:
         seen = cut(found.where(~known), "scan", "kind")
         wide = seen.where(F.col("kind") == MULTI).select(F.xxhash64("g", "c").alias("key"), F.col("kind").cast("byte").alias("kind"), "g", "c", "doc", "pos", "old")
         exact = cut(scanned(wide.repartition(n, "key").sortWithinPartitions("key"), True), "several")
-        copies = seen.where(F.col("kind") == COPY).union(exact.where(F.col("kind") == COPY).select(seen.columns)).select("doc", "pos")
-        crossed = exact.where(F.col("kind") == MULTI)
-        own = seen.where((F.col("kind") == SINGLE) & ~F.col("old")).select(F.col("kind").cast("byte").alias("kind"), "g", "c", "doc", "pos").union(crossed.where(~F.col("old")).select("kind", "g", "c", "doc", "pos"))
-        self.levels.append((1, own))
-        return copies, crossed.select("doc", "pos")
+        copies = cut(seen.where(F.col("kind") == COPY).union(exact.where(F.col("kind") == COPY).select(seen.columns)).select("doc", "pos"), "copies")
+        wide = exact.where(F.col("kind") == MULTI)
+        crossed = cut(wide.select("doc", "pos"), "wide")
+        if last:
+            drop(seen, exact, *(t for _, _, held in self.levels for t in held))
+            self.levels = []
+        else:
+            own = seen.where((F.col("kind") == SINGLE) & ~F.col("old")).select(F.col("kind").cast("byte").alias("kind"), "g", "c", "doc", "pos").union(wide.where(~F.col("old")).select("kind", "g", "c", "doc", "pos"))
+            self.levels.append((1, own, [seen, exact]))
+        return copies, crossed
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -200,9 +209,8 @@ def as_runs(doc: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray,
     return doc[new], start[new], start[last] + size
 
 
-def crossing_repeats(docs: DataFrame, crossed: DataFrame, size: int, k: int) -> DataFrame:
-    """(doc, start, end): what is repeated of the strings that the anchors in crossed(doc, pos) stand for, but for the first place of each."""
-    lists = cut(crossed.distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("pos").alias("at")), "crossed")
+def crossing_repeats(docs: DataFrame, lists: DataFrame, size: int, k: int) -> DataFrame:
+    """(doc, start, end): what is repeated of the strings that the anchors in lists(doc_id, at) stand for, but for the first place of each."""
     names = ["h", "h2", "doc", "start", "end"]
 
     def batch_of(h, h2, doc, start, again) -> pa.RecordBatch:
@@ -256,21 +264,28 @@ def repeats(docs: DataFrame, size: int = SIZE, k: int = K, batches: int = BATCHE
     spark = docs.sparkSession
     bounds = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     family = SuffixLevels(spark, size, k)
-    copies = crossed = None
+    added = []
     for i, (lo, hi) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
         part = docs if lo is None else docs.where(F.col("doc_id") > lo)
         part = part if hi is None else part.where(F.col("doc_id") <= hi)
-        a, b = family.add(part, last=i == len(bounds))
-        copies, crossed = (a, b) if copies is None else (copies.union(a), crossed.union(b))
+        added.append(family.add(part, last=i == len(bounds)))
+    copies, crossed = (reduce(DataFrame.union, x) for x in zip(*added, strict=True))
+    lists = cut(crossed.distinct().groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("pos").alias("at")), "crossed")
+    drop(*(b for _, b in added))
+    # a table, so that the shuffle of strings, the largest of all, is gone before the next one
+    crossing = cut(crossing_repeats(docs, lists, size, k), "crossing")
+    drop(lists)
     around = copies.select(F.col("doc").alias("doc_id"), F.greatest(F.col("pos") + (k - size), F.lit(0)).alias("start"), (F.col("pos") + size).alias("end"))
-    found = around.union(crossing_repeats(docs, crossed, size, k).select(F.col("doc").alias("doc_id"), "start", "end"))
+    found = around.union(crossing.select(F.col("doc").alias("doc_id"), "start", "end"))
     # maximal runs by a window: a document with very many spans costs a sort, not a fold
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     apart = found.distinct().withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     island = apart.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return cut(runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
+    spans = cut(runs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")), "spans")
+    drop(crossing, *(a for a, _ in added))
+    return spans
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, k: int = K, batches: int = BATCHES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

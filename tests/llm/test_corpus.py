@@ -168,6 +168,14 @@ def test_repeats_match_brute_force(spark, docs, texts, batches):
     assert suffixes.without_repeats(docs.where("false")).count() == 0
 
 
+def test_repeats_leave_only_their_spans_behind(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_folder", lambda _: str(tmp_path))
+    own = docs.where(F.length(F.coalesce("text", F.lit(""))) < 5_000)
+    out = suffixes.without_repeats(own, batches=4)
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["spans"]
+    assert out.count() == own.count()
+
+
 def plain_components(texts):
     sets = {}
     for d, t in texts.items():
@@ -230,9 +238,29 @@ def test_jaccard_links_come_from_the_tree(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.near_texts(df).collect()} == want
     assert sum(d != c for d, c in want.items()) == 250
     # a tree that answers nothing leaves no link at all: there is no other way to one
-    none = spark.createDataFrame([], "a long, b long")
-    monkeypatch.setattr(jaccard, "links_within", lambda *_: jaccard.cut(none, "none"))
-    assert all(r["doc_id"] == r["component_id"] for r in jaccard.near_texts(df).collect())
+    doc, f, n = np.arange(6), np.zeros(6, np.int64), np.full(6, 40)
+    groups, points = [np.array([0])] * 6, np.ones((6, jaccard.GROUPS), np.uint8)
+    sets = [np.arange(40, dtype=np.int64).tobytes()] * 6
+    task = (doc, f, doc.copy(), np.zeros(6, np.int64), groups, points, n, sets)
+    assert len(list(jaccard.verified(*task))) == 5
+    nothing = np.zeros(0, np.int64)
+    monkeypatch.setattr(jaccard.CountTree, "search", lambda *_: (nothing, nothing))
+    assert list(jaccard.verified(*task)) == []
+
+
+def test_jaccard_where_one_passage_is_in_every_part(spark, monkeypatch):
+    # a licence line once or twice in each text, near copies here and there; ranked or not, the line is no link by itself
+    g = np.random.default_rng(8)
+    line = "this work comes without any warranty and under the terms of its licence"
+    bodies = [" ".join(f"w{g.integers(0, 10**6)}" for _ in range(60)) for _ in range(150)]
+    texts = {i: f"{line} {b}" + (f" {line}" if i % 3 == 0 else "") for i, b in enumerate(bodies)}
+    texts |= {500 + i: t + " end" for i, t in texts.items() if i % 5 == 0}
+    texts |= {900: line, 901: line + " x"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(40)
+    want = plain_components(texts)
+    for ranked in (500_000, 0):
+        monkeypatch.setattr(jaccard, "RANKED", ranked)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_texts(df).collect()} == want
 
 
 def test_count_tree_never_misses():
