@@ -30,7 +30,7 @@ from .common import cut, distinct_ids, drop, modest_batches
 from .textbytes import Rolling, mixed, slices, text_bytes
 
 SIZE, K = 100, 40
-BATCHES, SLICE = 2, 2_000_000
+BATCHES, SLICE = 4, 2_000_000
 BROADCAST = 16_000_000  # numbers in lists to send to every task, at most; 4 or 8 bytes each
 ROW = "key long, kind byte, g long, c long, doc long, pos int"
 SINGLE, MARK, MULTI, COPY = 0, 1, 2, 3  # an entry; g has several contexts; an entry of such a g; a copy of an entry before it
