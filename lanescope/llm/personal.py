@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, distinct_ids
-from .spans import digest, located
+from .spans import counted, digest, located
 
 KINDS = ["email", "ip", "card", "phone", "email_like", "ip_like", "card_like", "phone_like", "ssn_like"]
 BASE = 4
@@ -208,5 +208,5 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
 def op10_personal(spark, sf_dir: str) -> DataFrame:
     out = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS[:BASE])]
+    count = [counted("base", k).alias(f"n_{n}") for k, n in enumerate(KINDS[:BASE])]
     return out.select("doc_id", *count, F.sha2(digest(KINDS, F.col("base")), 256).alias("base_sha256"), digest(KINDS, F.col("spans")).alias("spans"))

@@ -52,3 +52,8 @@ def digest(names: list[str], spans: Column) -> Column:
     """kind:start:end, comma-joined, of an ordered array of structs with kind, start, end."""
     labels = F.array(*[F.lit(n) for n in names])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(labels, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def counted(spans: Column | str, kind: int) -> Column:
+    """How many of an array of structs with kind are of a kind. The lambda takes one argument: filter() hands a second one the index."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
