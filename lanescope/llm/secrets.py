@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .spans import digest, located
+from .spans import counted, digest, located
 
 KINDS = ["assign", "access", "hex", "entropy"]
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -84,5 +84,5 @@ def secrets(docs: DataFrame, window: int = WINDOW, **columns) -> DataFrame:
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
     out = secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS[:3])]
+    count = [counted("base", k).alias(f"n_{n}") for k, n in enumerate(KINDS[:3])]
     return out.select("doc_id", *count, F.sha2(digest(KINDS, F.col("base")), 256).alias("base_sha256"), digest(KINDS, F.col("spans")).alias("spans"))

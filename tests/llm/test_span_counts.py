@@ -27,3 +27,9 @@ def test_personal_counts_each_kind(spark, tmp_path):
     got = {r["doc_id"]: tuple(r)[1 : len(kinds) + 2] for r in personal.op10_personal(spark, str(tmp_path)).collect()}
     plain = [sorted(brute.personal(t), key=lambda s: (kinds.index(s[0]), s[1])) for t in texts]
     assert got == {i: want(p, kinds) for i, p in enumerate(plain)}
+
+
+def test_secrets_count_each_kind(spark, tmp_path):
+    texts, kinds = written(spark, tmp_path), secrets.KINDS[:3]
+    got = {r["doc_id"]: tuple(r)[1 : len(kinds) + 2] for r in secrets.op7_secrets(spark, str(tmp_path)).collect()}
+    assert got == {i: want(brute.secrets(t), kinds) for i, t in enumerate(texts)}
