@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lanescope.operators import evaluate as V
+from lanescope.operators import review as W
 
 
 def plan_of(df):
@@ -31,3 +32,14 @@ def test_frame_labels_are_running_maxima(spark):
 
     assert {r["event_id"]: r["label"] for r in got.collect()} == {i: label(v, t) for i, v, t in points}
     assert "Join" not in plan_of(got)
+
+
+def test_overlap_counts_by_order(spark):
+    g = random.Random(5)
+    spans = lambda n: [(i, g.randrange(2), s := g.randrange(0, 60) / 2, s + g.choice([0, 0, 1, 5, 30, 60]) / 2) for i in range(n)]
+    now, other = spans(150), [*spans(150), (900, 0, None, 4.0), (901, 0, 4.0, None)]
+    one = lambda s: spark.createDataFrame(s, "id long, video_id long, start double, end double")
+    out = W.overlap_counts(one([*now, (902, None, 1.0, 2.0)]), one(other), ["video_id"])
+    want = {i: sum(w == v and None not in (a, b) and s < b and a < e for _, w, a, b in other) for i, v, s, e in now} | {902: 0}
+    assert {r["id"]: r["hits"] for r in out.collect()} == want
+    assert "start_b" not in plan_of(out)  # no pairs of the intervals themselves
