@@ -43,3 +43,13 @@ def test_overlap_counts_by_order(spark):
     want = {i: sum(w == v and None not in (a, b) and s < b and a < e for _, w, a, b in other) for i, v, s, e in now} | {902: 0}
     assert {r["id"]: r["hits"] for r in out.collect()} == want
     assert "start_b" not in plan_of(out)  # no pairs of the intervals themselves
+
+
+def test_alarm_score_looks_spans_up_without_pairs(spark):
+    curve = spark.createDataFrame([(i, i % 2, i / 4, (i % 40) / 40) for i in range(800)], "event_id long, video_id long, t double, score double")
+    spans = spark.createDataFrame([(v, float(s), s + 3.0) for v in (0, 1) for s in range(8, 190, 9)], "video_id long, start double, end double")
+    labelled = V.frame_labels(curve, spans, spans.limit(0)).where("label is not null").select("score", F.col("label").alias("positive"))
+    assert "Join" not in plan_of(labelled)
+    plain = lambda v, t: None if any(s <= t <= s + 3 for s in range(8, 190, 9)) else int(any(s - 5 <= t < s for s in range(8, 190, 9)))
+    want = [(r["score"], plain(r["video_id"], r["t"])) for r in curve.collect()]
+    assert sorted(map(tuple, labelled.collect())) == sorted(x for x in want if x[1] is not None)
