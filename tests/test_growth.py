@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lanescope.operators import evaluate as V
 from lanescope.operators import review as W
+from lanescope.streaming import risk
 
 
 def plan_of(df):
@@ -53,3 +54,21 @@ def test_alarm_score_looks_spans_up_without_pairs(spark):
     plain = lambda v, t: None if any(s <= t <= s + 3 for s in range(8, 190, 9)) else int(any(s - 5 <= t < s for s in range(8, 190, 9)))
     want = [(r["score"], plain(r["video_id"], r["t"])) for r in curve.collect()]
     assert sorted(map(tuple, labelled.collect())) == sorted(x for x in want if x[1] is not None)
+
+
+def test_risk_replay_holds_a_batch_of_a_video_at_most(spark):
+    g = random.Random(6)
+    rows = [(v, t / 10, k, "car", x := 500 + (40 - t) * (k - 1) * 12.0 + g.random(), 300.0, x + 60, 330.0) for v in range(3) for t in range(60) for k in range(3) if (t + v) % 7]
+    tracks = spark.createDataFrame(rows, "video_id long, t double, tid long, cls string, x1 double, y1 double, x2 double, y2 double")
+    whole = tracks.withColumn("on_road", F.lit(True)).toPandas()
+    want = [tuple(r) for v, df in whole.groupby("video_id") for r in risk.scores(v, df, risk.RiskState(risk.RiskSettings())).itertuples(index=False)]
+    assert max(s for _, _, s in want) > 0.05
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 2, 5, 1000):  # samples and videos that end within, at and beyond a batch
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            out = risk.replay(tracks)
+            assert sorted(map(tuple, out.collect())) == want, size
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert "FlatMapGroupsInPandas" not in plan_of(out)
