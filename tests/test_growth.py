@@ -72,3 +72,10 @@ def test_risk_replay_holds_a_batch_of_a_video_at_most(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert "FlatMapGroupsInPandas" not in plan_of(out)
+
+
+def test_risk_on_known_road_is_replayed_by_batches_too(spark):
+    tracks = spark.createDataFrame([(0, t / 10, k, "car", 10.0 * t, 20.0, 10.0 * t + 30, 40.0) for t in range(30) for k in (1, 2)], "video_id long, t double, tid long, cls string, x1 double, y1 double, x2 double, y2 double")
+    road = spark.createDataFrame([(0, 2, x) for x in range(10)], "video_id long, cy int, cx int")
+    out = risk.replay(risk.on_known_road(tracks, road, 16.0, 9, 40))
+    assert out.count() == 30 and "FlatMapGroupsInPandas" not in plan_of(out)
