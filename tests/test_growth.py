@@ -79,3 +79,18 @@ def test_risk_on_known_road_is_replayed_by_batches_too(spark):
     road = spark.createDataFrame([(0, 2, x) for x in range(10)], "video_id long, cy int, cx int")
     out = risk.replay(risk.on_known_road(tracks, road, 16.0, 9, 40))
     assert out.count() == 30 and "FlatMapGroupsInPandas" not in plan_of(out)
+
+
+def test_found_is_what_candidates_have(spark):
+    g = random.Random(7)
+    spans = lambda n: [(i, g.randrange(2), g.choice("ab"), s := g.random() * 300, s + g.choice([0, 0.01, 1, 1.1, 4, 30]) * (1 + g.random() / 5)) for i in range(n)]
+    one = lambda s: spark.createDataFrame(s, "id long, video_id long, label string, start double, end double")
+    truth = one(spans(1500))
+    copies = [(i + 10_000 * k, *r) for i, *r in spans(700) for k in range(3)]  # each of them three times
+    pred = one(copies)
+    for least in (0.05, 0.3, 0.9, 1.0):
+        want = {tuple(r) for r in V.candidates(truth, pred, least).select("video_id", "label", "truth_id").collect()}
+        got = [tuple(r) for r in V.found(truth, pred, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, least
+    same = V.found(truth, truth, 1.0)
+    assert same.count() == truth.where("start < end").count()
