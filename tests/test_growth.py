@@ -94,3 +94,19 @@ def test_found_is_what_candidates_have(spark):
         assert len(got) == len(set(got)) and set(got) == want, least
     same = V.found(truth, truth, 1.0)
     assert same.count() == truth.where("start < end").count()
+
+
+def test_report_matches_once_for_all_thresholds(spark, monkeypatch):
+    g = random.Random(9)
+    spans = lambda n: spark.createDataFrame([(i, g.randrange(2), g.choice("ab"), s := float(g.randrange(60)), s + g.randrange(1, 8)) for i in range(n)], "id long, video_id long, label string, start double, end double")
+    truth, pred = spans(60), spans(80)
+    out = V.report(truth, pred)
+    got = {(r["label"], r["threshold"]): r["tp"] for r in out.where("scope = 'label'").collect()}
+    for least in (0.3, 0.5, 0.7):  # each threshold matched by itself
+        own = V.greedy_match(V.candidates(truth, pred, least)).groupBy("label").count().collect()
+        assert {r["label"]: r["count"] for r in own} == {k: n for (k, t), n in got.items() if t == least and n}
+    assert len({v for v in got.values()}) > 2
+    seen, match = [], V.greedy_match
+    monkeypatch.setattr(V, "greedy_match", lambda pairs, keys: seen.append(pairs.columns) or match(pairs, keys))
+    V.report(truth, pred)
+    assert len(seen) == 2 and not any("threshold" in c for c in seen)  # by label and together; pairs aren't multiplied by thresholds
