@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -89,20 +90,25 @@ def candidate_groups(segments: DataFrame, least: float = 0.2) -> DataFrame:
 
 
 def smoothed(curve: DataFrame, tau: float = 0.6) -> DataFrame:
-    """Exponential mean over uneven steps of (video_id, t, raw): adds score; the first step takes raw."""
-
-    def fold(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("t")
-        score, last, out = 0.0, None, []
-        for t, raw in zip(df["t"], df["raw"], strict=True):
-            alpha = 1.0 if last is None else 1 - math.exp(-(t - last) / tau)
-            score = min(1.0, max(0.0, score + alpha * (raw - score)))
-            last = t
-            out.append(score)
-        return df.assign(score=out)
-
-    own = curve.select("video_id", "t", "raw")
-    return own.groupBy("video_id").applyInPandas(fold, "video_id long, t double, raw double, score double")
+    """Exponential mean over uneven steps of (video_id, t, raw, seq): adds score; the first step takes raw. Of steps at one time
+    the least seq comes first, and it alone counts. A video's rows pass in order, a batch at a time."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, score, last = None, 0.0, None
+        for df in batches:
+            out = []
+            for v, t, raw in zip(df["video_id"], df["t"], df["raw"], strict=True):
+                if last is None or not (v == video or (v != v and video != video)):  # rows without a video are one together
+                    video, score, alpha = v, 0.0, 1.0
+                else:
+                    alpha = 1 - math.exp(-(t - last) / tau)
+                score = min(1.0, max(0.0, score + alpha * (raw - score)))
+                last = t
+                out.append(score)
+            yield df[["video_id", "t", "raw"]].assign(score=out)
+
+    own = curve.select("video_id", "t", "raw", "seq").repartition("video_id").sortWithinPartitions("video_id", F.asc_nulls_last("t"), "seq")
+    return own.mapInPandas(fold, "video_id long, t double, raw double, score double")
 
 
 def best_setting(scores: DataFrame, margin: float = 0.02) -> tuple | None:

@@ -1,11 +1,13 @@
 """Operators whose work has to grow with their rows: results against plain versions, and plans without pairs of a bin."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
 from lanescope.operators import evaluate as V
 from lanescope.operators import review as W
+from lanescope.operators import sequential as Q
 from lanescope.streaming import risk
 
 
@@ -110,3 +112,25 @@ def test_report_matches_once_for_all_thresholds(spark, monkeypatch):
     monkeypatch.setattr(V, "greedy_match", lambda pairs, keys: seen.append(pairs.columns) or match(pairs, keys))
     V.report(truth, pred)
     assert len(seen) == 2 and not any("threshold" in c for c in seen)  # by label and together; pairs aren't multiplied by thresholds
+
+
+def test_smoothed_takes_ties_in_order_and_rows_in_batches(spark):
+    g = random.Random(11)
+    rows = [(v, g.randrange(40) / 4, g.random(), i) for v in (0, 1, None) for i in range(90)]
+    want = []
+    for v in (0, 1, None):
+        score = last = None
+        for _, t, raw, _ in sorted((r for r in rows if r[0] == v), key=lambda r: (r[1], r[3])):
+            score = raw if last is None else score + (1 - math.exp(-(t - last) / 0.6)) * (raw - score)
+            last = t
+            want.append((v is None, v or 0, t, raw, round(score, 9)))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+            g.shuffle(rows)
+            out = Q.smoothed(spark.createDataFrame(rows, "video_id long, t double, raw double, seq long").repartition(5))
+            assert sorted((r[0] is None, r[0] or 0, r[1], r[2], round(r[3], 9)) for r in out.collect()) == sorted(want), size
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert "FlatMapGroupsInPandas" not in plan_of(out)
