@@ -2,10 +2,13 @@
 
 import math
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
+from lanescope.operators import detect as D
 from lanescope.operators import evaluate as V
+from lanescope.operators import pairs as P
 from lanescope.operators import review as W
 from lanescope.operators import sequential as Q
 from lanescope.streaming import risk
@@ -134,3 +137,30 @@ def test_smoothed_takes_ties_in_order_and_rows_in_batches(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert "FlatMapGroupsInPandas" not in plan_of(out)
+
+
+def test_pairs_of_few_rows_keep_their_tasks(spark):
+    rows = [(v, f, float(f), k) for v in range(2) for f in range(40) for k in range(4)]
+    pairs = P.frame_pairs(spark.createDataFrame(rows, "video_id long, frame long, t double, tid long"))
+    assert pairs.count() == 2 * 40 * 6
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_queues_are_told_without_a_median_over_pairs(spark):
+    g = random.Random(12)
+    runs = [(v, i, 10 * v + i, s := g.randrange(40) / 4, s + g.randrange(40) / 4, 0.0, 0.0, 10.0, 10.0) for v in range(2) for i in range(25)]
+    runs = [(v, tid, 100 * v + tid, s, e, *box) for v, tid, _, s, e, *box in runs]
+    speeds = [0.0, 0.07, 0.08, 0.09, 0.06, 0.1, 0.5, None, float("nan")]
+    kin = [(v, g.randrange(30), "car", g.randrange(80) / 4, g.choice([5.0, 20.0, 50.0]), 10.0, g.choice(speeds)) for v in range(2) for _ in range(400)]
+    out = D.stopped_in_queue(spark.createDataFrame(runs, "video_id long, tid long, id long, start double, end double, x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame(kin, "video_id long, tid long, cls string, t double, gx double, gy double, speed double"), 3.0, 0.08, 0.5)
+    want = set()
+    for v, tid, i, s, e, *_ in runs:
+        seconds = {}
+        for w, other, _, t, x, _, speed in kin:
+            if v == w and tid != other and s <= t <= e and abs(x - 5) < 30 and speed is not None:
+                seconds.setdefault(math.floor(t), []).append(math.inf if speed != speed else speed)
+        slow = [statistics.median(x) < 0.08 for x in seconds.values()]
+        if slow and sum(slow) / len(slow) >= 0.5:
+            want.add(i)
+    assert {r["id"] for r in out.collect()} == want and 5 < len(want) < 45
+    assert "median" not in plan_of(out) and "percentile" not in plan_of(out)
