@@ -11,6 +11,7 @@ from lanescope.operators import evaluate as V
 from lanescope.operators import pairs as P
 from lanescope.operators import review as W
 from lanescope.operators import sequential as Q
+from lanescope.operators import temporal as T
 from lanescope.streaming import risk
 
 
@@ -164,3 +165,18 @@ def test_queues_are_told_without_a_median_over_pairs(spark):
             want.add(i)
     assert {r["id"] for r in out.collect()} == want and 5 < len(want) < 45
     assert "median" not in plan_of(out) and "percentile" not in plan_of(out)
+
+
+def test_intervals_meet_where_the_later_one_starts(spark):
+    g = random.Random(13)
+    spans = lambda n: [(i, g.randrange(2), s := g.randrange(0, 80) / 4, s + g.choice([-1, 0, 0, 1, 2, 9, 40]) / 4) for i in range(n)]
+    a, b = [*spans(120), (900, 0, None, 3.0)], [*spans(120), (901, 0, 3.0, None)]
+    of = lambda rows, i, s, e: spark.createDataFrame(rows, f"{i} long, video_id long, {s} double, {e} double")
+    meet = lambda x, y: x[1] == y[1] and None not in x + y and x[2] < y[3] and y[2] < x[3]
+    for width in (0.5, 10.0):
+        got = [(r["id"], r["other"]) for r in T.overlapping(of(a, "id", "start", "end"), of(b, "other", "start_b", "end_b"), ["video_id"], width).collect()]
+        assert sorted(got) == sorted((x[0], y[0]) for x in a for y in b if meet(x, y)), width
+    rows = W.clashes(of(a, "id", "start", "end"), ["video_id"])
+    assert sorted((r["id"], r["other"]) for r in rows.collect()) == sorted((x[0], y[0]) for x in a for y in a if meet(x, y) and (x[2], x[0]) < (y[2], y[0]))
+    # one side of the join is unrolled to bins, so no pair is compared in more than the one where the later starts
+    assert plan_of(rows).count("explode(") == 1
