@@ -180,3 +180,28 @@ def test_intervals_meet_where_the_later_one_starts(spark):
     assert sorted((r["id"], r["other"]) for r in rows.collect()) == sorted((x[0], y[0]) for x in a for y in a if meet(x, y) and (x[2], x[0]) < (y[2], y[0]))
     # one side of the join is unrolled to bins, so no pair is compared in more than the one where the later starts
     assert plan_of(rows).count("explode(") == 1
+
+
+def test_nearby_counts_are_those_of_the_rows_without_pairs(spark, monkeypatch):
+    g = random.Random(14)
+    tracks = [(g.randrange(2), g.randrange(12), g.randrange(0, 480) / 4) for _ in range(150)]
+    tracks += [*tracks[:20], (0, None, 3.0), (None, 1, 3.0), (0, 1, None), (0, 1, float("nan")), *[(1, 50, 60.0 + k % 3) for k in range(40)], (2, 1, 0.0), (0, 60, -7.0)]
+    events = [(i, g.randrange(3), s := g.randrange(-20, 500) / 4, s + g.choice([0, 0, 1, 2.5, 9, 40])) for i in range(150)] + [(900, 0, None, 3.0), (901, None, 3.0, 4.0)]
+    one = lambda rows: spark.createDataFrame(rows, "id long, video_id long, start double, end double")
+    seen_in = spark.createDataFrame(tracks, "video_id long, tid long, t double")
+
+    def plain(rows, seen, kept):
+        for i, v, a, b in rows:
+            near = lambda by: [k for w, k, t in tracks if None not in (v, w, k, t, a, b) and w == v and a - by <= t <= b + by]
+            who = set(near(seen))
+            if who:
+                yield i, sum(k in who for k in near(kept)), len(who)
+
+    odd = [(i, v, a, a - g.choice([1, 4, 7])) for i, v, a, _ in events[:30]]
+    for rows, seen, kept in ((events, 3.0, 5.0), (events, 1.5, 1.5), (events, 2.0, 5.75), (odd, 3.0, 5.0), (events[:60], 1.0, 9.0)):
+        got = sorted(map(tuple, W.nearby_counts(seen_in, one(rows), seen, kept).collect()))
+        assert got == sorted(plain(rows, seen, kept)) and len(got) > 5, (seen, kept)
+    monkeypatch.setattr(W, "binned_join", None)  # the query meets no rows with spans
+    from lanescope.plans import review
+
+    assert review.nearby_tracks(spark, "/root/testdata/sf0.001").count() > 0
