@@ -205,3 +205,32 @@ def test_nearby_counts_are_those_of_the_rows_without_pairs(spark, monkeypatch):
     from lanescope.plans import review
 
     assert review.nearby_tracks(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_matching_by_levels_is_that_of_all_pairs(spark, monkeypatch):
+    g = random.Random(15)
+
+    def spans(n, off):
+        out = [(off + i, g.randrange(2), g.choice("ab"), s := g.choice([g.randrange(0, 240) / 4, g.random() * 60]), s + g.choice([0.0, 0.5, 1, 2, 2, 3.25, 1 + g.random(), 40])) for i in range(n)]
+        out += [(off + n + i, *r[1:]) for i, r in enumerate(out[: n // 2])] + out[:5]  # other rows of the same times, and rows that are there twice
+        return out + [(off + i, r[1], r[2], r[3] + 7, r[4] + 7) for i, r in enumerate(out[:6])] + [(off + 9000, 0, "a", None, 3.0), (off + 9001, None, "a", 1.0, 3.0), (off + 9002, 0, None, 1.0, 3.0)]  # ids of several intervals
+
+    one = lambda rows: spark.createDataFrame(rows, "id long, video_id long, label string, start double, end double")
+    truth, pred = one(spans(260, 0)), one(spans(300, 500))
+    left = []
+    for rows, least, keys in ((10, 0.3, ["video_id", "label"]), (10, 0.05, ["video_id"]), (10_000, 0.3, ["video_id"]), (40, 0.9, ["video_id"])):
+        monkeypatch.setattr(V, "ROWS", rows)
+        monkeypatch.setattr(V, "LENGTHS", 3)  # short stretches: much cannot be told in one
+        few = V.contenders(truth, pred, least, keys)
+        left.append(few.where("not settled").count())
+        want = V.greedy_match(V.candidates(truth, pred, least, keys), keys)
+        assert sorted(map(tuple, V.greedy_match(few, keys).collect())) == sorted(map(tuple, want.collect())), (rows, least)
+    assert left[0] and left[1]
+
+
+def test_matching_of_dense_intervals_takes_few_pairs(spark):
+    t = spark.range(3000).select("id", F.lit(0).alias("video_id"), F.lit("a").alias("label"), (F.col("id") * 0.001).alias("start"), (F.col("id") * 0.001 + 1 + F.col("id") % 7 / 10).alias("end"))
+    p = t.withColumns({c: F.col(c) + F.col("id") % 5 / 100 for c in ("start", "end")})
+    few = V.contenders(t, p, 0.3)
+    assert few.count() <= 3000 < 1_000_000 < V.candidates(t, p, 0.3).count()
+    assert V.report(t, p).where("scope = 'label' and threshold = 0.3").first()["tp"] == V.greedy_match(few).count() > 2900
