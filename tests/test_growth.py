@@ -234,3 +234,25 @@ def test_matching_of_dense_intervals_takes_few_pairs(spark):
     few = V.contenders(t, p, 0.3)
     assert few.count() <= 3000 < 1_000_000 < V.candidates(t, p, 0.3).count()
     assert V.report(t, p).where("scope = 'label' and threshold = 0.3").first()["tp"] == V.greedy_match(few).count() > 2900
+
+
+def test_events_of_a_rule_are_few_before_they_are_kept(spark, monkeypatch):
+    g = random.Random(16)
+    rows = [(v, s := g.random() * 100 - 5, s + g.choice([0.0, 0.01, 0.3, 1.7, 9.0]) * g.random(), g.choice("ab")) for v in range(3) for _ in range(150)]
+    many = spark.createDataFrame(rows, "video_id long, start double, end double, label string")
+    from lanescope.operators import runs
+
+    shift = {"a": (0.4, -0.1), "b": (-0.5, 0.25)}
+    a, b = runs.shifted(shift)
+    for gap in (0.0, 0.05, 1.0):
+        plain = many.select("video_id", "label", F.greatest(a, F.lit(0.0)).alias("start"), F.least(b, F.lit(90.0)).alias("end")).where("end > start")
+        plain = runs.merge_intervals(plain, gap, ["video_id", "label"]).where(F.col("end") - F.col("start") >= 0.2)
+        want = plain.select("video_id", "label", F.bround("start", 3), F.bround("end", 3)).collect()
+        assert sorted(map(tuple, runs.finalize(many, 90.0, gap, 0.2, shift).collect())) == sorted(map(tuple, want)), gap
+    kept, keep = [], D.materialised
+    monkeypatch.setattr(D, "materialised", lambda df: kept.append(df.count()) or keep(df))
+    rules = D.Detector()
+    rules.rule("pairs")(lambda c: c.select("video_id", "start", "end"))
+    dense = spark.range(5000).select(F.lit(0).alias("video_id"), (F.col("id") / 500).alias("start"), (F.col("id") / 500 + 2).alias("end"))
+    events, status = rules.outcome(dense, 60.0)
+    assert [tuple(r) for r in events.collect()] == [(0, "pairs", 0.0, 11.998)] and status.first()["ok"] and kept[0] <= 21
